@@ -143,7 +143,7 @@ class RankFile:
                     joined.append(i)
         # pairs that join to the same bytes have the same rank: their order among themselves is free
         self.pairs = PairTable(np.array(left), np.array(right), np.array(joined))
-        self.decimal = pa.array([str(i) for i in range(size)], pa.large_string())
+        self.decimal = pa.array([f"{i} " for i in range(size)], pa.large_string())
         self.bytes = pa.array(self.token, pa.large_binary())
 
 
@@ -202,11 +202,11 @@ def encode_texts(texts: pa.Array, cache: SliceCache) -> tuple[np.ndarray, np.nda
     return ids, each[np.searchsorted(cut, at)], np.cumsum(size) - size
 
 
-def decode_texts(ids: np.ndarray, offsets: np.ndarray, file: RankFile) -> list[memoryview]:
-    """Bytes of each text from its ids."""
-    taken = file.bytes.take(pa.array(ids))
-    ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
-    data = memoryview(taken.buffers()[2] or b"")
+def taken(items: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
+    """Items by id, joined without a separator, for each text. With ``RankFile.bytes`` this decodes."""
+    found = items.take(pa.array(ids)).cast(pa.large_binary())
+    ends = np.frombuffer(found.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    data = memoryview(found.buffers()[2] or b"")
     edges = ends[offsets]
     return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -226,9 +226,8 @@ def byte_bpe(docs: DataFrame, rank_path: str, keep_ids: bool = True, id_col: str
         for batch in batches:
             for part in text_slices(batch):
                 ids, offsets, starts = encode_texts(part["text"], cache)
-                joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), cache.file.decimal.take(pa.array(ids))), " ").to_pylist()
-                said = [hashlib.sha256(s.encode()).hexdigest() for s in joined]
-                back = [hashlib.sha256(b).hexdigest() for b in decode_texts(ids, offsets, cache.file)]
+                said = [hashlib.sha256(b[:-1]).hexdigest() for b in taken(cache.file.decimal, ids, offsets)]
+                back = [hashlib.sha256(b).hexdigest() for b in taken(cache.file.bytes, ids, offsets)]
                 columns = [part["id"].combine_chunks(), pa.array(np.diff(offsets)), pa.array(said), pa.array(back)]
                 if keep_ids:
                     lists = offsets.astype(np.int32)

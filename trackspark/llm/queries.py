@@ -5,9 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import byte_bpe
 from .packing import pack_documents
+from .quality import quality
 from .token_counts import count_tokens
+from .warc import warc_round_trip
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -23,5 +27,48 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_token_counts": op3_token_counts}
-ORACLES: dict[str, str] = {}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe(_table(spark, sf_dir, "documents"), BYTE_BPE, keep_ids=False)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages")).drop("capture_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_byte_bpe, op7_warc, op8_quality)}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        with p as (select page_id, coalesce(html, '') as payload from pages),
+        d as (select page_id, strlen(payload)::bigint as n, sha256(payload) as digest from p),
+        f as (select *, min(page_id) over (partition by digest) as first_id from d)
+        select page_id, n as payload_bytes, digest as payload_digest,
+               case when n >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
+               case when n >= 100 and page_id > first_id then first_id end as refers_to
+        from f""",
+    "op8_quality": f"""
+        with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text, {_WORDS} as w from documents),
+        win as (select r, i, array_to_string(w[i:i + 7], ' ') as g from (select r, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)),
+        dup as (select r, i from (select *, count(*) over (partition by r, g) as c from win) where c > 1),
+        rep as (select r, sum(least(8, coalesce(nxt - i, 8)))::bigint as n from (select r, i, lead(i) over (partition by r order by i) as nxt from dup) group by r),
+        ln as (select r, count(*) as n_lines, count(*) - count(distinct x) as n_dup from (select r, unnest(string_split(text, chr(10))) as x from d)
+               where regexp_matches(x, '[^\x20\x09-\x0D]') group by r),
+        m as (select d.r, doc_id, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+                     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(n_lines, 0) as n_lines,
+                     coalesce(n_dup, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
+              from d left join rep using (r) left join ln using (r)),
+        b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m),
+        f as (select *, base_failed or 100 * n_symbols > 50 * n_words or 100 * n_dup_lines > 50 * n_lines as failed from b),
+        h as (select source, count(*)::double as n, sum(failed::int)::double as f from f group by source),
+        a as (select avg(f / n) as m, var_pop(f / n) as v from h),
+        k as (select m, case when v > 1e-12 then least(10000, greatest(1, m * (1 - m) / v - 1)) else 10000 end as weight from a),
+        s as (select source, (f + m * weight) / (n + weight) as rate from h, k)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.5 as kept
+        from f join s on f.source is not distinct from s.source""",
+}
