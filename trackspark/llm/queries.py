@@ -10,6 +10,7 @@ from .packing import pack_documents
 from .quality import quality
 from .token_counts import count_tokens
 from .warc import warc_round_trip
+from .winnow import winnow
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +24,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE).drop("ids")
 
 
+def op2_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -39,7 +44,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_byte_bpe, op7_warc, op8_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_winnow, op3_token_counts, op4_byte_bpe, op7_warc, op8_quality)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
