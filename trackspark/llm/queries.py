@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
 from .packing import pack_documents
 from .quality import quality
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 from .warc import warc_round_trip
 from .winnow import winnow
@@ -36,6 +38,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(_table(spark, sf_dir, "documents"), BYTE_BPE, keep_ids=False)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages")).drop("capture_id")
 
@@ -44,11 +51,20 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_winnow, op3_token_counts, op4_byte_bpe, op7_warc, op8_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_winnow, op3_token_counts, op4_byte_bpe, op5_substring_dedup, op7_warc, op8_quality)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op5_substring_dedup": f"""
+        with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+        win as (select r, doc_id, i, array_to_string(w[i:i + 12], ' ') as g from (select r, doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+        bad as (select r, i from (select *, min(doc_id) over (partition by g) as first_id from win) where first_id < doc_id),
+        cover as (select distinct r, i + o as i from bad, range(13) t(o)),
+        ws as (select r, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from d),
+        kept as (select ws.r, string_agg(word, ' ' order by ws.i) as text, count(*) as n from ws anti join cover on ws.r = cover.r and ws.i = cover.i group by ws.r)
+        select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+        from d left join kept using (r)""",
     "op7_warc": """
         with p as (select page_id, coalesce(html, '') as payload from pages),
         d as (select page_id, strlen(payload)::bigint as n, sha256(payload) as digest from p),
