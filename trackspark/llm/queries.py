@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
 from .packing import pack_documents
+from .ppm import lm_scores
 from .quality import quality
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -43,6 +44,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages")).drop("capture_id")
 
@@ -51,7 +56,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_winnow, op3_token_counts, op4_byte_bpe, op5_substring_dedup, op7_warc, op8_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_winnow, op3_token_counts, op4_byte_bpe, op5_substring_dedup, op6_ppm, op7_warc, op8_quality)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
