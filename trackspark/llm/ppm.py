@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import split_words, stored, text_slices
 
 #: Bytes of context; a pair of context and byte is packed in ORDER + 1 bytes of a long.
-ORDER = 3
+ORDER = 4
 PAD, SEPARATOR, END = 0x09, 0x20, 0x0A
 #: The end of a text as a word; no word holds this byte.
 END_WORD = "\n"

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
+from .langid import Training, held_out, identify, train, training_rows
 from .packing import pack_documents
 from .ppm import lm_scores
 from .quality import quality
@@ -56,7 +57,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_winnow, op3_token_counts, op4_byte_bpe, op5_substring_dedup, op6_ppm, op7_warc, op8_quality)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    network = train(training_rows(docs, Training()))
+    found = identify(docs.select("doc_id", "text"), network).select("row.doc_id", "lang_pred", "score")
+    return found.withColumn("held_out", held_out(F.col("doc_id")))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_winnow, op3_token_counts, op4_byte_bpe, op5_substring_dedup, op6_ppm, op7_warc, op8_quality, op10_language_id)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
