@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
+from .jaccard import jaccard_classes
 from .langid import Training, held_out, identify, train, training_rows
 from .packing import pack_documents
 from .ppm import lm_scores
@@ -57,6 +58,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     network = train(training_rows(docs, Training()))
@@ -64,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out(F.col("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_winnow, op3_token_counts, op4_byte_bpe, op5_substring_dedup, op6_ppm, op7_warc, op8_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_winnow, op3_token_counts, op4_byte_bpe, op5_substring_dedup, op6_ppm, op7_warc, op8_quality, op9_jaccard_join, op10_language_id)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -105,4 +110,15 @@ ORACLES: dict[str, str] = {
         s as (select source, (f + m * weight) / (n + weight) as rate from h, k)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.5 as kept
         from f join s on f.source is not distinct from s.source""",
+    "op9_jaccard_join": f"""
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+              else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from d)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+        links as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
+        reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+        least_of as (select a, min(b) as b from reach group by a)
+        select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) as component_id
+        from d left join n using (doc_id) left join least_of on a = d.doc_id""",
 }
