@@ -64,11 +64,11 @@ class _Windows:
         return [k[first].view(np.int64) for k in keys], ids[first], ids[last]
 
 
-def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), untouched_as_is: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Remove each word covered by a window of ``length`` words that also starts in a row of smaller id.
 
-    One row per row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words joined by one space) and
-    the columns ``keep``. Windows are judged on the input. Null texts have no words. Rows of one id do not
+    One row per row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words joined by one space, or
+    with ``untouched_as_is`` the text itself if it loses no word) and the columns ``keep``. Windows are judged on the input. Null texts have no words. Rows of one id do not
     remove each other's words; a null id is larger than every other, and null ids are equal. Texts shorter
     than a window keep all words.
     """
@@ -107,6 +107,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
         words = w.words.cast(pa.string()).take(pa.array(w.codes[kept]))
         text = pc.binary_join(pa.ListArray.from_arrays(ends.astype(np.int32), words), " ")
         n = np.diff(w.offsets)
+        if untouched_as_is:
+            text = pc.if_else(pa.array(n == np.diff(ends)), w.table["text"].combine_chunks().cast(pa.string()), text)
         return pa.table({"doc_id": w.table["id"], "n_words": n, "n_removed": n - np.diff(ends), "kept_text": text, **{c: w.table[f"keep_{c}"] for c in keep}})
 
     asked = slim.groupBy("block").applyInArrow(halves, "block int, key long, low long, high long")
