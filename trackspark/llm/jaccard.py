@@ -1,9 +1,10 @@
 """Exact Jaccard join of documents on word shingles, with an R-tree over count vectors.
 
 1. A document is its set of shingle hashes. Documents of equal sets are one class, led by its smallest id.
-2. Two sets of likeness t share one of their first ``n - ceil(t n) + 1`` elements in any order common to
-   all. The order puts the most frequent shingles (found on a bounded sample; a bad guess costs time, never
-   a link) last, the rest by hash. Only elements that lead two classes or more matter from here.
+2. Two sets of likeness t share ``m`` of their first ``n - ceil(t n) + m`` elements in any order common to
+   all, m being that of the set with the smaller m. Here m is 1 and one more for every ``STEP`` elements,
+   and the order puts the most frequent shingles (found on a bounded sample; a bad guess costs time, never
+   a link) last, the rest by hash. Classes with fewer leading elements that others share drop out.
 3. Each class goes with its set to the groups of its first two such elements. In a group, the elements'
    hashes are dealt into ``CELLS`` cells and a set's cell counts are a point. Points are packed into
    leaves with the largest count per cell; a sum of cell-wise minima bounds the overlap from above, first
@@ -23,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import gram_hashes, mix, split_words, stored, text_slices, word_hashes
+from ._common import gram_hashes, mix, ragged_take, split_words, stored, text_slices, word_hashes
 from .components import components
 
 WORDS = 5
 #: Likeness in per cent.
 PERCENT = 75
+#: Elements of a set for each leading element that partners must share besides one.
+STEP = 16
+#: Bits of the map of classes whose sets are wanted: a fixed size; a full map costs time, never a link.
+MAP_BITS = 1 << 25
 #: Cells of a count vector, and points in a leaf.
 CELLS, LEAF = 32, 16
 #: Groups each class is clustered in, classes in one part of a group, and classes that lead every part.
@@ -76,6 +81,12 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
 
 
+def _signature(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set, equal for equal sets."""
+    total = lambda v: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(v)])[offsets]).view(np.int64)
+    return total(mix(values)), total(mix(values ^ np.uint64(0xC2B2AE3D27D4EB4F)))
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Most frequent elements of a bounded sample, at most ``FREQUENT``; only the order depends on them."""
     every = max(1, docs.count() // SAMPLE)
@@ -177,35 +188,54 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for part in text_slices(batch):
                 value, offsets = shingle_sets(part["text"], frequent.value)
-                n = np.diff(offsets)
-                total = lambda v: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(v)])[offsets]).view(np.int64)
-                lead = np.where(n > 0, n - -(-n * PERCENT // 100) + 1, 0)
-                ends = np.concatenate([[0], np.cumsum(lead)])
-                first = value[np.arange(ends[-1]) + np.repeat(offsets[:-1] - ends[:-1], lead)]
-                yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array(n), pa.array(total(mix(value))), pa.array(total(mix(value ^ np.uint64(0xC2B2AE3D27D4EB4F)))), _lists(first, ends)], ["id", "n", "s1", "s2", "lead"])
-
-    all_rows = stored(docs.mapInArrow(described, "id long, n long, s1 long, s2 long, lead array<long>"), "sets")
-    slim = all_rows.drop("lead").where("n > 0 and id is not null")
+                yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array(np.diff(offsets)), *map(pa.array, _signature(value, offsets))], ["id", "n", "s1", "s2"])
+
+    all_rows = stored(docs.mapInArrow(described, "id long, n long, s1 long, s2 long"), "sets")
+    slim = all_rows.where("n > 0 and id is not null")
     classes = stored(slim.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
 
-    leaders = all_rows.where("n > 0 and id is not null").join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["n", "s1", "s2", "id"], "left_semi")
-    leading = leaders.select(F.col("id").alias("rep"), "n", F.posexplode("lead").alias("pos", "key"))
-    by_key = Window.partitionBy("key")
-    shared = leading.withColumn("lo", F.min("rep").over(by_key)).withColumn("hi", F.max("rep").over(by_key)).where("lo < hi").drop("lo", "hi")
-    shared = stored(shared, "shared")
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                value, offsets = shingle_sets(part["text"], frequent.value)
+                n, ids = np.diff(offsets), part["id"].combine_chunks()
+                s1 = _signature(value, offsets)[0]
+                # copies within the slice lead once, by their smallest id
+                order = np.lexsort((ids.fill_null(0).to_numpy(), s1))
+                order = order[(n[order] > 0) & ids.is_valid().to_numpy(zero_copy_only=False)[order]]
+                order = order[np.append(True, s1[order][1:] != s1[order][:-1])] if len(order) else order
+                length = n[order] - -(-n[order] * PERCENT // 100) + 1 + n[order] // STEP
+                key = ragged_take(value, offsets[:-1][order], length)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(np.repeat(order, length))), pa.array(np.repeat(s1[order], length))], ["key", "rep", "s1"])
 
-    wanted = shared.select(F.col("rep").alias("id")).distinct()
+    by_key = Window.partitionBy("key")
+    lead = docs.mapInArrow(leading, "key long, rep long, s1 long")
+    shared = lead.withColumn("lo", F.min("s1").over(by_key)).withColumn("hi", F.max("s1").over(by_key)).where("lo < hi").select("key", "rep")
+    shared = shared.join(classes.groupBy("rep").agg(F.min("n").alias("n")), "rep")
+    least = F.floor(F.ceil(F.col("n") * PERCENT / 100) / STEP) + 1  # a partner can be that much smaller
+    shared = shared.withColumn("own", F.count("*").over(Window.partitionBy("rep"))).where(F.col("own") >= least)
+    shared = stored(shared.withColumn("size", F.count("*").over(by_key)).where("size > 1").select("key", "rep", "n"), "shared")
+
+    slot = F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS))
+    bits = shared.select("rep").distinct().groupBy(F.floor(slot / 32).cast("int").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (slot % 32).cast("int"))).alias("bits"))
+    wanted = np.zeros(MAP_BITS // 32, np.uint32)
+    for r in bits.toLocalIterator():  # at most MAP_BITS / 32 rows
+        wanted[r.word] = r.bits
+    wanted = spark.sparkContext.broadcast(wanted)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column(2).fill_null(0).to_numpy()
+            batch = batch.filter(pa.array((wanted.value[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1))
             for part in text_slices(batch):
                 value, offsets = shingle_sets(part["text"], frequent.value)
                 yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), _lists(value, offsets)], ["rep", "elements"])
 
-    sets = stored(docs.join(wanted, "id", "left_semi").mapInArrow(full, "rep long, elements array<long>").dropDuplicates(["rep"]), "elements")
+    mapped = docs.where("id is not null").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)))
+    sets = stored(mapped.select("id", "text", "slot").mapInArrow(full, "rep long, elements array<long>"), "elements")
 
     # each class to its first groups; parts of a large group share its first classes
-    homes = shared.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("pos"))).where(F.col("r") <= HOMES)
+    homes = shared.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("key") < 0, "key"))).where(F.col("r") <= HOMES)
     homes = homes.withColumn("size", F.count("*").over(by_key)).where("size > 1")
     homes = homes.withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
     homes = homes.withColumn("place", F.row_number().over(by_key.orderBy("rep")))
@@ -269,16 +299,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     near = near[side[near] != side[i]]
                 a.append(np.full(len(near), ids[i]))
                 b.append(ids[near])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        pairs, count = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1, return_counts=True)
+        size = dict(zip(ids.tolist(), n.tolist(), strict=True))
+        least = [1 + min(size[i], size[j]) // STEP for i, j in pairs.T.tolist()]
+        return pa.table({"a": pairs[0], "b": pairs[1], "shared": count.astype(np.int64), "least": pa.array(least, pa.int64())})
 
-    pairs = rest.groupBy("bucket").applyInArrow(allowed, "a long, b long").distinct()
+    pairs = rest.groupBy("bucket").applyInArrow(allowed, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least")
     left, right = sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
     checked = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("ea") + F.size("eb")).alias("s"))
     more = stored(checked.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * PERCENT).select("a", "b"), "more-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    ids = all_rows.drop("lead").join(classes, ["n", "s1", "s2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    ids = all_rows.join(classes, ["n", "s1", "s2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     return ids.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
