@@ -216,8 +216,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = shared.withColumn("own", F.count("*").over(Window.partitionBy("rep"))).where(F.col("own") >= least)
     shared = stored(shared.withColumn("size", F.count("*").over(by_key)).where("size > 1").select("key", "rep", "n"), "shared")
 
-    slot = F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS))
-    bits = shared.select("rep").distinct().groupBy(F.floor(slot / 32).cast("int").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (slot % 32).cast("int"))).alias("bits"))
+    bits = shared.select(F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS)).alias("slot")).distinct()
+    bits = bits.groupBy(F.expr("cast(slot div 32 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits"))
     wanted = np.zeros(MAP_BITS // 32, np.uint32)
     for r in bits.toLocalIterator():  # at most MAP_BITS / 32 rows
         wanted[r.word] = r.bits
