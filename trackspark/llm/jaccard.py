@@ -35,13 +35,13 @@ STEP = 16
 #: Bits of the map of classes whose sets are wanted: a fixed size; a full map costs time, never a link.
 MAP_BITS = 1 << 25
 #: Cells of a count vector, and points in a leaf.
-CELLS, LEAF = 32, 16
+CELLS, LEAF = 128, 16
 #: Groups each class is clustered in, classes in one part of a group, and classes that lead every part.
 HOMES, PART, LEADERS = 2, 4000, 4
 #: Classes of one shared element that are compared in one task; more are split into pairs of parts.
 RESIDUAL_PART = 20000
 #: Frequent shingles that go last, and documents looked at to find them.
-FREQUENT, SAMPLE = 65536, 8000
+FREQUENT, SAMPLE = 1 << 18, 32768
 
 
 def shingle_sets(texts: pa.Array, frequent: np.ndarray, words_each: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +92,13 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     every = max(1, docs.count() // SAMPLE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                value, n = np.unique(shingle_sets(part["text"], np.empty(0, np.uint64))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
+        found = [shingle_sets(part["text"], np.empty(0, np.uint64))[0] for batch in batches for part in text_slices(batch)]
+        if found:
+            value, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
 
-    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").coalesce(8)
-    top = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "key").limit(FREQUENT)
+    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").coalesce(4)
+    top = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "key").limit(FREQUENT)
     return np.sort(np.array([r.key for r in top.select("key").collect()], np.int64).view(np.uint64))
 
 
@@ -132,7 +132,7 @@ class CountTree:
 def cell_counts(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     cell = (values & np.uint64(CELLS - 1)).astype(np.int64)
-    return np.bincount(owner * CELLS + cell, minlength=(len(offsets) - 1) * CELLS).reshape(-1, CELLS).astype(np.int32)
+    return np.bincount(owner * CELLS + cell, minlength=(len(offsets) - 1) * CELLS).reshape(-1, CELLS).astype(np.uint32)
 
 
 def cluster(ids: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -261,7 +261,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
     links = stored(placed.groupBy("bucket").applyInArrow(clustered, "a long, b long"), "links")
-    found = components(links)
+    found = stored(components(links), "found")
 
     # classes of different components that share a leading element
     vectors = sets.select("rep", F.col("elements"))
@@ -287,7 +287,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def allowed(table: pa.Table) -> pa.Table:
         key, band_, own, x, y, side, ids, n, comp = (table[c].to_numpy() for c in ("key", "band", "own", "x", "y", "side", "rep", "n", "component"))
-        counts = np.frombuffer(b"".join(table["cells"].to_pylist()), np.int32).reshape(-1, CELLS)
+        counts = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint32).reshape(-1, CELLS)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for rows in _groups(key, band_, x, y):
             tree = CountTree(n[rows], counts[rows])
@@ -305,12 +305,23 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"a": pairs[0], "b": pairs[1], "shared": count.astype(np.int64), "least": pa.array(least, pa.int64())})
 
     pairs = rest.groupBy("bucket").applyInArrow(allowed, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least")
-    left, right = sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb"))
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    named = sets.join(stored(ends, "ends"), "rep", "left_semi")
+    left, right = named.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), named.select(F.col("rep").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
     checked = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("ea") + F.size("eb")).alias("s"))
-    more = stored(checked.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * PERCENT).select("a", "b"), "more-links")
+    more = checked.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * PERCENT).select("a", "b")
+    # the new links join components: their graph has a node per component
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = stored(more, "more-links")
+    found = found.withColumnRenamed("node", "rep")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
-    ids = all_rows.join(classes, ["n", "s1", "s2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        joined = stored(components(more), "joined")
+        found = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("rep", F.coalesce("whole", "component").alias("component"))
+        alone = joined.select(F.col("node").alias("rep"), "component").join(found.select("rep"), "rep", "left_anti")
+        found = found.unionByName(alone)
+    ids = all_rows.join(classes, ["n", "s1", "s2"], "left").join(found, "rep", "left")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     return ids.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
