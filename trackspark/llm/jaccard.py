@@ -5,13 +5,13 @@
    all, m being that of the set with the smaller m. Here m is 1 and one more for every ``STEP`` elements,
    and the order puts the most frequent shingles (found on a bounded sample; a bad guess costs time, never
    a link) last, the rest by hash. Classes with fewer leading elements that others share drop out.
-3. Each class goes with its set to the groups of its first two such elements. In a group, the elements'
+3. Each class goes with its set to the groups of its first three such elements. In a group, the elements'
    hashes are dealt into ``CELLS`` cells and a set's cell counts are a point. Points are packed into
    leaves with the largest count per cell; a sum of cell-wise minima bounds the overlap from above, first
    for leaves, then for points, and what is left is verified on the sets. Classes that are already in one
    component need no second proof. Large groups are split, with the same first classes in each part.
 4. What may still be missing are links between different components whose classes share a leading
-   element: the same R-tree names the pairs that the bound allows, and they are verified on their sets.
+   element but met in no group: the same bounds name the pairs, and they are verified on their sets.
 5. Components come from all links.
 """
 
@@ -37,7 +37,7 @@ MAP_BITS = 1 << 25
 #: Cells of a count vector, and points in a leaf.
 CELLS, LEAF = 128, 16
 #: Groups each class is clustered in, classes in one part of a group, and classes that lead every part.
-HOMES, PART, LEADERS = 2, 4000, 4
+HOMES, PART, LEADERS = 3, 2000, 4
 #: Classes of one shared element that are compared in one task; more are split into pairs of parts.
 RESIDUAL_PART = 20000
 #: Frequent shingles that go last, and documents looked at to find them.
@@ -241,7 +241,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     homes = homes.withColumn("place", F.row_number().over(by_key.orderBy("rep")))
     leads = (F.col("parts") > 1) & (F.col("place") <= LEADERS)
     homes = homes.withColumn("part", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))))
-    placed = homes.select("key", "part", "rep").join(sets, "rep")
+    homes = stored(homes.select("key", "part", "rep"), "homes")
+    placed = homes.join(sets, "rep")
     buckets = max(1, homes.count() // 500)
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)).cast("int"))
 
@@ -273,6 +274,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in raw], pa.binary())], ["rep", "cells"])
 
     rest = shared.select("key", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # groups in which a class has been compared with all others
+    met = homes.groupBy("rep").agg(F.collect_list(F.xxhash64("key", "part")).alias("met"))
     rest = rest.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo < hi").drop("lo", "hi")
     # sizes further apart than the likeness never meet: each size class and the next
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)))).cast("int")
@@ -283,22 +286,47 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
     rest = stored(rest.select("key", "band", "own", "x", "y", "side", "rep", "n", "component"), "rest")
     buckets_rest = max(1, rest.count() // 20000)
-    rest = rest.join(vectors.mapInArrow(counted, "rep long, cells binary"), "rep").withColumn("bucket", F.pmod(F.xxhash64("key", "band", "x", "y"), F.lit(buckets_rest)).cast("int"))
+    met = met.withColumn("met", F.transform(F.array(*[F.lit(i) for i in range(HOMES)]), lambda i: F.get("met", i)))
+    rest = rest.join(met, "rep", "left").join(vectors.mapInArrow(counted, "rep long, cells binary"), "rep").withColumn("bucket", F.pmod(F.xxhash64("key", "band", "x", "y"), F.lit(buckets_rest)).cast("int"))
 
     def allowed(table: pa.Table) -> pa.Table:
         key, band_, own, x, y, side, ids, n, comp = (table[c].to_numpy() for c in ("key", "band", "own", "x", "y", "side", "rep", "n", "component"))
         counts = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint32).reshape(-1, CELLS)
+        met_ = np.array([m or [None] * HOMES for m in table["met"].to_pylist()], dtype=object).reshape(-1, HOMES)
+        known = np.array([v is not None for v in met_.reshape(-1)]).reshape(-1, HOMES)
+        met_ = np.array([v or 0 for v in met_.reshape(-1)], np.int64).reshape(-1, HOMES)
+
+        def open_pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Pairs to be proved: each once, in the lower of its bands, across the parts if there are two, not yet compared."""
+            fits = (comp[i] != comp[j]) & (ids[i] != ids[j]) & (np.maximum(own[i], own[j]) == band_[i]) & ((x[i] == y[i]) | (side[i] != side[j]))
+            i, j = i[fits], j[fits]
+            together = ((met_[i][:, :, None] == met_[j][:, None, :]) & known[i][:, :, None] & known[j][:, None, :]).any(axis=(1, 2))
+            fits[np.flatnonzero(fits)[together]] = False
+            return fits
+
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for rows in _groups(key, band_, x, y):
-            tree = CountTree(n[rows], counts[rows])
-            for i in rows:
-                near = rows[tree.near(int(n[i]), counts[i])]
-                # each pair once, in the lower of its bands, across the parts if there are two
-                near = near[(comp[near] != comp[i]) & (ids[near] > ids[i]) & (np.maximum(own[near], own[i]) == band_[i])]
-                if x[i] != y[i]:
-                    near = near[side[near] != side[i]]
-                a.append(np.full(len(near), ids[i]))
-                b.append(ids[near])
+            if len(rows) <= 200:  # one node: its pairs side by side
+                i, j = (rows[k] for k in np.triu_indices(len(rows), 1))
+                fits = open_pairs(i, j)
+                i, j = i[fits], j[fits]
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                fits = small * 100 >= large * PERCENT
+                i, j = i[fits], j[fits]
+                bound = np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.int64)
+                fits = bound * (100 + PERCENT) >= PERCENT * (n[i] + n[j])
+                i, j = i[fits], j[fits]
+            else:
+                tree, i, j = CountTree(n[rows], counts[rows]), [], []
+                for k in rows:
+                    near = rows[tree.near(int(n[k]), counts[k])]
+                    near = near[ids[near] > ids[k]]
+                    near = near[open_pairs(np.full(len(near), k), near)]
+                    i.append(np.full(len(near), k))
+                    j.append(near)
+                i, j = np.concatenate(i), np.concatenate(j)
+            a.append(np.minimum(ids[i], ids[j]))
+            b.append(np.maximum(ids[i], ids[j]))
         pairs, count = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1, return_counts=True)
         size = dict(zip(ids.tolist(), n.tolist(), strict=True))
         least = [1 + min(size[i], size[j]) // STEP for i, j in pairs.T.tolist()]
