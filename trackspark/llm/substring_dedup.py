@@ -48,12 +48,12 @@ class _Windows:
         self.low, self.shift = low[self.at], length - half
 
     def full(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the full windows at the places ``at[where]``."""
+        """80 bits of hash, in two parts, of the full windows at the places ``at[where]``."""
         a, b = self.half[self.at[where]], self.half[self.at[where] + self.shift]
-        return mix(a * np.uint64(0x9E3779B97F4A7C15) + b), mix(b * np.uint64(0xC2B2AE3D27D4EB4F) + a)
+        return mix(a * np.uint64(0x9E3779B97F4A7C15) + b), mix(b * np.uint64(0xC2B2AE3D27D4EB4F) + a) >> np.uint64(48)
 
     def asked(self, where: np.ndarray, *keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Each distinct key with the smallest and largest id that has it here."""
+        """Each distinct key with the smallest id that has it here, and whether a larger one has."""
         order = np.lexsort(keys[::-1])  # stable: ids ascend inside a key
         keys, ids = [k[order] for k in keys], self.id[self.doc[self.at[where]]][order]
         new = np.ones(len(ids), bool)
@@ -61,7 +61,7 @@ class _Windows:
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(ids)) - 1 if len(first) else first
-        return [k[first].view(np.int64) for k in keys], ids[first], ids[last]
+        return [k[first].view(np.int64) for k in keys], ids[first], ids[first] < ids[last]
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), untouched_as_is: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -79,16 +79,16 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
 
     def halves(table: pa.Table) -> pa.Table:
         w = _Windows(table, length)
-        (key,), low, high = w.asked(np.arange(len(w.at)), w.low)
-        return pa.table({"block": pa.repeat(table["block"][0], len(key)).cast(pa.int32()), "key": key, "low": low, "high": high})
+        (key,), low, more = w.asked(np.arange(len(w.at)), w.low)
+        return pa.table({"block": pa.repeat(table["block"][0], len(key)).cast(pa.int32()), "key": key, "low": low, "more": more})
 
     def doubled(table: pa.Table, known: pa.Table) -> pa.Table:
         if not (len(table) and len(known)):
-            return pa.table({"block": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in ("k1", "k2", "low", "high")}})
+            return pa.table({"block": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in ("k1", "k2", "low")}, "more": pa.array([], pa.bool_())})
         w = _Windows(table, length)
         where = np.flatnonzero(np.isin(w.low.view(np.int64), known["key"].to_numpy()))
-        (k1, k2), low, high = w.asked(where, *w.full(where))
-        return pa.table({"block": pa.repeat(table["block"][0], len(k1)).cast(pa.int32()), "k1": k1, "k2": k2, "low": low, "high": high})
+        (k1, k2), low, more = w.asked(where, *w.full(where))
+        return pa.table({"block": pa.repeat(table["block"][0], len(k1)).cast(pa.int32()), "k1": k1, "k2": k2, "low": low, "more": more})
 
     def cut(table: pa.Table, known: pa.Table) -> pa.Table:
         w = _Windows(table, length)
@@ -111,11 +111,12 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
             text = pc.if_else(pa.array(n == np.diff(ends)), w.table["text"].combine_chunks().cast(pa.string()), text)
         return pa.table({"doc_id": w.table["id"], "n_words": n, "n_removed": n - np.diff(ends), "kept_text": text, **{c: w.table[f"keep_{c}"] for c in keep}})
 
-    asked = slim.groupBy("block").applyInArrow(halves, "block int, key long, low long, high long")
+    asked = slim.groupBy("block").applyInArrow(halves, "block int, key long, low long, more boolean")
     by_key = Window.partitionBy("key")
-    repeated = asked.withColumn("first", F.min("low").over(by_key)).withColumn("last", F.max("high").over(by_key)).where("first < last").select("block", "key")
-    asked = slim.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(doubled, "block int, k1 long, k2 long, low long, high long")
+    spread = (F.min("low").over(by_key) < F.max("low").over(by_key)) | F.max("more").over(by_key)
+    repeated = asked.withColumn("spread", spread).where("spread").select("block", "key")
+    asked = slim.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(doubled, "block int, k1 long, k2 long, low long, more boolean")
     asked = asked.withColumn("first", F.min("low").over(Window.partitionBy("k1", "k2")))
-    known = asked.where("first < high").select("block", "k1", "k2", "first")
+    known = asked.where("first < low or more").select("block", "k1", "k2", "first")
     schema = f"doc_id {kinds['id']}, n_words long, n_removed long, kept_text string" + "".join(f", `{c}` {kinds[f'keep_{c}']}" for c in keep)
     return picked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(cut, schema)
