@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import stored
 from .quality import words_of
 
 GRAM, WINDOW = 5, 8
@@ -82,6 +83,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy("bucket")
     starts = starts.select("start", F.lag("bucket").over(order).alias("before"), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
     starts = starts.select("start", F.coalesce("before", "last").alias("to"), F.col("before").isNull().alias("wraps"))
+    starts = stored(starts, "starts")  # its size is known then: texts are not exchanged for it while it is small
     first = df.join(starts, F.col("doc_id").eqNullSafe(F.col("start"))).groupBy("to", "wraps", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     guests = first.select("doc_id", "text", F.col("to").alias("bucket"), F.when(F.col("wraps"), 2).otherwise(1).alias("guest"))
     return df.withColumn("guest", F.lit(0)).unionByName(guests)
