@@ -182,11 +182,13 @@ def ais_align(spark, sf):
     return _aligned(spark, sf)
 
 
-@query(ALIGNED + """, j as (select sequence, id, mmsi, count(*) as overlap, round(avg(least(1, greatest(0, 1 - abs(p.x + p.w / 2 - al.x) / 250.0::double))), 6) as pos from pred p join al using (frame) group by 1, 2, 3),
+@query(ALIGNED + """, j as (select sequence, id, mmsi, count(*) as overlap, round(avg(least(1, greatest(0, 1 - abs(p.x + p.w / 2 - al.x) / 250.0::double))), 6) as pos from (select * replace ((frame // 7 + 1)::int as frame) from pred) p join al using (frame) group by 1, 2, 3),
     s as (select *, round((pos + least(1.0::double, overlap / 5.0::double)) / 2, 6) as score from j)
     select sequence, id, case when score >= 0.6 then mmsi end as mmsi, score, overlap from s qualify row_number() over (partition by sequence, id order by score desc, mmsi) = 1""")
 def ais_assign(spark, sf):
-    return transponder.assign(predictions(spark, sf), _aligned(spark, sf))
+    # the grid of reports has a frame a week, the tracks one a day
+    weekly = predictions(spark, sf).withColumn("frame", (F.floor(F.col("frame") / 7) + 1).cast("int"))
+    return transponder.assign(weekly, _aligned(spark, sf))
 
 
 BAND = f"""+ t(turn, shift) as (values (0, 0), (1, -1), (2, 1)),
