@@ -182,7 +182,7 @@ def ais_align(spark, sf):
     return _aligned(spark, sf)
 
 
-@query(ALIGNED + """, j as (select sequence, id, mmsi, count(*) as overlap, round(avg(least(1, greatest(0, 1 - abs(p.x + p.w / 2 - al.x) / 250.0::double))), 6) as pos from (select * replace ((frame // 7 + 1)::int as frame) from pred) p join al using (frame) group by 1, 2, 3),
+@query(ALIGNED + """, j as (select sequence, id, mmsi, count(*) as overlap, avg(least(1, greatest(0, 1 - abs(p.x + p.w / 2 - al.x) / 250.0::double))) as pos from (select * replace ((frame // 7 + 1)::int as frame) from pred) p join al using (frame) group by 1, 2, 3),
     s as (select *, round((pos + least(1.0::double, overlap / 5.0::double)) / 2, 6) as score from j)
     select sequence, id, case when score >= 0.6 then mmsi end as mmsi, score, overlap from s qualify row_number() over (partition by sequence, id order by score desc, mmsi) = 1""")
 def ais_assign(spark, sf):
@@ -193,9 +193,9 @@ def ais_assign(spark, sf):
 
 BAND = f"""+ t(turn, shift) as (values (0, 0), (1, -1), (2, 1)),
     bj as (select p.sequence, p.frame, p.id, g.id as gt_id, shift, turn, {INTER.format(a="p", b="g")} as i, p.w * p.h + g.w * g.h as s from pred p cross join t join gt g on g.sequence = p.sequence and g.frame = p.frame + shift),
-    bm as (select sequence, frame, id, gt_id, shift, round(i / (s - i), 6) as iou from bj where s - i > 0 and round(i / (s - i), 6) >= 0.1
+    bm as (select sequence, frame, id, gt_id, shift, round(i / (s - i), 6) as iou, i / (s - i) as exact_iou from bj where s - i > 0 and round(i / (s - i), 6) >= 0.1
         qualify row_number() over (partition by sequence, frame, id order by round(i / (s - i), 6) desc, turn, gt_id) = 1)"""
-DOMINANT = BAND + """, dc as (select sequence, id, gt_id, count(*) as n, min(frame) as first, avg(iou) as m from bm group by 1, 2, 3),
+DOMINANT = BAND + """, dc as (select sequence, id, gt_id, count(*) as n, min(frame) as first, avg(exact_iou) as m from bm group by 1, 2, 3),
     dom as (select sequence, id, gt_id, n as num_matches, round(n / sum(n) over (partition by sequence, id), 6) as purity, round(m, 6) as mean_iou from dc
         qualify row_number() over (partition by sequence, id order by n desc, first, gt_id) = 1)"""
 
@@ -204,9 +204,9 @@ def _matched(spark, sf):
     return transponder.band_match(predictions(spark, sf), truth(spark, sf))
 
 
-@query(BAND + " select * from bm")
+@query(BAND + " select * exclude (exact_iou) from bm")
 def gt_iou_match(spark, sf):
-    return _matched(spark, sf)
+    return _matched(spark, sf).drop("exact_iou")
 
 
 @query(DOMINANT + " select * from dom")
