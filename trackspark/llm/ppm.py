@@ -1,16 +1,17 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-The model is a trie of byte contexts: how often each byte followed each context of up to ``ORDER`` bytes
-in the training texts. A text is its words, each closed by a separator, and one end; contexts reach back
-to the start of the word (padded there), so a word's probability depends on the word alone and is worked
-out once per distinct word. A byte is looked for in the longest context first; if it never followed
-there, the escape probability (as many escapes as distinct followers) is paid and the next shorter
-context is tried, with all followers of the longer one excluded.
-
-Work is split so that nothing whole passes through one place: blocks of documents count their own words;
-counts meet by word; blocks of words count their own (context, byte) pairs, which meet by their shorter
-context (all levels from two bytes on depend only on pairs that end in the same two context bytes; the
-levels below have at most 2**16 pairs and are sent to all tasks); word scores return to the blocks.
+The model is a trie of byte contexts: how often each byte followed each context of up to ``ORDER`` bytes in
+the training texts. A text is its lower-case words, each closed by a space, and one end; contexts reach
+across words, and before the text there is padding. A byte is looked for in the longest context first; if it
+never followed there, an escape is paid and the next shorter context is tried, with all followers of the
+longer one excluded. How likely an escape is in a context of so many occurrences and distinct followers is
+estimated from the training texts themselves: each occurrence is left out in turn, and it counts whether its
+byte then needs the escape. States seldom met lean towards as many escapes as distinct followers.
+
+Work is split so that nothing whole passes through one place: blocks of documents count their own
+(context, byte) pairs; counts meet by pair, then by the two nearest context bytes (all levels from two bytes
+on depend only on pairs that share them; the levels below have at most 2**16 pairs and are sent to all
+tasks); pair scores return to the blocks. Words are counted beside for the add-one base score.
 """
 
 from __future__ import annotations
@@ -28,14 +29,19 @@ from pyspark.sql import functions as F
 from ._common import split_words, stored, text_slices
 
 #: Bytes of context; a pair of context and byte is packed in ORDER + 1 bytes of a long.
-ORDER = 4
-PAD, SEPARATOR, END = 0x09, 0x20, 0x0A
+ORDER = 5
+#: Before and after a text; UTF-8 has neither byte.
+PAD, END = 0xFF, 0xFE
 #: The end of a text as a word; no word holds this byte.
 END_WORD = "\n"
-#: Text in one block of documents, and distinct words in one block of words.
-DOC_BLOCK_BYTES, WORD_BLOCK = 24_000_000, 200_000
-#: Parts of the trie, by the two nearest context bytes.
-TRIE_PARTS = 128
+#: Text in one block of documents.
+DOC_BLOCK_BYTES = 8_000_000
+#: Pairs in one part of the trie, parts at least (there are at most 2**16: the two nearest context bytes).
+PART_PAIRS, LEAST_PARTS = 1_000_000, 128
+#: Grades (half powers of two) of occurrences and of followers for escape estimates, and the weight of the plain estimate.
+GRADES, PRIOR = 32, 2.0
+#: A-Z to a-z, white space to one space.
+_PLAIN = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     "))
 
 
 def is_held_out(doc_id: object, modulus: int, rest: int) -> bool:
@@ -43,17 +49,26 @@ def is_held_out(doc_id: object, modulus: int, rest: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % modulus == rest
 
 
-def word_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (context, byte) pairs of all words, and the word each belongs to."""
-    pad = bytes([PAD]) * ORDER
-    size = np.fromiter((1 if w == b"\n" else len(w) + 1 for w in words), np.int64, len(words))
-    data = np.frombuffer(b"".join(pad + (w if w == b"\n" else w + b" ") for w in words), np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), size)
-    at = np.arange(len(owner)) + ORDER * (owner + 1)
+def plain_bytes(texts: pa.Array | pa.ChunkedArray) -> bytes:
+    """Padding, words each followed by a space, and the end, for each text (null: no words)."""
+    before, after = bytes([PAD]) * ORDER, bytes([0x20, END])
+    data = b"".join(before + (t or b"").translate(_PLAIN) + after for t in texts.cast(pa.large_binary()).to_pylist())
+    data = np.frombuffer(data, np.uint8)
+    space = data == 0x20
+    keep = ~space
+    keep[1:] |= ~(space[:-1] | (data[:-1] == PAD))
+    return data[keep].tobytes()
+
+
+def byte_pairs(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Packed (context, byte) pair of each byte that is not padding, and the text it belongs to."""
+    data = np.frombuffer(plain, np.uint8)
+    at = np.flatnonzero(data != PAD)
     packed = np.zeros(len(at), np.int64)
     for back in range(ORDER, -1, -1):
         packed = (packed << 8) | data[at - back]
-    return packed, owner
+    end = data[at] == END
+    return packed, np.cumsum(end) - end
 
 
 def _by_key(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,44 +84,84 @@ def _get(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray
     return np.where(keys[place] == wanted, values[place], 0.0)
 
 
-def pair_scores(pairs: np.ndarray, counts: np.ndarray, low_keys: np.ndarray, low_counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each pair's byte after its context.
+def _cut(pairs: np.ndarray, level: int) -> np.ndarray:
+    """Pairs with ``level`` context bytes."""
+    return pairs & ((1 << 8 * (level + 1)) - 1)
+
+
+def trie_levels(pairs: np.ndarray, counts: np.ndarray, low_keys: np.ndarray, low_counts: np.ndarray) -> list[tuple]:
+    """For each number of context bytes: pairs, counts, contexts, their occurrences and distinct followers.
 
     ``pairs`` must hold all pairs that share their two nearest context bytes with one of them;
     ``low_keys`` are all pairs of one context byte and a byte (sorted), with their counts.
     """
-    levels = {}  # level j: pairs of j context bytes, their counts, contexts, totals and distinct followers
+    levels = []
     for j in range(ORDER + 1):
         if j >= 2:
-            key, n = _by_key(pairs & ((1 << 8 * (j + 1)) - 1), counts)
-        elif j == 1:
-            key, n = low_keys, low_counts
+            key, n = _by_key(_cut(pairs, j), counts)
         else:
-            key, n = _by_key(low_keys & 0xFF, low_counts)
-        seen = n > 0
-        key, n = key[seen], n[seen]
+            key, n = (low_keys, low_counts) if j else _by_key(low_keys & 0xFF, low_counts)
+        key, n = key[n > 0], n[n > 0]
         context, total = _by_key(key >> 8, n)
-        levels[j] = key, n, context, total, _by_key(key >> 8, np.ones(len(key)))[1]
+        levels.append((key, n, context, total, _by_key(key >> 8, np.ones(len(key)))[1]))
+    return levels
+
+
+def _state(levels: list[tuple], j: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the wanted pairs at level ``j``, and occurrences and followers of their contexts.
+
+    ``wanted`` has level ``j + 1`` (or ``ORDER``): what followed the longer context is excluded from the two.
+    """
+    key, n, context, total, followers = levels[j]
+    own = _cut(wanted, j)
+    here, t, d = _get(key, n, own), _get(context, total, own >> 8), _get(context, followers, own >> 8)
+    if j < ORDER:
+        longer_key, _, longer, _, longer_followers = levels[j + 1]
+        cut_context, cut_total = _by_key(longer_key >> 8, _get(key, n, _cut(longer_key, j)))
+        t = t - _get(cut_context, cut_total, wanted >> 8)
+        d = d - _get(longer, longer_followers, wanted >> 8)
+    return here, t, d
+
+
+def _grade(x: np.ndarray) -> np.ndarray:
+    return np.minimum(2 * np.log2(np.maximum(x, 1)), GRADES - 1).astype(np.int64)
+
+
+def escape_counts(levels: list[tuple]) -> np.ndarray:
+    """Finds and escapes by level and grades of occurrences and followers, each occurrence left out in turn.
+
+    Only occurrences that come down to a level count there: those whose longer pair occurred once.
+    """
+    table = np.zeros((ORDER + 1, GRADES, GRADES, 2))
+    for j in range(ORDER, 0, -1):
+        if j == ORDER:
+            wanted, weight = levels[j][:2]
+            here, t, d = _state(levels, j, wanted)
+        else:
+            wanted = levels[j + 1][0][levels[j + 1][1] == 1]
+            weight = np.ones(len(wanted))
+            here, t, d = _state(levels, j, wanted)
+            t, d = t + here, d + 1  # left out, the byte did not follow the longer context
+        single = here == 1
+        t, d = t - 1, d - single
+        met = t > 0
+        np.add.at(table[j], (_grade(t[met]), _grade(d[met]), single[met].astype(np.int64)), weight[met])
+    return table
+
+
+def pair_scores(pairs: np.ndarray, levels: list[tuple], escapes: np.ndarray) -> np.ndarray:
+    """log10 probability of each pair's byte after its context."""
     score, open_ = np.zeros(len(pairs)), np.ones(len(pairs), bool)
-    longer_context, longer = None, None
     for j in range(ORDER, -1, -1):
-        key, n, context, total, followers = levels[j]
-        own = pairs & ((1 << 8 * (j + 1)) - 1)
-        here = _get(key, n, own)
-        t, d = _get(context, total, own >> 8), _get(context, followers, own >> 8)
-        if longer is not None:  # exclusion of all that followed the longer context
-            longer_key = longer[0]
-            inner = longer_key & ((1 << 8 * (j + 1)) - 1)
-            cut_context, cut_total = _by_key(longer_key >> 8, _get(key, n, inner))
-            t = t - _get(cut_context, cut_total, longer_context)
-            d = d - _get(longer[2], longer[4], longer_context)
-        use = open_ & (t + d > 0)
+        here, t, d = _state(levels, j, _cut(pairs, min(ORDER, j + 1)))
+        finds, misses = np.moveaxis(escapes[j][_grade(t), _grade(d)], -1, 0)
+        use = open_ & (t > 0)
         found = use & (here > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where(found, score + np.log10(here / (t + d)), score)
-            score = np.where(use & ~found, score + np.log10(d / (t + d)), score)
+            escape = (misses + PRIOR * d / (t + d)) / (finds + misses + PRIOR)
+            score = np.where(found, score + np.log10((1 - escape) * here / t), score)
+            score = np.where(use & ~found, score + np.log10(escape), score)
         open_ &= ~found
-        longer, longer_context = levels[j], own >> 8
     rest = 256 - len(levels[0][0])  # bytes never seen at all share what is left evenly
     return np.where(open_, score - np.log10(max(1, rest)), score)
 
@@ -122,7 +177,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     squeeze = lambda a, t: zstandard.compress(np.ascontiguousarray(a, t).tobytes(), 3)
-    block_schema = f"block long, ids array<{kind}>, held array<boolean>, ends binary, codes binary, times binary, words array<string>, trained array<long>"
+    block_schema = f"block long, ids array<{kind}>, held array<boolean>, ends binary, codes binary, times binary, plain binary, words array<string>, trained array<long>"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, waiting, size = TaskContext.get().partitionId() << 32, [], 0
@@ -151,7 +206,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
         ends = np.cumsum(np.bincount(pair // len(trained), minlength=len(size)))
         said = pa.concat_arrays([words.cast(pa.string()), pa.array([END_WORD])]).take(pa.array(order))
         code = pair % len(trained)
-        row = [[block], [ids], [held.tolist()], [squeeze(ends, "<u4")], [squeeze(code, "<u4")], [squeeze(times, "<u4")]]
+        row = [[block], [ids], [held.tolist()], [squeeze(ends, "<u4")], [squeeze(code, "<u4")], [squeeze(times, "<u4")], [zstandard.compress(plain_bytes(table["text"]), 3)]]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(said)], pa.int32()), x) for x in (said, pa.array(trained[order]))]
         names = [c.split()[0] for c in block_schema.split(", ")]
         return pa.RecordBatch.from_arrays([*map(pa.array, row[:1]), pa.array(row[1], pa.list_(table["id"].type)), *map(pa.array, row[2:]), *lists], names)
@@ -160,50 +215,63 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
     blocks = stored(picked.mapInArrow(count, block_schema), "lm-blocks")
     asked = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.trained").alias("n"))
     words = stored(asked.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    rows, tokens, known = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    parts = max(1, -(-rows // WORD_BLOCK))
-    words = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int"))
-
-    def pairs_of(table: pa.Table) -> pa.Table:
-        pair, owner = word_pairs(table["word"].cast(pa.binary()).to_pylist())
-        pair, n = _by_key(pair, table["n"].to_numpy()[owner])
-        return pa.table({"part": pa.repeat(table["part"][0], len(pair)), "pair": pair, "n": n.astype(np.int64)})
+    tokens, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
 
-    wanted = stored(words.groupBy("part").applyInArrow(pairs_of, "part int, pair long, n long"), "lm-pairs")
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pair, doc = byte_pairs(zstandard.decompress(row["plain"]))
+                held = np.array(row["held"], bool)[doc]
+                seen, n = np.unique(pair[~held], return_counts=True)
+                asked_only = np.setdiff1d(pair[held], seen)
+                pair, n = np.concatenate([seen, asked_only]), np.concatenate([n, np.zeros(len(asked_only), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), row["block"])), pa.array(pair), pa.array(n)], ["block", "pair", "n"])
+
+    wanted = stored(blocks.select("block", "held", "plain").mapInArrow(pairs_of, "block long, pair long, n long"), "lm-pairs")
+    trie = stored(wanted.groupBy("pair").agg(F.sum("n").alias("n")), "lm-trie")
     # the last two bytes: at most 2**16 rows
-    low = np.array([tuple(r) for r in wanted.groupBy(F.col("pair").bitwiseAND(0xFFFF).alias("k")).agg(F.sum("n")).orderBy("k").collect()], np.int64).reshape(-1, 2)
-    shared = docs.sparkSession.sparkContext.broadcast((low[:, 0].copy(), low[:, 1].astype(float)))
+    low = np.array([tuple(r) for r in trie.groupBy(F.col("pair").bitwiseAND(0xFFFF).alias("k")).agg(F.sum("n")).orderBy("k").collect()], np.int64).reshape(-1, 2)
+    low_keys, low_counts = low[:, 0].copy(), low[:, 1].astype(float)
+    parts = min(1 << 16, max(LEAST_PARTS, trie.count() // PART_PAIRS))
+    trie = trie.withColumn("part", F.pmod(F.xxhash64(F.shiftright("pair", 8).bitwiseAND(0xFFFF)), F.lit(parts)).cast("int"))
+    shared = docs.sparkSession.sparkContext.broadcast((low_keys, low_counts))
 
-    def scored(table: pa.Table) -> pa.Table:
-        pair = table["pair"].to_numpy()
-        return pa.table({"pair": pair, "score": pair_scores(pair, table["n"].to_numpy().astype(float), *shared.value)})
+    def escaped(table: pa.Table) -> pa.Table:
+        found = escape_counts(trie_levels(table["pair"].to_numpy(), table["n"].to_numpy().astype(float), *shared.value)).reshape(-1)
+        return pa.table({"state": np.flatnonzero(found), "n": found[found > 0]})
 
-    trie = wanted.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("bucket", (F.shiftright("pair", 8).bitwiseAND(0xFFFF) % TRIE_PARTS).cast("int"))
-    trie = trie.groupBy("bucket").applyInArrow(scored, "pair long, score double")
-    answers = wanted.select("part", "pair").join(trie, "pair")
+    escapes = np.zeros((ORDER + 1, GRADES, GRADES, 2))
+    for r in trie.groupBy("part").applyInArrow(escaped, "state long, n double").groupBy("state").agg(F.sum("n").alias("n")).collect():  # at most one row a state
+        escapes.reshape(-1)[r.state] = r.n
+    estimates = docs.sparkSession.sparkContext.broadcast(escapes)
 
-    def word_scores(table: pa.Table, known: pa.Table) -> pa.Table:
-        if not len(table):
-            return pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        order = np.argsort(known["pair"].to_numpy())
-        pair, owner = word_pairs(table["word"].cast(pa.binary()).to_pylist())
-        each = known["score"].to_numpy()[order][np.searchsorted(known["pair"].to_numpy()[order], pair)]
-        return pa.table({"word": table["word"], "n": table["n"], "score": np.bincount(owner, weights=each, minlength=len(table))})
+    def scored(table: pa.Table) -> pa.Table:
+        pair = table["pair"].to_numpy()
+        levels = trie_levels(pair, table["n"].to_numpy().astype(float), *shared.value)
+        return pa.table({"pair": pair, "score": pair_scores(pair, levels, estimates.value)})
 
-    by_word = words.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(word_scores, "word string, n long, score double")
-    back = asked.select("block", "pos", "word").join(by_word, "word").select(F.col("block").alias("to_block"), "pos", "n", "score")
+    scores = trie.groupBy("part").applyInArrow(scored, "pair long, score double")
+    by_pair = wanted.select("block", "pair").join(scores, "pair").select(F.col("block").alias("to_block"), F.col("pair").alias("at"), F.lit(None).cast("long").alias("n"), "score")
+    by_word = asked.select("block", "pos", "word").join(words, "word").select(F.col("block").alias("to_block"), F.col("pos").cast("long").alias("at"), "n", F.lit(None).cast("double").alias("score"))
+    back = by_pair.unionByName(by_word)
 
     def text_scores(table: pa.Table, known: pa.Table) -> pa.Table:
         out = {"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        place = known["pos"].to_numpy()
-        n, score = np.zeros(len(place)), np.zeros(len(place))
-        n[place], score[place] = known["n"].to_numpy(), known["score"].to_numpy()
+        is_word = known["n"].is_valid().to_numpy()
+        at, each, times_of = known["at"].to_numpy(), known["score"].fill_null(0.0).to_numpy(), known["n"].fill_null(0).to_numpy()
+        n = np.zeros(int(is_word.sum()))
+        n[at[is_word]] = times_of[is_word]
+        order = np.flatnonzero(~is_word)
+        order = order[np.argsort(at[order])]
+        pairs, score = at[order], each[order]
         base = np.log10((n + 1) / (tokens + known_words + 1))
         for row in table.to_pylist():
             ends, codes, times = (np.frombuffer(zstandard.decompress(row[c]), "<u4").astype(np.int64) for c in ("ends", "codes", "times"))
             doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
             total = lambda each: np.bincount(doc, weights=times * each, minlength=len(ends))  # noqa: B023, E731
-            for name, values in (("doc_id", row["ids"]), ("held_out", row["held"]), ("n_tokens", total(np.ones(len(codes))).astype(np.int64)), ("n_known", total((n > 0)[codes]).astype(np.int64)), ("base_score", total(base[codes])), ("score", total(score[codes]))):
+            pair, owner = byte_pairs(zstandard.decompress(row["plain"]))
+            whole = np.bincount(owner, weights=score[np.searchsorted(pairs, pair)], minlength=len(ends))
+            for name, values in (("doc_id", row["ids"]), ("held_out", row["held"]), ("n_tokens", total(np.ones(len(codes))).astype(np.int64)), ("n_known", total((n > 0)[codes]).astype(np.int64)), ("base_score", total(base[codes])), ("score", whole)):
                 out[name].extend(values)
         types = {"doc_id": table["ids"].type.value_type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}
         return pa.table({c: pa.array(v, types.get(c, pa.float64())) for c, v in out.items()})
