@@ -34,8 +34,8 @@ ORDER = 5
 PAD, END = 0xFF, 0xFE
 #: The end of a text as a word; no word holds this byte.
 END_WORD = "\n"
-#: Text in one block of documents.
-DOC_BLOCK_BYTES = 8_000_000
+#: Text in one block of documents (fewer blocks repeat fewer pairs), and bytes looked at together in a block.
+DOC_BLOCK_BYTES, AT_ONCE = 24_000_000, 1 << 21
 #: Pairs in one part of the trie, parts at least (there are at most 2**16: the two nearest context bytes).
 PART_PAIRS, LEAST_PARTS = 1_000_000, 128
 #: Grades (half powers of two) of occurrences and of followers for escape estimates, and the weight of the plain estimate.
@@ -60,15 +60,17 @@ def plain_bytes(texts: pa.Array | pa.ChunkedArray) -> bytes:
     return data[keep].tobytes()
 
 
-def byte_pairs(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (context, byte) pair of each byte that is not padding, and the text it belongs to."""
-    data = np.frombuffer(plain, np.uint8)
-    at = np.flatnonzero(data != PAD)
-    packed = np.zeros(len(at), np.int64)
-    for back in range(ORDER, -1, -1):
-        packed = (packed << 8) | data[at - back]
-    end = data[at] == END
-    return packed, np.cumsum(end) - end
+def byte_pairs(plain: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed (context, byte) pair of each byte that is not padding, and the text it belongs to, in pieces."""
+    data, first = np.frombuffer(plain, np.uint8), 0
+    for start in range(0, len(data), AT_ONCE):
+        at = start + np.flatnonzero(data[start : start + AT_ONCE] != PAD)
+        packed = np.zeros(len(at), np.int64)
+        for back in range(ORDER, -1, -1):
+            packed = (packed << 8) | data[at - back]
+        end = data[at] == END
+        yield packed, first + np.cumsum(end) - end
+        first += int(end.sum())
 
 
 def _by_key(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,11 +222,11 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                pair, doc = byte_pairs(zstandard.decompress(row["plain"]))
-                held = np.array(row["held"], bool)[doc]
-                seen, n = np.unique(pair[~held], return_counts=True)
-                asked_only = np.setdiff1d(pair[held], seen)
-                pair, n = np.concatenate([seen, asked_only]), np.concatenate([n, np.zeros(len(asked_only), np.int64)])
+                held, found = np.array(row["held"], bool), [(np.empty(0, np.int64), np.empty(0))]
+                for pair, doc in byte_pairs(zstandard.decompress(row["plain"])):
+                    found.append(_by_key(pair, ~held[doc]))
+                pair, n = _by_key(*map(np.concatenate, zip(*found, strict=True)))
+                n = n.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), row["block"])), pa.array(pair), pa.array(n)], ["block", "pair", "n"])
 
     wanted = stored(blocks.select("block", "held", "plain").mapInArrow(pairs_of, "block long, pair long, n long"), "lm-pairs")
@@ -248,17 +250,17 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
     def scored(table: pa.Table) -> pa.Table:
         pair = table["pair"].to_numpy()
         levels = trie_levels(pair, table["n"].to_numpy().astype(float), *shared.value)
-        return pa.table({"pair": pair, "score": pair_scores(pair, levels, estimates.value)})
+        return pa.table({"pair": pair, "score": pair_scores(pair, levels, estimates.value).astype(np.float32)})
 
-    scores = trie.groupBy("part").applyInArrow(scored, "pair long, score double")
+    scores = trie.groupBy("part").applyInArrow(scored, "pair long, score float")
     by_pair = wanted.select("block", "pair").join(scores, "pair").select(F.col("block").alias("to_block"), F.col("pair").alias("at"), F.lit(None).cast("long").alias("n"), "score")
-    by_word = asked.select("block", "pos", "word").join(words, "word").select(F.col("block").alias("to_block"), F.col("pos").cast("long").alias("at"), "n", F.lit(None).cast("double").alias("score"))
+    by_word = asked.select("block", "pos", "word").join(words, "word").select(F.col("block").alias("to_block"), F.col("pos").cast("long").alias("at"), "n", F.lit(None).cast("float").alias("score"))
     back = by_pair.unionByName(by_word)
 
     def text_scores(table: pa.Table, known: pa.Table) -> pa.Table:
         out = {"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []}
         is_word = known["n"].is_valid().to_numpy()
-        at, each, times_of = known["at"].to_numpy(), known["score"].fill_null(0.0).to_numpy(), known["n"].fill_null(0).to_numpy()
+        at, each, times_of = known["at"].to_numpy(), known["score"].fill_null(0.0).to_numpy().astype(float), known["n"].fill_null(0).to_numpy()
         n = np.zeros(int(is_word.sum()))
         n[at[is_word]] = times_of[is_word]
         order = np.flatnonzero(~is_word)
@@ -269,8 +271,9 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
             ends, codes, times = (np.frombuffer(zstandard.decompress(row[c]), "<u4").astype(np.int64) for c in ("ends", "codes", "times"))
             doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
             total = lambda each: np.bincount(doc, weights=times * each, minlength=len(ends))  # noqa: B023, E731
-            pair, owner = byte_pairs(zstandard.decompress(row["plain"]))
-            whole = np.bincount(owner, weights=score[np.searchsorted(pairs, pair)], minlength=len(ends))
+            whole = np.zeros(len(ends))
+            for pair, owner in byte_pairs(zstandard.decompress(row["plain"])):
+                whole += np.bincount(owner, weights=score[np.searchsorted(pairs, pair)], minlength=len(ends))
             for name, values in (("doc_id", row["ids"]), ("held_out", row["held"]), ("n_tokens", total(np.ones(len(codes))).astype(np.int64)), ("n_known", total((n > 0)[codes]).astype(np.int64)), ("base_score", total(base[codes])), ("score", whole)):
                 out[name].extend(values)
         types = {"doc_id": table["ids"].type.value_type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}
