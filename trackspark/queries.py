@@ -28,6 +28,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: What the given SQL leaves out. A query named ``..._all`` does the whole job; its SQL is the given one without the cut.
+CUTS = (" where id <= 40", " where id % 2 = 0", " where a.id % 2 = 0 and b.id % 2 = 0")
+
+
+def whole(f: Query) -> Query:
+    sql = ORACLES[f.__name__.removesuffix("_all")]
+    for cut in CUTS:
+        sql = sql.replace(cut, "")
+    QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+    return f
+
+
 @query("select * from obs")
 def mot_rows(spark, sf):
     return observations(spark, sf)
@@ -227,8 +239,8 @@ STATES = f"""+ o2 as (select *, floor(frame / 200)::int as span, x + w / 2 as cx
 SPAN = ["sequence", "span"]
 
 
-def _states(spark, sf):
-    return encounters.vessel_states(observations(spark, sf).where("id <= 40").withColumn("span", F.floor(F.col("frame") / 200).cast("int")), SPAN)
+def _states(spark, sf, which="id <= 40"):
+    return encounters.vessel_states(observations(spark, sf).where(which).withColumn("span", F.floor(F.col("frame") / 200).cast("int")), SPAN)
 
 
 def _rounded(df, *columns):
@@ -240,6 +252,11 @@ def vessel_state(spark, sf):
     return _rounded(_states(spark, sf), "px", "py", "vx", "vy", "speed", "heading")
 
 
+@whole
+def vessel_state_all(spark, sf):
+    return _rounded(_states(spark, sf, "true"), "px", "py", "vx", "vy", "speed", "heading")
+
+
 RISK = STATES + """, r0 as (select a.sequence, a.span, a.id as own_id, b.id as other_id, b.px - a.px as rx, b.py - a.py as ry, b.vx - a.vx as rvx, b.vy - a.vy as rvy from st a join st b on a.sequence = b.sequence and a.span = b.span and a.id < b.id),
     r1 as (select *, sqrt(rx * rx + ry * ry) as d, sqrt(rvx * rvx + rvy * rvy) as rs from r0),
     r2 as (select *, greatest(0, least(30, case when rs <= 1e-9 then 0 else -(rx * rvx + ry * rvy) / greatest(rs * rs, 1e-9) end)) as t from r1),
@@ -248,11 +265,20 @@ RISK = STATES + """, r0 as (select a.sequence, a.span, a.id as own_id, b.id as o
         + case when frames_to_closest > 0 then 0.15::double * least(1, greatest(0, 1 - closest_distance / 250)) else 0 end)), 6) as risk from r3)"""
 
 
+def _risks(states):
+    df = encounters.risks(encounters.pairs(states, SPAN, both_ways=False))
+    return df.select(*SPAN, "own_id", "other_id", "distance", "closest_distance", "frames_to_closest", "relative_speed", "risk", "candidate")
+
+
 @query(RISK + """ select sequence, span, own_id, other_id, round(d, 6) as distance, closest_distance, frames_to_closest, relative_speed, risk,
     d <= 250 or (closest_distance <= 250 and relative_speed >= 0.5) or risk >= 0.2 as candidate from r4""")
 def closest_approach_risk(spark, sf):
-    df = encounters.risks(encounters.pairs(_states(spark, sf), SPAN, both_ways=False))
-    return df.select(*SPAN, "own_id", "other_id", "distance", "closest_distance", "frames_to_closest", "relative_speed", "risk", "candidate")
+    return _risks(_states(spark, sf))
+
+
+@whole
+def closest_approach_risk_all(spark, sf):
+    return _risks(_states(spark, sf, "true"))
 
 
 ENCOUNTER = STATES + f""", c0 as (select a.sequence, a.span, a.id as own_id, b.id as other_id, least(a.observations, b.observations) as obs_n, least(a.speed, b.speed) as slow, a.speed as own_speed, b.speed as other_speed,
@@ -269,10 +295,19 @@ ENCOUNTER = STATES + f""", c0 as (select a.sequence, a.span, a.id as own_id, b.i
         else greatest(0.1, least(0.45, 1 - d / 250)) end)), 6) as confidence from c2)"""
 
 
+def _encounters(states):
+    df = encounters.classify(encounters.pairs(states, SPAN))
+    return df.select(*SPAN, "own_id", "other_id", "bearing", "turn", "encounter", "confidence")
+
+
 @query(ENCOUNTER + " select sequence, span, own_id, other_id, round(bearing, 6) as bearing, round(turn, 6) as turn, case when kind not in ('UNKNOWN', 'NO_INTERACTION') and confidence < 0.6 then 'UNKNOWN' else kind end as encounter, confidence from c3")
 def classify_encounter(spark, sf):
-    df = encounters.classify(encounters.pairs(_states(spark, sf), SPAN))
-    return df.select(*SPAN, "own_id", "other_id", "bearing", "turn", "encounter", "confidence")
+    return _encounters(_states(spark, sf))
+
+
+@whole
+def classify_encounter_all(spark, sf):
+    return _encounters(_states(spark, sf, "true"))
 
 
 HIDDEN = """+ h0 as (select sequence, id, frame, w, h, x + w / 2 as cx, y + h / 2 as cy from pred),
@@ -307,8 +342,8 @@ def occluder_pairs(spark, sf):
     return occlusion.occluders(hidden, predictions(spark, sf))
 
 
-def _cameras(spark, sf):
-    return observations(spark, sf).where("id % 2 = 0"), predictions(spark, sf).where("id % 2 = 0")
+def _cameras(spark, sf, which="id % 2 = 0"):
+    return observations(spark, sf).where(which), predictions(spark, sf).where(which)
 
 
 @query("""+ a as (select sequence, frame, id as a_id, row_number() over (partition by sequence, frame order by x + w / 2, id) as rank, count(*) over (partition by sequence, frame) as n from obs where id % 2 = 0),
@@ -318,15 +353,25 @@ def rank_x_pairs(spark, sf):
     return cameras.ranked_pairs(*_cameras(spark, sf))
 
 
+@whole
+def rank_x_pairs_all(spark, sf):
+    return cameras.ranked_pairs(*_cameras(spark, sf, "true"))
+
+
 @query("""+ j as (select a.sequence, a.frame, a.id as a_id, b.id as b_id, round(sqrt(power((a.x + a.w / 2) / 1920 - (b.x + b.w / 2) / 1920, 2) + power((a.y + a.h / 2) / 1080 - (b.y + b.h / 2) / 1080, 2)), 6) as distance
     from obs a join pred b on a.sequence = b.sequence and a.frame = b.frame where a.id % 2 = 0 and b.id % 2 = 0) select * from j where distance <= 0.1""")
 def center_distance_candidates(spark, sf):
     return cameras.near_pairs(*_cameras(spark, sf))
 
 
+@whole
+def center_distance_candidates_all(spark, sf):
+    return cameras.near_pairs(*_cameras(spark, sf, "true"))
+
+
 @query()
 def fuse_cameras(spark, sf):
-    return cameras.greedy_pairs(cameras.near_pairs(*_cameras(spark, sf)))
+    return cameras.greedy_pairs(cameras.near_pairs(*_cameras(spark, sf, "true")))
 
 
 @query()
