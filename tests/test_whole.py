@@ -8,7 +8,7 @@ from trackspark import queries
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["vessel_state", "closest_approach_risk", "classify_encounter", "center_distance_candidates"])
+@pytest.mark.parametrize("name", ["vessel_state", "closest_approach_risk", "classify_encounter", "center_distance_candidates", "iou_pairs", "nearest_boxes", "ais_align"])
 def test_all_rows_hold_the_given_ones_and_more(spark, name):
     given, found = (queries.QUERIES[n](spark, SF) for n in (name, f"{name}_all"))
     assert given.exceptAll(found).isEmpty() and found.count() > given.count()
@@ -24,3 +24,10 @@ def test_cameras_rank_and_match_odd_ids(spark):
     for name in ("rank_x_pairs_all", "center_distance_candidates_all", "fuse_cameras"):
         df = queries.QUERIES[name](spark, SF)
         assert df.where("a_id % 2 = 1").count() and df.where("b_id % 2 = 1").count(), name
+
+
+def test_every_box_is_judged_and_every_transponder_may_be_chosen(spark):
+    boxes = queries.observations(spark, SF).count()
+    assert queries.QUERIES["nearest_boxes_all"](spark, SF).count() == boxes
+    assert queries.QUERIES["localization_all"](spark, SF).where("sequence = 'OVERALL'").first().num_truth == boxes
+    assert queries.QUERIES["ais_assign_all"](spark, SF).where("mmsi % 25 <> 0").count()

@@ -52,7 +52,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("sequence", "frame", new_id.alias("id"), x.alias("x"), y.alias("y"), "w", "h", "confidence", "class_id", "visibility")
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transponder reports (mmsi, ts, x, y)."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey % 25 = 0")
+def reports(spark: SparkSession, sf_dir: str, which: str = "o_custkey % 25 = 0") -> DataFrame:
+    """Transponder reports (mmsi, ts, x, y): those of the given SQL, or with ``which`` of "true" all."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(which)
     return o.groupBy(F.col("o_custkey").cast("string").alias("mmsi"), _day("o_orderdate").cast("double").alias("ts")).agg(F.min(F.floor("o_totalprice") % 1920).cast("double").alias("x"), F.min(F.col("o_orderkey") % 1080).cast("double").alias("y"))

@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: What the given SQL leaves out. A query named ``..._all`` does the whole job; its SQL is the given one without the cut.
-CUTS = (" where id <= 40", " where id % 2 = 0", " where a.id % 2 = 0 and b.id % 2 = 0")
+CUTS = (" where id <= 40", " where id % 2 = 0", " where a.id % 2 = 0 and b.id % 2 = 0", " where id % 5 = 0", " where o_custkey % 25 = 0")
 
 
 def whole(f: Query) -> Query:
@@ -63,6 +63,11 @@ def gt_validate(spark, sf):
     return evaluation.validate(truth(spark, sf))
 
 
+@whole
+def gt_validate_all(spark, sf):
+    return evaluation.validate(observations(spark, sf))
+
+
 @query("select sequence, frame, 1 as id, x, y, w, h, 1.0::double as confidence, class_id, 1.0::double as visibility from obs where id in (3, 7, 9) and frame between 100 and 1500")
 def merge_ids_to_gt(spark, sf):
     return evaluation.merge_ids(observations(spark, sf), [3, 7, 9], 1, 100, 1500).select(*OBSERVED)
@@ -151,6 +156,11 @@ def iou_pairs(spark, sf):
     return evaluation.iou_pairs(truth(spark, sf), predictions(spark, sf))
 
 
+@whole
+def iou_pairs_all(spark, sf):
+    return evaluation.iou_pairs(observations(spark, sf), predictions(spark, sf))
+
+
 NEAREST = """+ e as (select g.sequence, g.frame, g.id as gt_id, p.id as pred_id, round(sqrt(power(g.x + g.w / 2 - p.x - p.w / 2, 2) + power(g.y + g.h / 2 - p.y - p.h / 2, 2)), 6) as error
     from gt g left join pred p on g.sequence = p.sequence and g.frame = p.frame),
     near as (select sequence, frame, gt_id, pred_id, error from e qualify row_number() over (partition by sequence, frame, gt_id order by error nulls last, pred_id) = 1)"""
@@ -161,18 +171,33 @@ def nearest_boxes(spark, sf):
     return evaluation.nearest(truth(spark, sf), predictions(spark, sf))
 
 
+@whole
+def nearest_boxes_all(spark, sf):
+    return evaluation.nearest(observations(spark, sf), predictions(spark, sf))
+
+
 @query(NEAREST + """ select coalesce(sequence, 'OVERALL') as sequence, count(*) as num_truth, count(error) as matched, count(*) - count(error) as missing,
     round(avg(error), 6) as mean_error, round(median(error), 6) as median_error, max(error) as max_error from near group by rollup (sequence)""")
 def localization(spark, sf):
     return evaluation.localization(truth(spark, sf), predictions(spark, sf))
 
 
+@whole
+def localization_all(spark, sf):
+    return evaluation.localization(observations(spark, sf), predictions(spark, sf))
+
+
 @query("""+ a as (select sequence, frame, count(*) as num_truth from gt group by 1, 2), b as (select sequence, frame, count(*) as num_predicted from pred group by 1, 2)
     select sequence, frame, coalesce(num_truth, 0) as num_truth, coalesce(num_predicted, 0) as num_predicted from a full join b using (sequence, frame)""")
 def frame_union(spark, sf):
     return evaluation.frame_union(truth(spark, sf), predictions(spark, sf))
 
 
+@whole
+def frame_union_all(spark, sf):
+    return evaluation.frame_union(observations(spark, sf), predictions(spark, sf))
+
+
 @query("select coalesce(a.sequence, b.sequence) as sequence, case when b.sequence is null then 'missing_predicted' when a.sequence is null then 'missing_truth' else 'paired' end as status from (select distinct sequence from gt) a full join (select distinct sequence from pred where sequence <> 'AO') b on a.sequence = b.sequence")
 def pairing_report(spark, sf):
     return evaluation.pairing(truth(spark, sf), predictions(spark, sf).where("sequence <> 'AO'"))
@@ -185,8 +210,8 @@ ALIGNED = """+ grid as (select k + 1 as frame, k * 7.0::double as t from range(3
         union all select mmsi, frame::int, round(x, 6), 'nearest_last_record' from iv join grid on last and t > ts and t - ts <= 60)"""
 
 
-def _aligned(spark, sf):
-    return transponder.align(reports(spark, sf), 365, 7.0, 60.0)
+def _aligned(spark, sf, which="o_custkey % 25 = 0"):
+    return transponder.align(reports(spark, sf, which), 365, 7.0, 60.0)
 
 
 @query(ALIGNED + " select * from al")
@@ -194,13 +219,26 @@ def ais_align(spark, sf):
     return _aligned(spark, sf)
 
 
+@whole
+def ais_align_all(spark, sf):
+    return _aligned(spark, sf, "true")
+
+
+def _weekly(spark, sf):
+    # the grid of reports has a frame a week, the tracks one a day
+    return predictions(spark, sf).withColumn("frame", (F.floor(F.col("frame") / 7) + 1).cast("int"))
+
+
 @query(ALIGNED + """, j as (select sequence, id, mmsi, count(*) as overlap, avg(least(1, greatest(0, 1 - abs(p.x + p.w / 2 - al.x) / 250.0::double))) as pos from (select * replace ((frame // 7 + 1)::int as frame) from pred) p join al using (frame) group by 1, 2, 3),
     s as (select *, round((pos + least(1.0::double, overlap / 5.0::double)) / 2, 6) as score from j)
     select sequence, id, case when score >= 0.6 then mmsi end as mmsi, score, overlap from s qualify row_number() over (partition by sequence, id order by score desc, mmsi) = 1""")
 def ais_assign(spark, sf):
-    # the grid of reports has a frame a week, the tracks one a day
-    weekly = predictions(spark, sf).withColumn("frame", (F.floor(F.col("frame") / 7) + 1).cast("int"))
-    return transponder.assign(weekly, _aligned(spark, sf))
+    return transponder.assign(_weekly(spark, sf), _aligned(spark, sf))
+
+
+@whole
+def ais_assign_all(spark, sf):
+    return transponder.assign(_weekly(spark, sf), _aligned(spark, sf, "true"))
 
 
 BAND = f"""+ t(turn, shift) as (values (0, 0), (1, -1), (2, 1)),
@@ -212,8 +250,8 @@ DOMINANT = BAND + """, dc as (select sequence, id, gt_id, count(*) as n, min(fra
         qualify row_number() over (partition by sequence, id order by n desc, first, gt_id) = 1)"""
 
 
-def _matched(spark, sf):
-    return transponder.band_match(predictions(spark, sf), truth(spark, sf))
+def _matched(spark, sf, true_boxes=truth):
+    return transponder.band_match(predictions(spark, sf), true_boxes(spark, sf))
 
 
 @query(BAND + " select * exclude (exact_iou) from bm")
@@ -221,16 +259,31 @@ def gt_iou_match(spark, sf):
     return _matched(spark, sf).drop("exact_iou")
 
 
+@whole
+def gt_iou_match_all(spark, sf):
+    return _matched(spark, sf, observations).drop("exact_iou")
+
+
 @query(DOMINANT + " select * from dom")
 def dominant_identity(spark, sf):
     return transponder.dominant(_matched(spark, sf))
 
 
+@whole
+def dominant_identity_all(spark, sf):
+    return transponder.dominant(_matched(spark, sf, observations))
+
+
 @query(DOMINANT + " select sequence, gt_id, count(*) as num_tracks, count(*) - 1 as switches, round(avg(purity), 6) as mean_purity from dom group by 1, 2")
 def fragmentation(spark, sf):
     return transponder.fragmentation(transponder.dominant(_matched(spark, sf)))
 
 
+@whole
+def fragmentation_all(spark, sf):
+    return transponder.fragmentation(transponder.dominant(_matched(spark, sf, observations)))
+
+
 NORM = "(case when ({0}) + 180 - 360 * floor((({0}) + 180) / 360) - 180 = -180 then 180 else ({0}) + 180 - 360 * floor((({0}) + 180) / 360) - 180 end)"
 STATES = f"""+ o2 as (select *, floor(frame / 200)::int as span, x + w / 2 as cx, y + h / 2 as cy from obs where id <= 40),
     st0 as (select sequence, span, id, max(frame) as frame, count(*) as observations, max_by(cx, frame) as px, max_by(cy, frame) as py,
