@@ -8,7 +8,7 @@ from trackspark import queries
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["vessel_state", "closest_approach_risk", "classify_encounter", "center_distance_candidates", "iou_pairs", "nearest_boxes", "ais_align"])
+@pytest.mark.parametrize("name", ["vessel_state", "closest_approach_risk", "classify_encounter", "center_distance_candidates", "iou_pairs", "nearest_boxes", "ais_align", "cosine_similarity"])
 def test_all_rows_hold_the_given_ones_and_more(spark, name):
     given, found = (queries.QUERIES[n](spark, SF) for n in (name, f"{name}_all"))
     assert given.exceptAll(found).isEmpty() and found.count() > given.count()
@@ -31,3 +31,9 @@ def test_every_box_is_judged_and_every_transponder_may_be_chosen(spark):
     assert queries.QUERIES["nearest_boxes_all"](spark, SF).count() == boxes
     assert queries.QUERIES["localization_all"](spark, SF).where("sequence = 'OVERALL'").first().num_truth == boxes
     assert queries.QUERIES["ais_assign_all"](spark, SF).where("mmsi % 25 <> 0").count()
+
+
+def test_each_query_vector_meets_all_others(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    met = queries.QUERIES["cosine_similarity_all"](spark, SF).groupBy("a_id").agg({"b_id": "count"}).collect()
+    assert len(met) == -(-n // 20) and {c for _, c in met} == {n - 1}
