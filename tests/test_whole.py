@@ -21,7 +21,7 @@ def test_every_vessel_has_a_state(spark):
 
 
 def test_cameras_rank_and_match_odd_ids(spark):
-    for name in ("rank_x_pairs_all", "center_distance_candidates_all", "fuse_cameras"):
+    for name in ("rank_x_pairs_all", "center_distance_candidates_all"):
         df = queries.QUERIES[name](spark, SF)
         assert df.where("a_id % 2 = 1").count() and df.where("b_id % 2 = 1").count(), name
 

@@ -425,7 +425,8 @@ def center_distance_candidates_all(spark, sf):
 
 @query()
 def fuse_cameras(spark, sf):
-    return cameras.greedy_pairs(cameras.near_pairs(*_cameras(spark, sf, "true")))
+    a, b = _cameras(spark, sf, "true")
+    return cameras.fuse(a, b, cameras.greedy_pairs(cameras.near_pairs(a, b)))
 
 
 @query()
