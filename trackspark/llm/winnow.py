@@ -19,6 +19,8 @@ GRAM, WINDOW = 5, 8
 POSITIONS = 2**32 - 1
 #: Documents in one range of ids, within which the next document is found.
 RANGE_ROWS = 1024
+#: Quantiles of the ids that bound ranges; between two of them ranges have equal widths.
+MOST_CUTS = 1024
 
 
 def _shifted(name: str, by: int, f) -> Column:
@@ -70,13 +72,18 @@ def likeness(a: str, b: str) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows of (doc_id, text) with a sort bucket; the first row of each bucket also ends the bucket before, as a guest.
 
-    Buckets are ranges of ids, so that the next row is found inside a bucket. Of equal ids the text
+    Buckets are ranges of ids of about as many rows each, so that the next row is found inside a bucket. Of equal ids the text
     decides; null ids come first. The last bucket's guest is the first row of all.
     """
-    stats = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, rows = stats[0] or 0, stats[1] or 0, stats[2]
-    width = max(1, (high - low + 1) * RANGE_ROWS // max(1, rows))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
+    rows = max(1, docs.count())
+    parts = max(1, min(MOST_CUTS, rows // RANGE_ROWS))
+    low, high, inner = docs.agg(F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()
+    cuts = sorted({low or 0, *((inner or []) if parts > 1 else [])})
+    each = -(-rows // (RANGE_ROWS * parts))  # ranges of equal width between two cuts; one while the cuts suffice
+    widths = [(b - a) // each + 1 for a, b in zip(cuts, [*cuts[1:], (high or 0) + 1], strict=True)]
+    at = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id")))
+    offset = F.floor((F.col("doc_id") - F.element_at(F.lit(cuts), at)) / F.element_at(F.lit(widths), at))
+    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(at * (each + 1) + offset).cast("long")
     df = docs.select("doc_id", "text", bucket.alias("bucket"))
     # one row per bucket: a small table, about a thousandth of the rows
     starts = df.select("bucket", "doc_id").distinct().groupBy("bucket").agg(F.min("doc_id").alias("start"))

@@ -83,14 +83,32 @@ def _table(sequence: str, decided: list[tuple]) -> pd.DataFrame:
 
 
 def live_batch(tracks: DataFrame) -> DataFrame:
-    """Decisions of whole sequences; a sequence is one group, as each decision depends on the ones before."""
+    """Decisions of whole sequences, each read once in order of frames, as each decision depends on the ones before.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        mapper = LiveMapper(LiveState())
-        decided = [d for frame, part in _frames(rows) for d in mapper.update(frame, part)]
-        return _table(rows["sequence"].iloc[0], decided + list(mapper.flush()))
+    A task holds one batch of rows, the frame that the batch may have cut, and the state; Spark sorts, on disk if need be.
+    """
 
-    return tracks.select("sequence", "frame", "id", "x", "y").groupBy("sequence").applyInPandas(one, SCHEMA)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mapper, now, rest = None, None, None
+        for batch in batches:
+            for sequence, rows in batch.groupby("sequence", sort=False, dropna=False):
+                sequence = None if pd.isna(sequence) else sequence
+                if mapper is None or sequence != now:
+                    if mapper is not None:
+                        yield _table(now, [*_decided(mapper, rest), *mapper.flush()])
+                    mapper, now, rest = LiveMapper(LiveState()), sequence, rows.iloc[:0]
+                rows = pd.concat([rest, rows]) if len(rest) else rows
+                rest = rows[rows["frame"] == rows["frame"].iloc[-1]]  # may go on in the next batch
+                yield _table(now, _decided(mapper, rows[rows["frame"] != rows["frame"].iloc[-1]]))
+        if mapper is not None:
+            yield _table(now, [*_decided(mapper, rest), *mapper.flush()])
+
+    rows = tracks.select("sequence", "frame", "id", "x", "y").repartition("sequence").sortWithinPartitions("sequence", "frame")
+    return rows.mapInPandas(run, SCHEMA)
+
+
+def _decided(mapper: LiveMapper, rows: pd.DataFrame) -> list[tuple]:
+    return [d for frame, part in _frames(rows) for d in mapper.update(frame, part)]
 
 
 def live_stream(tracks: DataFrame) -> DataFrame:
