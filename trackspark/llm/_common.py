@@ -16,12 +16,14 @@ BLOCK_BYTES = 4_000_000
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which every executor sees.
+    """A fresh folder below ``spark.checkpoint.dir`` (or the folder given to ``setCheckpointDir``), which every executor sees.
 
-    Only where that setting is absent (tests, a laptop) a local temporary folder is set instead.
+    Without either a session on one machine (tests, a laptop) gets a temporary folder; on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="trackspark-")
@@ -29,22 +31,42 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark drops the shuffle files of a query as soon as it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Its shuffle files go once it is written; the written table stays until ``discard``.
+    """
     spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = work_dir(spark, name), spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def block_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[Column, int]:
-    """Column with the block of a document and the number of blocks; a block holds about ``block_bytes``.
+def block_of(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[Column, int]:
+    """Column with the block of a row and the number of blocks; a block holds about ``block_bytes``.
 
-    The block depends on the id and the text, so copies of one id do not pile up in one block.
+    Rows are dealt by their place in the input, so neither copies of a text nor repeated rows pile up in one block.
     """
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
-    return F.pmod(F.xxhash64(F.col(id_col), F.substring(F.col(text_col), 1, 64)), F.lit(blocks)).cast("int"), blocks
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"), blocks
 
 
 def text_slices(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = 2 * BLOCK_BYTES) -> Iterator[pa.Table]:

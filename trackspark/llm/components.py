@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of long ids -> (node, component): the smallest id that each node reaches.
 
     Every round is two aggregations and joins over the edges; no neighbourhood is gathered anywhere. Null
-    ends and loops are ignored; repeated edges are harmless; no edges give no rows.
+    ends and loops are ignored; repeated edges are harmless; no edges give no rows. The result is stored.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _stars(edges):
@@ -23,9 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node's smaller neighbours, and itself, move there too
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, edges = edges, stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
+    discard(edges)
+    return found
 
 
 def _stars(edges: DataFrame) -> bool:

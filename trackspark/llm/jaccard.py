@@ -1,18 +1,19 @@
 """Exact Jaccard join of documents on word shingles, with an R-tree over count vectors.
 
 1. A document is its set of shingle hashes. Documents of equal sets are one class, led by its smallest id.
-2. Two sets of likeness t share ``m`` of their first ``n - ceil(t n) + m`` elements in any order common to
-   all, m being that of the set with the smaller m. Here m is 1 and one more for every ``STEP`` elements,
-   and the order puts the most frequent shingles (found on a bounded sample; a bad guess costs time, never
-   a link) last, the rest by hash. Classes with fewer leading elements that others share drop out.
-3. Each class goes with its set to the groups of its first three such elements. In a group, the elements'
-   hashes are dealt into ``CELLS`` cells and a set's cell counts are a point. Points are packed into
-   leaves with the largest count per cell; a sum of cell-wise minima bounds the overlap from above, first
-   for leaves, then for points, and what is left is verified on the sets. Classes that are already in one
-   component need no second proof. Large groups are split, with the same first classes in each part.
-4. What may still be missing are links between different components whose classes share a leading
-   element but met in no group: the same bounds name the pairs, and they are verified on their sets.
-5. Components come from all links.
+2. Two sets of likeness t share ``m`` of their first ``n - ceil(t n) + m`` elements in any order common to all, m
+   being that of the set with the smaller m; here m is 1 and one more for every ``STEP`` elements. In the order of
+   the hashes this leaves the classes that share enough leading elements with others.
+3. Among these, elements are counted and ordered again, the rarest first: an element of one class only cannot be
+   shared, and classes with too few shared leading elements drop out. Those left meet in groups, one for each
+   shared leading element (now m is 1); elements with the same members are one group.
+4. Each class goes with its set to its first ``HOMES`` groups. In a group, the elements' hashes are dealt into
+   ``CELLS`` cells and a set's cell counts are a point. Points are packed into leaves with the largest count per
+   cell; a sum of cell-wise minima bounds the overlap from above, first for leaves, then for points, and what is
+   left is verified on the sets. Only links leave the group. Classes of one component need no second proof.
+5. The groups that still hold different components are searched in the same way: classes outside a group's largest
+   component meet every part of it, the others only their own part.
+6. Components come from all links.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import gram_hashes, mix, ragged_take, split_words, stored, text_slices, word_hashes
+from ._common import discard, gram_hashes, mix, ragged_take, split_words, stored, text_slices, word_hashes
 from .components import components
 
 WORDS = 5
@@ -32,23 +33,21 @@ WORDS = 5
 PERCENT = 75
 #: Elements of a set for each leading element that partners must share besides one.
 STEP = 16
-#: Bits of the map of classes whose sets are wanted: a fixed size; a full map costs time, never a link.
-MAP_BITS = 1 << 25
+#: Bits of the map of classes whose sets are wanted for each class, and at most; a full map costs time, never a link.
+MAP_BITS_EACH, MAP_BITS = 32, 1 << 28
 #: Cells of a count vector, and points in a leaf.
 CELLS, LEAF = 128, 16
-#: Groups each class is clustered in, classes in one part of a group, and classes that lead every part.
-HOMES, PART, LEADERS = 3, 2000, 4
-#: Classes of one shared element that are compared in one task; more are split into pairs of parts.
-RESIDUAL_PART = 20000
-#: Frequent shingles that go last, and documents looked at to find them.
-FREQUENT, SAMPLE = 1 << 18, 32768
+#: Groups each class is clustered in first, and classes in one part of a group.
+HOMES, PART = 3, 2000
+#: Sets looked at in one call, and pairs verified side by side.
+SETS_AT_ONCE, PAIRS_AT_ONCE = 500, 64
 
 
-def shingle_sets(texts: pa.Array, frequent: np.ndarray, words_each: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct elements of each text in the common order, one text after another, and offsets by text.
+def shingle_sets(texts: pa.Array, words_each: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements of each text in ascending order, one text after another, and offsets by text.
 
-    An element is the upper 63 bits of a shingle's hash, with the highest bit set if it is frequent. A text of
-    fewer words has one shingle of all its words; one without words has none.
+    An element is the upper 63 bits of a shingle's hash. A text of fewer words has one shingle of all its words; one
+    without words has none.
     """
     words, codes, offsets = split_words(texts, lower=True)
     hashes, size = word_hashes(words)[codes], np.diff(offsets)
@@ -67,9 +66,6 @@ def shingle_sets(texts: pa.Array, frequent: np.ndarray, words_each: int = WORDS)
             value.append(acc)
             owner.append(some)
     value, owner = np.concatenate(value) >> np.uint64(1), np.concatenate(owner)
-    if len(frequent):
-        place = np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)
-        value = np.where(frequent[place] == value, value | np.uint64(1 << 63), value)
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
     new = np.ones(len(value), bool)
@@ -87,21 +83,6 @@ def _signature(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return total(mix(values)), total(mix(values ^ np.uint64(0xC2B2AE3D27D4EB4F)))
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Most frequent elements of a bounded sample, at most ``FREQUENT``; only the order depends on them."""
-    every = max(1, docs.count() // SAMPLE)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [shingle_sets(part["text"], np.empty(0, np.uint64))[0] for batch in batches for part in text_slices(batch)]
-        if found:
-            value, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
-
-    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").coalesce(4)
-    top = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "key").limit(FREQUENT)
-    return np.sort(np.array([r.key for r in top.select("key").collect()], np.int64).view(np.uint64))
-
-
 class CountTree:
     """R-tree of two levels over cell counts: leaves of points of like size with the corners of their boxes."""
 
@@ -135,30 +116,29 @@ def cell_counts(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(owner * CELLS + cell, minlength=(len(offsets) - 1) * CELLS).reshape(-1, CELLS).astype(np.uint32)
 
 
-def cluster(ids: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Smallest id of each set's component inside a group; every pair that might link two components is verified."""
-    sizes = np.diff(offsets)
-    counts = cell_counts(values, offsets)
-    tree = CountTree(sizes, counts)
-    root = np.arange(len(ids))
+def overlaps(own: np.ndarray, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many of the ascending elements ``own`` each of the sets has."""
+    other = ragged_take(values, starts, lengths)
+    place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+    return np.add.reduceat((own[place] == other).astype(np.int64), np.cumsum(lengths) - lengths)
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
 
-    for i in np.argsort(sizes, kind="stable"):
+def cluster(ids: np.ndarray, values: np.ndarray, offsets: np.ndarray, label: np.ndarray, asking: np.ndarray) -> list[tuple[int, int]]:
+    """Links inside a group that join different labels; each of ``asking`` is held against all others."""
+    sizes = np.diff(offsets)
+    counts = cell_counts(values, offsets)
+    tree, label, links = CountTree(sizes, counts), label.copy(), []
+    for i in asking[np.argsort(sizes[asking], kind="stable")]:
         own = values[offsets[i] : offsets[i + 1]]
-        for j in tree.near(int(sizes[i]), counts[i]):
-            a, b = find(i), find(j)
-            if a != b and j != i:
-                both = len(np.intersect1d(own, values[offsets[j] : offsets[j + 1]], assume_unique=True))
-                if 100 * both >= PERCENT * (sizes[i] + sizes[j] - both):
-                    root[max(a, b)] = min(a, b)
-    top = np.array([find(i) for i in range(len(ids))], np.int64)
-    least = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(least, top, ids)
-    return least[top]
+        near = tree.near(int(sizes[i]), counts[i])
+        while len(near := near[label[near] != label[i]]):
+            some, near = near[:PAIRS_AT_ONCE], near[PAIRS_AT_ONCE:]
+            both = overlaps(own, values, offsets[some], sizes[some])
+            for j in some[100 * both >= PERCENT * (sizes[i] + sizes[some] - both)]:
+                if label[j] != label[i]:
+                    links.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+    return links
 
 
 def _groups(*keys: np.ndarray) -> Iterator[np.ndarray]:
@@ -169,187 +149,149 @@ def _groups(*keys: np.ndarray) -> Iterator[np.ndarray]:
         yield from np.split(order, np.flatnonzero(change) + 1)
 
 
-def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    lists = lists.combine_chunks()
-    return lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+def _linked(table: pa.Table) -> pa.Table:
+    """Links of each (key, part) of a table with rep, elements, component and guest (held against all of its part)."""
+    lists = table["elements"].combine_chunks()
+    values, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    ids, key, part, component = (table[c].to_numpy() for c in ("rep", "key", "part", "component"))
+    guest, found = table["guest"].to_numpy(), []
+    for rows in _groups(key, part):
+        label = np.unique(component[rows], return_inverse=True)[1]
+        if label.max() and guest[rows].any():
+            length = offsets[rows + 1] - offsets[rows]
+            own = ragged_take(values, offsets[rows], length)
+            found += cluster(ids[rows], own, np.concatenate([[0], np.cumsum(length)]), label, np.flatnonzero(guest[rows]))
+    found = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def _search(places: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of the groups in ``places``: key, part, rep, s1, component, guest."""
+    places = stored(places, "places")
+    calls = max(1, places.count() // SETS_AT_ONCE)
+    placed = places.join(sets, ["rep", "s1"]).withColumn("call", F.pmod(F.xxhash64("key", "part"), F.lit(calls)).cast("int"))
+    links = stored(placed.groupBy("call").applyInArrow(_linked, "a long, b long"), "links")
+    discard(places)
+    return links
+
+
+def _leading(n: str, shared: int = 0) -> Column:
+    """Leading elements of a set of ``n`` of which partners share one (or, with STEP, some more)."""
+    return F.col(n) - F.ceil(F.col(n) * PERCENT / 100) + 1 + (F.floor(F.col(n) / shared) if shared else 0)
+
+
+def _least() -> Column:
+    """Leading elements that a partner of a set of ``n`` shares at least, as it can be so much smaller."""
+    return F.floor(F.ceil(F.col("n") * PERCENT / 100) / STEP) + 1
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", needed: list[DataFrame] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Null, empty and blank texts have no shingles and link with nothing. Rows of one id count as one document.
-    Rows of a null id are not linked and have a null component. Ids must be integers.
+    Rows of a null id are not linked and have a null component. Ids must be integers. The stored tables that the
+    result reads are added to ``needed``, so that a caller can discard them after use.
     """
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                value, offsets = shingle_sets(part["text"], frequent.value)
-                yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array(np.diff(offsets)), *map(pa.array, _signature(value, offsets))], ["id", "n", "s1", "s2"])
-
-    all_rows = stored(docs.mapInArrow(described, "id long, n long, s1 long, s2 long"), "sets")
-    slim = all_rows.where("n > 0 and id is not null")
-    classes = stored(slim.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-
-    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                value, offsets = shingle_sets(part["text"], frequent.value)
+                value, offsets = shingle_sets(part["text"])
                 n, ids = np.diff(offsets), part["id"].combine_chunks()
-                s1 = _signature(value, offsets)[0]
+                s1, s2 = _signature(value, offsets)
                 # copies within the slice lead once, by their smallest id
                 order = np.lexsort((ids.fill_null(0).to_numpy(), s1))
                 order = order[(n[order] > 0) & ids.is_valid().to_numpy(zero_copy_only=False)[order]]
-                order = order[np.append(True, s1[order][1:] != s1[order][:-1])] if len(order) else order
-                length = n[order] - -(-n[order] * PERCENT // 100) + 1 + n[order] // STEP
-                key = ragged_take(value, offsets[:-1][order], length)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(np.repeat(order, length))), pa.array(np.repeat(s1[order], length))], ["key", "rep", "s1"])
-
-    by_key = Window.partitionBy("key")
-    lead = docs.mapInArrow(leading, "key long, rep long, s1 long")
-    shared = lead.withColumn("lo", F.min("s1").over(by_key)).withColumn("hi", F.max("s1").over(by_key)).where("lo < hi").select("key", "rep")
-    shared = shared.join(classes.groupBy("rep").agg(F.min("n").alias("n")), "rep")
-    least = F.floor(F.ceil(F.col("n") * PERCENT / 100) / STEP) + 1  # a partner can be that much smaller
-    shared = shared.withColumn("own", F.count("*").over(Window.partitionBy("rep"))).where(F.col("own") >= least)
-    shared = stored(shared.withColumn("size", F.count("*").over(by_key)).where("size > 1").select("key", "rep", "n"), "shared")
-
-    bits = shared.select(F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS)).alias("slot")).distinct()
-    bits = bits.groupBy(F.expr("cast(slot div 32 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits"))
-    wanted = np.zeros(MAP_BITS // 32, np.uint32)
-    for r in bits.toLocalIterator():  # at most MAP_BITS / 32 rows
-        wanted[r.word] = r.bits
-    wanted = spark.sparkContext.broadcast(wanted)
+                order = np.sort(order[np.append(True, s1[order][1:] != s1[order][:-1])] if len(order) else order)
+                length = np.zeros(len(n), np.int64)
+                length[order] = n[order] - -(-n[order] * PERCENT // 100) + 1 + n[order] // STEP
+                lead = _lists(ragged_take(value, offsets[:-1], length), np.concatenate([[0], np.cumsum(length)]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(s1), pa.array(s2), lead], ["id", "n", "s1", "s2", "lead"])
+
+    all_rows = stored(docs.mapInArrow(described, "id long, n long, s1 long, s2 long, lead array<long>"), "sets")
+    classes = stored(all_rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
+
+    # classes that share enough leading elements in the order of the hashes
+    lead = all_rows.select(F.explode("lead").alias("key"), F.col("id").alias("rep"), "s1")
+    keys = lead.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("key")
+    owns = lead.select("key", "rep").join(keys, "key").groupBy("rep").agg(F.count("*").alias("own"))
+    left = stored(owns.join(classes.groupBy("rep").agg(F.min("n").alias("n")), "rep").where(F.col("own") >= _least()).select("rep"), "left")
+    wanted = spark.sparkContext.broadcast(_map_of(left))
+    size = 32 * len(wanted.value)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(2).fill_null(0).to_numpy()
             batch = batch.filter(pa.array((wanted.value[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1))
             for part in text_slices(batch):
-                value, offsets = shingle_sets(part["text"], frequent.value)
-                yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), _lists(value, offsets)], ["rep", "elements"])
-
-    mapped = docs.where("id is not null").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)))
-    sets = stored(mapped.select("id", "text", "slot").mapInArrow(full, "rep long, elements array<long>"), "elements")
-
-    # each class to its first groups; parts of a large group share its first classes
-    homes = shared.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.col("key") < 0, "key"))).where(F.col("r") <= HOMES)
-    homes = homes.withColumn("size", F.count("*").over(by_key)).where("size > 1")
-    homes = homes.withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
-    homes = homes.withColumn("place", F.row_number().over(by_key.orderBy("rep")))
-    leads = (F.col("parts") > 1) & (F.col("place") <= LEADERS)
-    homes = homes.withColumn("part", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))))
-    homes = stored(homes.select("key", "part", "rep"), "homes")
-    placed = homes.join(sets, "rep")
-    buckets = max(1, homes.count() // 500)
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)).cast("int"))
-
-    def clustered(table: pa.Table) -> pa.Table:
-        values, offsets = _flat(table["elements"])
-        ids, key, part = (table[c].to_numpy() for c in ("rep", "key", "part"))
-        a, b = [], []
-        for rows in _groups(key, part):
-            if len(rows) > 1:
-                own = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in rows])
-                ends = np.concatenate([[0], np.cumsum(offsets[rows + 1] - offsets[rows])])
-                top = cluster(ids[rows], own, ends)
-                linked = top != ids[rows]
-                a.append(ids[rows][linked])
-                b.append(top[linked])
-        none = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
-
-    links = stored(placed.groupBy("bucket").applyInArrow(clustered, "a long, b long"), "links")
-    found = stored(components(links), "found")
-
-    # classes of different components that share a leading element
-    vectors = sets.select("rep", F.col("elements"))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, offsets = _flat(pa.chunked_array([batch.column(1)]))
-            raw = cell_counts(values, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in raw], pa.binary())], ["rep", "cells"])
-
-    rest = shared.select("key", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    # groups in which a class has been compared with all others
-    met = homes.groupBy("rep").agg(F.collect_list(F.xxhash64("key", "part")).alias("met"))
-    rest = rest.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo < hi").drop("lo", "hi")
-    # sizes further apart than the likeness never meet: each size class and the next
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)))).cast("int")
-    rest = rest.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    by_band = Window.partitionBy("key", "band")
-    rest = rest.withColumn("lo", F.min("component").over(by_band)).withColumn("hi", F.max("component").over(by_band)).withColumn("size", F.count("*").over(by_band)).where("lo < hi")
-    rest = rest.withColumn("parts", F.ceil(F.col("size") / RESIDUAL_PART).cast("int")).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
-    rest = stored(rest.select("key", "band", "own", "x", "y", "side", "rep", "n", "component"), "rest")
-    buckets_rest = max(1, rest.count() // 20000)
-    met = met.withColumn("met", F.transform(F.array(*[F.lit(i) for i in range(HOMES)]), lambda i: F.get("met", i)))
-    rest = rest.join(met, "rep", "left").join(vectors.mapInArrow(counted, "rep long, cells binary"), "rep").withColumn("bucket", F.pmod(F.xxhash64("key", "band", "x", "y"), F.lit(buckets_rest)).cast("int"))
-
-    def allowed(table: pa.Table) -> pa.Table:
-        key, band_, own, x, y, side, ids, n, comp = (table[c].to_numpy() for c in ("key", "band", "own", "x", "y", "side", "rep", "n", "component"))
-        counts = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint32).reshape(-1, CELLS)
-        met_ = np.array([m or [None] * HOMES for m in table["met"].to_pylist()], dtype=object).reshape(-1, HOMES)
-        known = np.array([v is not None for v in met_.reshape(-1)]).reshape(-1, HOMES)
-        met_ = np.array([v or 0 for v in met_.reshape(-1)], np.int64).reshape(-1, HOMES)
-
-        def open_pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            """Pairs to be proved: each once, in the lower of its bands, across the parts if there are two, not yet compared."""
-            fits = (comp[i] != comp[j]) & (ids[i] != ids[j]) & (np.maximum(own[i], own[j]) == band_[i]) & ((x[i] == y[i]) | (side[i] != side[j]))
-            i, j = i[fits], j[fits]
-            together = ((met_[i][:, :, None] == met_[j][:, None, :]) & known[i][:, :, None] & known[j][:, None, :]).any(axis=(1, 2))
-            fits[np.flatnonzero(fits)[together]] = False
-            return fits
-
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for rows in _groups(key, band_, x, y):
-            if len(rows) <= 200:  # one node: its pairs side by side
-                i, j = (rows[k] for k in np.triu_indices(len(rows), 1))
-                fits = open_pairs(i, j)
-                i, j = i[fits], j[fits]
-                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                fits = small * 100 >= large * PERCENT
-                i, j = i[fits], j[fits]
-                bound = np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.int64)
-                fits = bound * (100 + PERCENT) >= PERCENT * (n[i] + n[j])
-                i, j = i[fits], j[fits]
-            else:
-                tree, i, j = CountTree(n[rows], counts[rows]), [], []
-                for k in rows:
-                    near = rows[tree.near(int(n[k]), counts[k])]
-                    near = near[ids[near] > ids[k]]
-                    near = near[open_pairs(np.full(len(near), k), near)]
-                    i.append(np.full(len(near), k))
-                    j.append(near)
-                i, j = np.concatenate(i), np.concatenate(j)
-            a.append(np.minimum(ids[i], ids[j]))
-            b.append(np.maximum(ids[i], ids[j]))
-        pairs, count = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1, return_counts=True)
-        size = dict(zip(ids.tolist(), n.tolist(), strict=True))
-        least = [1 + min(size[i], size[j]) // STEP for i, j in pairs.T.tolist()]
-        return pa.table({"a": pairs[0], "b": pairs[1], "shared": count.astype(np.int64), "least": pa.array(least, pa.int64())})
-
-    pairs = rest.groupBy("bucket").applyInArrow(allowed, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least")
-    pairs = stored(pairs.select("a", "b"), "pairs")
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    named = sets.join(stored(ends, "ends"), "rep", "left_semi")
-    left, right = named.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), named.select(F.col("rep").alias("b"), F.col("elements").alias("eb"))
-    both = F.size(F.array_intersect("ea", "eb"))
-    checked = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("ea") + F.size("eb")).alias("s"))
-    more = checked.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * PERCENT).select("a", "b")
+                value, offsets = shingle_sets(part["text"])
+                some = np.diff(offsets) > 0
+                s1 = _signature(value, offsets)[0]
+                rows = pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array(s1), _lists(value, offsets)], ["rep", "s1", "elements"])
+                yield rows.filter(pa.array(some))
+
+    mapped = docs.where("id is not null").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(size)))
+    sets = mapped.select("id", "text", "slot").mapInArrow(full, "rep long, s1 long, elements array<long>").dropDuplicates(["rep", "s1"])
+    sets = stored(sets.join(left, "rep", "left_semi"), "elements")
+
+    # the order by counts: what only one set has leads, and is not shared
+    each = sets.select("rep", "s1", F.size("elements").cast("long").alias("n"), F.explode("elements").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(often, "key").groupBy("rep", "s1", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("e"))
+    alone = F.col("n") - F.size("e")
+    ranked = ranked.where(_leading("n", STEP) - alone >= _least()).withColumn("e", F.slice("e", 1, F.greatest(F.lit(0), _leading("n") - alone).cast("int")))
+    members = stored(ranked.select("rep", "s1", F.explode("e.key").alias("key")), "members")
+
+    # one group for each set of members
+    whom = F.struct("rep", "s1")
+    groups = members.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep", "s1")).alias("x"), F.bit_xor(F.xxhash64("s1", "rep", F.lit(1))).alias("y"), F.min(whom).alias("first"))
+    groups = groups.where("size > 1").groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.first("first").alias("first"))
+    places = stored(members.join(groups.select("key", "size", "first"), "key"), "groups")
+    rarest = F.row_number().over(Window.partitionBy("rep", "s1").orderBy("size", "key"))
+    homes = stored(places.withColumn("r", rarest).where(F.col("r") <= HOMES).drop("r"), "homes")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    own = F.array(F.pmod(F.xxhash64("rep", "s1"), parts).cast("int"))
+    anew = F.xxhash64("rep", "s1").alias("component")  # every set is a component of its own
+    part = F.explode(F.when(whom == F.col("first"), F.sequence(F.lit(0), parts - 1)).otherwise(own)).alias("part")
+    links = _search(homes.select("key", part, "rep", "s1", anew, F.lit(True).alias("guest")), sets)
+    found = components(links)
+
+    # groups with different components in which not all have met
+    of = found.select(F.col("node").alias("rep"), "component")
+    rest = places.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sure = homes.groupBy("key").agg(F.count("*").alias("met"), F.first("size").alias("size")).where((F.col("met") == F.col("size")) & (F.col("size") <= PART))
+    each = rest.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components"))
+    open_ = each.where("components > 1").join(sure.select("key"), "key", "left_anti")
+    rest = rest.join(open_.select("key", "main"), "key").withColumn("guest", F.col("component") != F.col("main"))
+    part = F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), parts - 1)).otherwise(own)).alias("part")
+    more = _search(rest.select("key", part, "rep", "s1", "component", "guest"), sets)
+    discard(members, places, homes, sets, left)
+
     # the new links join components: their graph has a node per component
-    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    more = stored(more, "more-links")
-    found = found.withColumnRenamed("node", "rep")
-    if not more.isEmpty():
-        joined = stored(components(more), "joined")
-        found = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("rep", F.coalesce("whole", "component").alias("component"))
-        alone = joined.select(F.col("node").alias("rep"), "component").join(found.select("rep"), "rep", "left_anti")
-        found = found.unionByName(alone)
-    ids = all_rows.join(classes, ["n", "s1", "s2"], "left").join(found, "rep", "left")
+    at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    more_ = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(more_)
+    whole = found.select(F.col("node").alias("rep"), "component").join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("rep", F.coalesce("whole", "component").alias("component"))
+    single = joined.select(F.col("node").alias("rep"), "component").join(found.select(F.col("node").alias("rep")), "rep", "left_anti")
+    whole = stored(whole.unionByName(single), "found")
+    discard(links, more, found, joined)
+    if needed is not None:
+        needed += [all_rows, classes, whole]
+    ids = all_rows.join(classes, ["n", "s1", "s2"], "left").join(whole, "rep", "left")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     return ids.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _map_of(left: DataFrame) -> np.ndarray:
+    """Bit map of the hashed ids in ``left``; its size follows their number up to ``MAP_BITS``."""
+    size = 1 << 10
+    while size < min(MAP_BITS, MAP_BITS_EACH * left.count()):
+        size *= 2
+    bits = left.select(F.pmod(F.xxhash64("rep"), F.lit(size)).alias("slot")).distinct()
+    bits = bits.groupBy(F.expr("cast(slot div 32 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits"))
+    found = np.zeros(size // 32, np.uint32)
+    for r in bits.toLocalIterator():  # at most MAP_BITS / 32 rows
+        found[r.word] = r.bits
+    return found
