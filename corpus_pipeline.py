@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackspark.llm._common import stored
+from trackspark.llm._common import discard, stored
 from trackspark.llm.jaccard import jaccard_classes
 from trackspark.llm.langid import UNKNOWN, Training, identify, train, training_rows
 from trackspark.llm.packing import pack_documents
@@ -21,8 +21,12 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rules or come from a rejected host."""
-    return judged(docs).where("kept").select("row.*")
+    """Drop documents that fail the base rules or come from a rejected host.
+
+    Null and empty texts have fewer words than the rules ask for and go. Repeated rows are judged alike. Only the
+    hosts' counts are kept between the two readings of the texts, so no copy of the texts is written.
+    """
+    return judged(docs, keep_measures=False).where("kept").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +45,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     the one stays whose other columns are least.
     """
     named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    made = []
     if named.groupBy("doc_id").count().where("count > 1").isEmpty():
         named = named.withColumn("own_id", F.col("doc_id"))
     else:
@@ -50,19 +55,28 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         one = stored(one.select("doc_id", "text", *[F.col("rest")[c].alias(c) for c in rest], "turn"), "numbered")
         most = one.agg(F.max("turn")).first()[0]
         named = one.withColumn("own_id", F.col("doc_id") * most + F.col("turn") - 1).drop("turn")
-    kept = jaccard_classes(named.select(F.col("own_id").alias("doc_id"), "text")).where("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return named.join(kept, named["own_id"] == kept["kept_id"], "left_semi").select(*docs.columns).unionByName(nameless)
+    found = jaccard_classes(named.select(F.col("own_id").alias("doc_id"), "text"), needed=made)
+    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    discard(*made)
+    return named.join(gone, named["own_id"] == gone["gone_id"], "left_anti").select(*docs.columns).unionByName(nameless)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove passages of 13 words and more that a document of smaller id holds."""
+    """Remove passages of 13 words and more that a document of smaller id holds.
+
+    Documents that lose no word keep their text as it is, null and empty ones too; of the others words are joined by
+    one space. Rows of one id do not remove each other's words.
+    """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     done = remove_repeats(docs, keep=rest, untouched_as_is=True).withColumnRenamed("kept_text", "text")
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences of at most 2048 tokens; the pieces, without their ids."""
+    """Pack all documents into sequences of at most 2048 tokens; the pieces, without their ids.
+
+    Null and empty texts are packed as the end id alone; repeated rows and null ids like any other row.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 

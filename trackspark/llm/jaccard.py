@@ -11,8 +11,9 @@
    ``CELLS`` cells and a set's cell counts are a point. Points are packed into leaves with the largest count per
    cell; a sum of cell-wise minima bounds the overlap from above, first for leaves, then for points, and what is
    left is verified on the sets. Only links leave the group. Classes of one component need no second proof.
-5. The groups that still hold different components are searched in the same way: classes outside a group's largest
-   component meet every part of it, the others only their own part.
+5. The groups that still hold different components are searched in the same way, those of a family of components in
+   one go if the family is of moderate size: classes outside the largest component meet every part of the group or
+   family, the others only their own part.
 6. Components come from all links.
 """
 
@@ -39,6 +40,8 @@ MAP_BITS_EACH, MAP_BITS = 32, 1 << 28
 CELLS, LEAF = 128, 16
 #: Groups each class is clustered in first, and classes in one part of a group.
 HOMES, PART = 3, 2000
+#: Classes of components that meet in groups; families of more are searched group by group.
+FAMILY = 8000
 #: Sets looked at in one call, and pairs verified side by side.
 SETS_AT_ONCE, PAIRS_AT_ONCE = 500, 64
 
@@ -218,7 +221,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = lead.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("key")
     owns = lead.select("key", "rep").join(keys, "key").groupBy("rep").agg(F.count("*").alias("own"))
     left = stored(owns.join(classes.groupBy("rep").agg(F.min("n").alias("n")), "rep").where(F.col("own") >= _least()).select("rep"), "left")
-    wanted = spark.sparkContext.broadcast(_map_of(left))
+    slim = stored(all_rows.drop("lead"), "rows")
+    discard(all_rows)
+    all_rows, wanted = slim, spark.sparkContext.broadcast(_map_of(left))
     size = 32 * len(wanted.value)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,12 +267,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = found.select(F.col("node").alias("rep"), "component")
     rest = places.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sure = homes.groupBy("key").agg(F.count("*").alias("met"), F.first("size").alias("size")).where((F.col("met") == F.col("size")) & (F.col("size") <= PART))
-    each = rest.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components"))
-    open_ = each.where("components > 1").join(sure.select("key"), "key", "left_anti")
-    rest = rest.join(open_.select("key", "main"), "key").withColumn("guest", F.col("component") != F.col("main"))
+    mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").join(sure.select("key"), "key", "left_anti")
+    rest = open_rows = stored(rest.join(mixed.select("key", "lo"), "key"), "rest")
+    # components that meet in a group make a family; in families of moderate size each class is placed once
+    families = components(rest.select(F.col("component").alias("a"), F.col("lo").alias("b")))
+    rest = rest.join(families.select(F.col("node").alias("component"), F.col("component").alias("family")), "component")
+    classes_ = rest.select("family", "component", "rep", "s1").distinct()
+    size = classes_.groupBy("family").agg(F.count("*").alias("all"))
+    rest, classes_ = (x.join(size.where(cond).select("family"), "family") for x, cond in ((rest, F.col("all") > FAMILY), (classes_, F.col("all") <= FAMILY)))
+    columns = ["kind", "key", "rep", "s1", "component"]
+    spots = rest.withColumn("kind", F.lit(1)).select(*columns).unionByName(classes_.select(F.lit(0).alias("kind"), F.col("family").alias("key"), "rep", "s1", "component"))
+    each = spots.groupBy("kind", "key", "component").agg(F.count("*").alias("c")).groupBy("kind", "key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"))
+    spots = spots.join(each, ["kind", "key"]).withColumn("guest", F.col("component") != F.col("main"))
     part = F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), parts - 1)).otherwise(own)).alias("part")
-    more = _search(rest.select("key", part, "rep", "s1", "component", "guest"), sets)
-    discard(members, places, homes, sets, left)
+    more = _search(spots.select("key", "kind", part, "rep", "s1", "component", "guest").withColumn("part", F.col("part") * 2 + F.col("kind")).drop("kind"), sets)
+    discard(members, places, homes, sets, left, families, open_rows)
 
     # the new links join components: their graph has a node per component
     at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))

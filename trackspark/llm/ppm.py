@@ -4,14 +4,17 @@ The model is a trie of byte contexts: how often each byte followed each context
 the training texts. A text is its lower-case words, each closed by a space, and one end; contexts reach
 across words, and before the text there is padding. A byte is looked for in the longest context first; if it
 never followed there, an escape is paid and the next shorter context is tried, with all followers of the
-longer one excluded. How likely an escape is in a context of so many occurrences and distinct followers is
-estimated from the training texts themselves: each occurrence is left out in turn, and it counts whether its
-byte then needs the escape. States seldom met lean towards as many escapes as distinct followers.
-
-Work is split so that nothing whole passes through one place: blocks of documents count their own
-(context, byte) pairs; counts meet by pair, then by the two nearest context bytes (all levels from two bytes
-on depend only on pairs that share them; the levels below have at most 2**16 pairs and are sent to all
-tasks); pair scores return to the blocks. Words are counted beside for the add-one base score.
+longer one excluded. A shorter context counts a byte once for each longer context in which it followed, as only
+bytes that are new to the longer one come down to it. How likely an escape is, in a context of so many
+occurrences and distinct followers that reaches so far into the word, is estimated from the training texts
+themselves: each occurrence is left out in turn, and it counts whether its byte then needs the escape. States
+seldom met lean towards as many escapes as distinct followers.
+
+Work is split so that nothing whole passes through one place: blocks of documents send their own (context, byte)
+pairs, packed and compressed, to parts of the trie, dealt by the three nearest context bytes (all levels from three
+bytes on depend only on pairs that share them; the levels below have at most 2**24 pairs and are sent to all tasks).
+A part merges the blocks' pairs, group of blocks by group of blocks, and scores go back to the blocks packed in the
+same order. Words are counted beside for the add-one base score.
 """
 
 from __future__ import annotations
@@ -26,18 +29,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import split_words, stored, text_slices
+from ._common import mix, split_words, stored, text_slices
 
-#: Bytes of context; a pair of context and byte is packed in ORDER + 1 bytes of a long.
-ORDER = 5
+#: Bytes of context; a pair of context and byte is packed in ORDER + 1 bytes of a long, the nearest context byte first.
+ORDER = 6
+#: Bytes of context that pairs of one part of the trie share.
+NEAR = 3
 #: Before and after a text; UTF-8 has neither byte.
 PAD, END = 0xFF, 0xFE
 #: The end of a text as a word; no word holds this byte.
 END_WORD = "\n"
 #: Text in one block of documents (fewer blocks repeat fewer pairs), and bytes looked at together in a block.
 DOC_BLOCK_BYTES, AT_ONCE = 24_000_000, 1 << 21
-#: Pairs in one part of the trie, parts at least (there are at most 2**16: the two nearest context bytes).
-PART_PAIRS, LEAST_PARTS = 1_000_000, 128
+#: Text for one part of the trie, parts at least, and blocks whose pairs are merged in one call.
+PART_BYTES, LEAST_PARTS, MERGED = 4_000_000, 64, 128
 #: Grades (half powers of two) of occurrences and of followers for escape estimates, and the weight of the plain estimate.
 GRADES, PRIOR = 32, 2.0
 #: A-Z to a-z, white space to one space.
@@ -66,7 +71,7 @@ def byte_pairs(plain: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for start in range(0, len(data), AT_ONCE):
         at = start + np.flatnonzero(data[start : start + AT_ONCE] != PAD)
         packed = np.zeros(len(at), np.int64)
-        for back in range(ORDER, -1, -1):
+        for back in [*range(1, ORDER + 1), 0]:
             packed = (packed << 8) | data[at - back]
         end = data[at] == END
         yield packed, first + np.cumsum(end) - end
@@ -74,8 +79,17 @@ def byte_pairs(plain: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _by_key(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, place = np.unique(key, return_inverse=True)
-    return distinct, np.bincount(place, weights=n, minlength=len(distinct))
+    """Distinct keys in ascending order and the sum of ``n`` for each."""
+    order = np.argsort(key, kind="stable")
+    return _runs(key[order], n[order])
+
+
+def _runs(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of keys in order."""
+    if not len(key):
+        return key, n.astype(float)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(n.astype(float), first)
 
 
 def _get(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -86,68 +100,82 @@ def _get(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray
     return np.where(keys[place] == wanted, values[place], 0.0)
 
 
-def _cut(pairs: np.ndarray, level: int) -> np.ndarray:
-    """Pairs with ``level`` context bytes."""
-    return pairs & ((1 << 8 * (level + 1)) - 1)
+def _cut(pairs: np.ndarray, level: int, to: int) -> np.ndarray:
+    """Pairs of ``level`` context bytes with only the nearest ``to`` of them."""
+    return pairs if level == to else (pairs >> (8 * (level - to + 1)) << 8) | (pairs & 0xFF)
 
 
-def trie_levels(pairs: np.ndarray, counts: np.ndarray, low_keys: np.ndarray, low_counts: np.ndarray) -> list[tuple]:
-    """For each number of context bytes: pairs, counts, contexts, their occurrences and distinct followers.
+def _level(key: np.ndarray, n: np.ndarray) -> tuple:
+    """Pairs, counts, contexts, their occurrences and distinct followers."""
+    key, n = key[n > 0], n[n > 0]
+    return key, n, *_runs(key >> 8, n), _runs(key >> 8, np.ones(len(key)))[1]
 
-    ``pairs`` must hold all pairs that share their two nearest context bytes with one of them;
-    ``low_keys`` are all pairs of one context byte and a byte (sorted), with their counts.
-    """
-    levels = []
-    for j in range(ORDER + 1):
-        if j >= 2:
-            key, n = _by_key(_cut(pairs, j), counts)
-        else:
-            key, n = (low_keys, low_counts) if j else _by_key(low_keys & 0xFF, low_counts)
-        key, n = key[n > 0], n[n > 0]
-        context, total = _by_key(key >> 8, n)
-        levels.append((key, n, context, total, _by_key(key >> 8, np.ones(len(key)))[1]))
+
+def upper_levels(pairs: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Levels from ``NEAR`` context bytes on; ``pairs`` (ascending) must hold all that share their nearest bytes with one of them."""
+    levels = [_level(pairs, counts)]
+    for j in range(ORDER - 1, NEAR - 1, -1):
+        key = _cut(levels[0][0], j + 1, j)
+        levels.insert(0, _level(*_by_key(key, np.ones(len(key)))))
     return levels
 
 
-def _state(levels: list[tuple], j: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the wanted pairs at level ``j``, and occurrences and followers of their contexts.
+def lower_levels(keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """The levels below; ``keys`` are all pairs of ``NEAR`` - 1 context bytes (ascending)."""
+    levels = [_level(keys, counts)]
+    for j in range(NEAR - 2, -1, -1):
+        key = _cut(levels[0][0], j + 1, j)
+        levels.insert(0, _level(*_by_key(key, np.ones(len(key)))))
+    return levels
+
+
+def _state(levels: list[tuple], j: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the wanted pairs at level ``j``, occurrences and followers of their contexts, and how far these reach into the word.
 
     ``wanted`` has level ``j + 1`` (or ``ORDER``): what followed the longer context is excluded from the two.
     """
     key, n, context, total, followers = levels[j]
-    own = _cut(wanted, j)
+    own = _cut(wanted, min(ORDER, j + 1), j)
     here, t, d = _get(key, n, own), _get(context, total, own >> 8), _get(context, followers, own >> 8)
     if j < ORDER:
         longer_key, _, longer, _, longer_followers = levels[j + 1]
-        cut_context, cut_total = _by_key(longer_key >> 8, _get(key, n, _cut(longer_key, j)))
+        cut_context, cut_total = _runs(longer_key >> 8, _get(key, n, _cut(longer_key, j + 1, j)))
         t = t - _get(cut_context, cut_total, wanted >> 8)
         d = d - _get(longer, longer_followers, wanted >> 8)
-    return here, t, d
+    reach = np.full(len(own), j)
+    for k in range(j, 0, -1):
+        reach = np.where((own >> (8 * (j - k + 1))) & 0xFF == 0x20, k - 1, reach)
+    return here, t, d, reach
 
 
 def _grade(x: np.ndarray) -> np.ndarray:
     return np.minimum(2 * np.log2(np.maximum(x, 1)), GRADES - 1).astype(np.int64)
 
 
-def escape_counts(levels: list[tuple]) -> np.ndarray:
-    """Finds and escapes by level and grades of occurrences and followers, each occurrence left out in turn.
+def no_escapes() -> np.ndarray:
+    """Finds and escapes by level, reach, and grades of occurrences and followers."""
+    return np.zeros((ORDER + 1, ORDER + 1, GRADES, GRADES, 2))
+
+
+def escape_counts(levels: list[tuple], which: range) -> np.ndarray:
+    """Finds and escapes of the levels ``which``, each occurrence left out in turn.
 
     Only occurrences that come down to a level count there: those whose longer pair occurred once.
     """
-    table = np.zeros((ORDER + 1, GRADES, GRADES, 2))
-    for j in range(ORDER, 0, -1):
+    table = no_escapes()
+    for j in which:
         if j == ORDER:
             wanted, weight = levels[j][:2]
-            here, t, d = _state(levels, j, wanted)
+            here, t, d, reach = _state(levels, j, wanted)
         else:
             wanted = levels[j + 1][0][levels[j + 1][1] == 1]
             weight = np.ones(len(wanted))
-            here, t, d = _state(levels, j, wanted)
+            here, t, d, reach = _state(levels, j, wanted)
             t, d = t + here, d + 1  # left out, the byte did not follow the longer context
         single = here == 1
         t, d = t - 1, d - single
         met = t > 0
-        np.add.at(table[j], (_grade(t[met]), _grade(d[met]), single[met].astype(np.int64)), weight[met])
+        np.add.at(table[j], (reach[met], _grade(t[met]), _grade(d[met]), single[met].astype(np.int64)), weight[met])
     return table
 
 
@@ -155,8 +183,8 @@ def pair_scores(pairs: np.ndarray, levels: list[tuple], escapes: np.ndarray) ->
     """log10 probability of each pair's byte after its context."""
     score, open_ = np.zeros(len(pairs)), np.ones(len(pairs), bool)
     for j in range(ORDER, -1, -1):
-        here, t, d = _state(levels, j, _cut(pairs, min(ORDER, j + 1)))
-        finds, misses = np.moveaxis(escapes[j][_grade(t), _grade(d)], -1, 0)
+        here, t, d, reach = _state(levels, j, _cut(pairs, ORDER, min(ORDER, j + 1)))
+        finds, misses = np.moveaxis(escapes[j][reach, _grade(t), _grade(d)], -1, 0)
         use = open_ & (t > 0)
         found = use & (here > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -168,6 +196,62 @@ def pair_scores(pairs: np.ndarray, levels: list[tuple], escapes: np.ndarray) ->
     return np.where(open_, score - np.log10(max(1, rest)), score)
 
 
+def _squeeze(a: np.ndarray, kind: str) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(a, kind).tobytes(), 3)
+
+
+def _grow(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
+def pack_pairs(pairs: np.ndarray) -> bytes:
+    """Ascending pairs as differences, byte by byte."""
+    step = np.diff(pairs, prepend=0).astype("<u8")
+    return zstandard.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
+
+
+def unpack_pairs(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(rows.T).view("<u8").reshape(-1)).astype(np.int64)
+
+
+def merged(packed: list[bytes], times: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of several packed arrays that occurred in training, with their counts."""
+    pairs, n = _by_key(np.concatenate([unpack_pairs(x) for x in packed]), np.concatenate([_grow(x, "<u8") for x in times]))
+    return pairs[n > 0], n[n > 0]
+
+
+class BlockPairs:
+    """Distinct pairs of a block in the order of the parts, their training counts, and the texts' positions."""
+
+    def __init__(self, plain: bytes, held: np.ndarray, parts: int):
+        pieces, found, counts = [], [np.empty(0, np.int64)], [np.empty(0)]
+        for pair, doc in byte_pairs(plain):
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            new = np.append(True, pair[1:] != pair[:-1]) if len(pair) else np.empty(0, bool)
+            inverse = np.empty(len(pair), np.int32)
+            inverse[order] = np.cumsum(new) - 1
+            found.append(pair[new])
+            counts.append(np.bincount(inverse, weights=~held[doc], minlength=len(found[-1])))
+            pieces.append((inverse, doc.astype(np.int32)))
+        self.pairs, n = _by_key(np.concatenate(found), np.concatenate(counts))
+        self.pieces, self.found = pieces, found[1:]
+        near = (self.pairs >> (8 * (ORDER - NEAR + 1))).astype(np.uint64)
+        part = (mix(near + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")  # pairs ascend inside a part
+        self.n = n[self.order].astype(np.int64)
+        self.parts, self.first = np.unique(part[self.order], return_index=True)
+
+    def totals(self, score: np.ndarray, texts: int) -> np.ndarray:
+        """Sum over each text of ``score``, which is in the order of the parts."""
+        each, total = np.empty(len(score)), np.zeros(texts)
+        each[self.order] = score
+        for (inverse, doc), pair in zip(self.pieces, self.found, strict=True):
+            total += np.bincount(doc, weights=each[np.searchsorted(self.pairs, pair)][inverse], minlength=texts)
+        return total
+
+
 def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text; one row per row of ``docs``.
 
@@ -178,7 +262,6 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
     byte has the even probability. Repeated rows count as often as they occur.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    squeeze = lambda a, t: zstandard.compress(np.ascontiguousarray(a, t).tobytes(), 3)
     block_schema = f"block long, ids array<{kind}>, held array<boolean>, ends binary, codes binary, times binary, plain binary, words array<string>, trained array<long>"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +291,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
         ends = np.cumsum(np.bincount(pair // len(trained), minlength=len(size)))
         said = pa.concat_arrays([words.cast(pa.string()), pa.array([END_WORD])]).take(pa.array(order))
         code = pair % len(trained)
-        row = [[block], [ids], [held.tolist()], [squeeze(ends, "<u4")], [squeeze(code, "<u4")], [squeeze(times, "<u4")], [zstandard.compress(plain_bytes(table["text"]), 3)]]
+        row = [[block], [ids], [held.tolist()], [_squeeze(ends, "<u4")], [_squeeze(code, "<u4")], [_squeeze(times, "<u4")], [zstandard.compress(plain_bytes(table["text"]), 3)]]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(said)], pa.int32()), x) for x in (said, pa.array(trained[order]))]
         names = [c.split()[0] for c in block_schema.split(", ")]
         return pa.RecordBatch.from_arrays([*map(pa.array, row[:1]), pa.array(row[1], pa.list_(table["id"].type)), *map(pa.array, row[2:]), *lists], names)
@@ -219,61 +302,83 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
     words = stored(asked.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     tokens, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
 
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size = picked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(LEAST_PARTS, min(1 << 20, size // PART_BYTES))
+    rounds = F.floor(F.pmod(F.xxhash64("block"), F.lit(max(1, -(-blocks.count() // MERGED))))).cast("int")
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                held, found = np.array(row["held"], bool), [(np.empty(0, np.int64), np.empty(0))]
-                for pair, doc in byte_pairs(zstandard.decompress(row["plain"])):
-                    found.append(_by_key(pair, ~held[doc]))
-                pair, n = _by_key(*map(np.concatenate, zip(*found, strict=True)))
-                n = n.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), row["block"])), pa.array(pair), pa.array(n)], ["block", "pair", "n"])
-
-    wanted = stored(blocks.select("block", "held", "plain").mapInArrow(pairs_of, "block long, pair long, n long"), "lm-pairs")
-    trie = stored(wanted.groupBy("pair").agg(F.sum("n").alias("n")), "lm-trie")
-    # the last two bytes: at most 2**16 rows
-    low = np.array([tuple(r) for r in trie.groupBy(F.col("pair").bitwiseAND(0xFFFF).alias("k")).agg(F.sum("n")).orderBy("k").collect()], np.int64).reshape(-1, 2)
-    low_keys, low_counts = low[:, 0].copy(), low[:, 1].astype(float)
-    parts = min(1 << 16, max(LEAST_PARTS, trie.count() // PART_PAIRS))
-    trie = trie.withColumn("part", F.pmod(F.xxhash64(F.shiftright("pair", 8).bitwiseAND(0xFFFF)), F.lit(parts)).cast("int"))
-    shared = docs.sparkSession.sparkContext.broadcast((low_keys, low_counts))
-
-    def escaped(table: pa.Table) -> pa.Table:
-        found = escape_counts(trie_levels(table["pair"].to_numpy(), table["n"].to_numpy().astype(float), *shared.value)).reshape(-1)
-        return pa.table({"state": np.flatnonzero(found), "n": found[found > 0]})
-
-    escapes = np.zeros((ORDER + 1, GRADES, GRADES, 2))
-    for r in trie.groupBy("part").applyInArrow(escaped, "state long, n double").groupBy("state").agg(F.sum("n").alias("n")).collect():  # at most one row a state
-        escapes.reshape(-1)[r.state] = r.n
-    estimates = docs.sparkSession.sparkContext.broadcast(escapes)
+                own = BlockPairs(zstandard.decompress(row["plain"]), np.array(row["held"], bool), parts)
+                ends = np.append(own.first[1:], len(own.pairs))
+                pairs = [pack_pairs(own.pairs[own.order[a:b]]) for a, b in zip(own.first, ends, strict=True)]
+                times = [_squeeze(own.n[a:b], "<u8") for a, b in zip(own.first, ends, strict=True)]
+                arrays = [pa.array(np.full(len(pairs), row["block"])), pa.array(own.parts), pa.array(pairs, pa.binary()), pa.array(times, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["block", "part", "pairs", "times"])
+
+    messages = blocks.select("block", "held", "plain").mapInArrow(sent, "block long, part long, pairs binary, times binary")
+    messages = stored(messages.withColumn("round", rounds), "lm-pairs")
 
-    def scored(table: pa.Table) -> pa.Table:
-        pair = table["pair"].to_numpy()
-        levels = trie_levels(pair, table["n"].to_numpy().astype(float), *shared.value)
-        return pa.table({"pair": pair, "score": pair_scores(pair, levels, estimates.value).astype(np.float32)})
+    def merge(table: pa.Table) -> pa.Table:
+        pairs, n = merged(table["pairs"].to_pylist(), table["times"].to_pylist())
+        return pa.table({"part": table["part"][:1], "pairs": pa.array([pack_pairs(pairs)], pa.binary()), "times": pa.array([_squeeze(n, "<u8")], pa.binary())})
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = upper_levels(unpack_pairs(row["pairs"]), _grow(row["times"], "<u8"))[0][0]
+                key, n = _by_key(_cut(key, NEAR, NEAR - 1), np.ones(len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    packed_pairs = "part long, pairs binary, times binary"
+    trie = messages.select("part", "round", "pairs", "times").groupBy("part", "round").applyInArrow(merge, packed_pairs).groupBy("part").applyInArrow(merge, packed_pairs)
+    trie = stored(trie, "lm-trie")
+    low = trie.mapInArrow(lowest, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()  # at most 2**24 rows
+    low = lower_levels(np.array([r.key for r in low], np.int64), np.array([r.n for r in low]))
+    shared = docs.sparkSession.sparkContext.broadcast(low)
+
+    def escaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = no_escapes().reshape(-1)
+        for batch in batches:
+            for row in batch.to_pylist():
+                levels = shared.value + upper_levels(unpack_pairs(row["pairs"]), _grow(row["times"], "<u8"))
+                total += escape_counts(levels, range(ORDER, NEAR - 2, -1)).reshape(-1)
+        state = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(state), pa.array(total[state])], ["state", "n"])
+
+    escapes = escape_counts(low, range(NEAR - 2, 0, -1))
+    for r in trie.mapInArrow(escaped, "state long, n double").groupBy("state").agg(F.sum("n").alias("n")).collect():  # at most one row a state
+        escapes.reshape(-1)[r.state] += r.n
+    estimates = docs.sparkSession.sparkContext.broadcast(escapes)
 
-    scores = trie.groupBy("part").applyInArrow(scored, "pair long, score float")
-    by_pair = wanted.select("block", "pair").join(scores, "pair").select(F.col("block").alias("to_block"), F.col("pair").alias("at"), F.lit(None).cast("long").alias("n"), "score")
-    by_word = asked.select("block", "pos", "word").join(words, "word").select(F.col("block").alias("to_block"), F.col("pos").cast("long").alias("at"), "n", F.lit(None).cast("float").alias("score"))
+    def scored(table: pa.Table, part: pa.Table) -> pa.Table:
+        seen = [unpack_pairs(x) for x in table["pairs"].to_pylist()]
+        known = [(unpack_pairs(x), _grow(y, "<u8")) for x, y in zip(part["pairs"].to_pylist(), part["times"].to_pylist(), strict=True)]
+        every = np.unique(np.concatenate([np.empty(0, np.int64), *seen]))
+        score = pair_scores(every, shared.value + upper_levels(*(known[0] if known else (np.empty(0, np.int64), np.empty(0)))), estimates.value).astype("<f4")
+        return pa.table({"to_block": table["block"], "at": table["part"], "scores": pa.array([score[np.searchsorted(every, x)].tobytes() for x in seen], pa.binary())})
+
+    each_round = messages.select(F.col("part").alias("to_part"), F.col("round").alias("to_round")).distinct()
+    each_round = each_round.join(trie, F.col("to_part") == F.col("part")).select("to_part", "to_round", "pairs", "times")
+    by_pair = messages.select("block", "part", "round", "pairs").groupBy("part", "round").cogroup(each_round.groupBy("to_part", "to_round")).applyInArrow(scored, "to_block long, at long, scores binary")
+    by_pair = by_pair.select("to_block", "at", F.lit(None).cast("long").alias("n"), "scores")
+    by_word = asked.select("block", "pos", "word").join(words, "word").select(F.col("block").alias("to_block"), F.col("pos").cast("long").alias("at"), "n", F.lit(None).cast("binary").alias("scores"))
     back = by_pair.unionByName(by_word)
 
     def text_scores(table: pa.Table, known: pa.Table) -> pa.Table:
         out = {"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []}
         is_word = known["n"].is_valid().to_numpy()
-        at, each, times_of = known["at"].to_numpy(), known["score"].fill_null(0.0).to_numpy().astype(float), known["n"].fill_null(0).to_numpy()
+        at, times_of = known["at"].to_numpy(), known["n"].fill_null(0).to_numpy()
         n = np.zeros(int(is_word.sum()))
         n[at[is_word]] = times_of[is_word]
-        order = np.flatnonzero(~is_word)
-        order = order[np.argsort(at[order])]
-        pairs, score = at[order], each[order]
+        by_part = known.filter(pa.array(~is_word)).sort_by("at")["scores"].to_pylist()
+        score = np.frombuffer(b"".join(by_part), "<f4").astype(float)
         base = np.log10((n + 1) / (tokens + known_words + 1))
         for row in table.to_pylist():
             ends, codes, times = (np.frombuffer(zstandard.decompress(row[c]), "<u4").astype(np.int64) for c in ("ends", "codes", "times"))
             doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
             total = lambda each: np.bincount(doc, weights=times * each, minlength=len(ends))  # noqa: B023, E731
-            whole = np.zeros(len(ends))
-            for pair, owner in byte_pairs(zstandard.decompress(row["plain"])):
-                whole += np.bincount(owner, weights=score[np.searchsorted(pairs, pair)], minlength=len(ends))
+            whole = BlockPairs(zstandard.decompress(row["plain"]), np.array(row["held"], bool), parts).totals(score, len(ends))
             for name, values in (("doc_id", row["ids"]), ("held_out", row["held"]), ("n_tokens", total(np.ones(len(codes))).astype(np.int64)), ("n_known", total((n > 0)[codes]).astype(np.int64)), ("base_score", total(base[codes])), ("score", whole)):
                 out[name].extend(values)
         types = {"doc_id": table["ids"].type.value_type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}

@@ -75,7 +75,7 @@ def host_verdicts(failures: DataFrame, max_rate: float) -> DataFrame:
     Shrunk rate: (failures + a) / (documents + a + b). Beta(a, b) has the mean and variance of the hosts'
     rates; its weight a + b is kept between 1 and 10000 documents, and is 10000 if the rates do not vary.
     """
-    hosts = failures.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
+    hosts = stored(failures.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f")), "hosts")
     rate = F.col("f") / F.col("n")
     m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
     m, v = m or 0.0, v or 0.0
@@ -84,13 +84,14 @@ def host_verdicts(failures: DataFrame, max_rate: float) -> DataFrame:
     return hosts.select("host", shrunk.alias("host_rate"), (shrunk > max_rate).alias("host_rejected"))
 
 
-def judged(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judged(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", host_col: str = "source", keep_measures: bool = True) -> DataFrame:
     """Each row of ``docs`` (in ``row``) with its measures, base_failed, host_rate, host_rejected and kept.
 
     Null hosts are one host of their own. Repeated rows are judged alike. Columns of ``docs`` stay inside
-    ``row``, so their names cannot clash. An empty table gives an empty result.
+    ``row``, so their names cannot clash. An empty table gives an empty result. The measured rows are stored, or
+    measured twice if not ``keep_measures``.
     """
-    return _verdict(measured(docs, text_col), rules, host_col)
+    return _verdict(measured(docs, text_col), rules, host_col, keep_measures)
 
 
 def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -100,12 +101,15 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
     return _verdict(slim, rules, "source").select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _verdict(df: DataFrame, rules: Rules, host_col: str) -> DataFrame:
+def _verdict(df: DataFrame, rules: Rules, host_col: str, keep_measures: bool = True) -> DataFrame:
     share = lambda part, whole, most: F.col(part) * 100 > F.col(whole) * most
     base = (F.col("n_words") < rules.min_words) | share("n_repeat_words", "n_words", rules.max_repeat_share)
     df = df.withColumn("base_failed", base)
     df = df.withColumn("failed", F.col("base_failed") | share("n_symbols", "n_words", rules.max_symbol_share) | share("n_dup_lines", "n_lines", rules.max_dup_line_share))
-    df = stored(df.withColumn("host", F.col(f"row.{host_col}").cast("string")), "quality")
-    verdicts = host_verdicts(df.select("host", "failed"), rules.max_host_rate).withColumnRenamed("host", "h")
+    df = df.withColumn("host", F.col(f"row.{host_col}").cast("string"))
+    if keep_measures:
+        df = stored(df, "quality")
+    # stored, the verdicts' size is known: they are broadcast only while they are few
+    verdicts = stored(host_verdicts(df.select("host", "failed"), rules.max_host_rate).withColumnRenamed("host", "h"), "verdicts")
     df = df.join(verdicts, F.col("host").eqNullSafe(F.col("h"))).drop("h", "host")
     return df.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))

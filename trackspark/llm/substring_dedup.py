@@ -1,14 +1,15 @@
 """Removal of word passages that repeat across documents, by level-wise doubling.
 
 Windows of one length that occur in one document only cannot be part of a longer repeated window, so
-only windows that repeat are extended to twice the length. The first level asks this of the smallest
-half-length window inside every full window (equal full windows have equal smallest halves, and a half
-stands for many full windows, so about a quarter of the words are asked about); the last level asks
-for full windows, made of two overlapping halves, at the places that survive.
+only windows that repeat are extended to twice the length, from ``FIRST`` words up to the full window. A
+level below asks for the smallest short window inside every full window that is still a candidate (equal
+full windows have equal smallest short ones, and a short one stands for many full windows); the last level
+asks for the full windows themselves, each made of two overlapping shorter ones. Where no candidate
+survives, nothing is asked any more.
 
 A level is one exchange: a block of documents (a few MB of text) asks about each distinct window once,
 with the smallest and largest id that it has for it, so that a window in a third of all documents is a
-row per block and not per document. What repeats goes back to the blocks.
+row per block and not per document. What repeats goes back to the blocks. The texts are exchanged once.
 """
 
 from __future__ import annotations
@@ -21,35 +22,50 @@ from pyspark.sql import functions as F
 
 from ._common import BLOCK_BYTES, block_of, gram_hashes, mix, split_words, word_hashes
 
+#: Words of the first level's windows.
+FIRST = 4
 #: Stands for a null id: larger than every other.
 NO_ID = np.iinfo(np.int64).max
 
 
+def levels_of(length: int) -> list[int]:
+    """Window lengths below ``length``, each twice the one before."""
+    levels = [min(FIRST, max(1, length - 1))]
+    while levels[-1] * 2 < length:
+        levels.append(levels[-1] * 2)
+    return levels
+
+
 class _Windows:
     """Words of a block's documents in ascending order of id, and the hashes of their windows."""
 
     def __init__(self, table: pa.Table, length: int):
         table = table.append_column("rank", pc.fill_null(table["id"].cast(pa.int64()), NO_ID)).sort_by("rank")
-        self.table, self.id = table, table["rank"].to_numpy()
+        self.table, self.id, self.length = table, table["rank"].to_numpy(), length
         self.words, self.codes, self.offsets = split_words(table["text"])
         n = len(self.codes) - length + 1
         self.doc = np.repeat(np.arange(len(table)), np.diff(self.offsets))
-        if n <= 0:
-            self.at, self.low, self.half = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-            return
-        half = (length + 1) // 2
-        self.half = gram_hashes(word_hashes(self.words)[self.codes], half)
-        self.at = np.flatnonzero(self.doc[:n] == self.doc[length - 1 :])
-        low, width, span = self.half, 1, length - half + 1  # smallest of the span's half windows, by doubling
+        self.at = np.flatnonzero(self.doc[:n] == self.doc[length - 1 :]) if n > 0 else np.empty(0, np.int64)
+        self.hashes = word_hashes(self.words)[self.codes] if n > 0 else np.empty(0, np.uint64)
+
+    def smallest(self, short: int) -> np.ndarray:
+        """Hash of the smallest window of ``short`` words inside each full window."""
+        if not len(self.at):
+            return np.empty(0, np.uint64)
+        low, width, span = gram_hashes(self.hashes, short), 1, self.length - short + 1  # by doubling
         while width * 2 <= span:
             low, width = np.minimum(low[:-width], low[width:]), width * 2
         if width < span:
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-        self.low, self.shift = low[self.at], length - half
+        return low[self.at]
 
     def full(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """80 bits of hash, in two parts, of the full windows at the places ``at[where]``."""
-        a, b = self.half[self.at[where]], self.half[self.at[where] + self.shift]
+        if not len(self.at):
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        short = (self.length + 1) // 2
+        half = gram_hashes(self.hashes, short)
+        a, b = half[self.at[where]], half[self.at[where] + self.length - short]
         return mix(a * np.uint64(0x9E3779B97F4A7C15) + b), mix(b * np.uint64(0xC2B2AE3D27D4EB4F) + a) >> np.uint64(48)
 
     def asked(self, where: np.ndarray, *keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -72,23 +88,31 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     remove each other's words; a null id is larger than every other, and null ids are equal. Texts shorter
     than a window keep all words.
     """
-    block, _ = block_of(docs, id_col, text_col, block_bytes)
+    block, _ = block_of(docs, text_col, block_bytes)
     picked = docs.select(block.alias("block"), docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].alias(f"keep_{c}") for c in keep])
     kinds = {f.name: f.dataType.simpleString() for f in picked.schema}
-    slim = picked.select("block", "id", "text") if keep else picked
+    levels = levels_of(length)
 
-    def halves(table: pa.Table) -> pa.Table:
-        w = _Windows(table, length)
-        (key,), low, more = w.asked(np.arange(len(w.at)), w.low)
-        return pa.table({"block": pa.repeat(table["block"][0], len(key)).cast(pa.int32()), "key": key, "low": low, "more": more})
+    def answered(w: _Windows, where: np.ndarray, keys: tuple[np.ndarray, ...]) -> pa.Table:
+        keys, low, more = w.asked(where, *keys)
+        return pa.table({"block": pa.repeat(w.table["block"][0], len(low)).cast(pa.int32()), **{f"k{i}": k for i, k in enumerate(keys, 1)}, "low": low, "more": more})
 
-    def doubled(table: pa.Table, known: pa.Table) -> pa.Table:
-        if not (len(table) and len(known)):
-            return pa.table({"block": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in ("k1", "k2", "low")}, "more": pa.array([], pa.bool_())})
+    def first(table: pa.Table) -> pa.Table:
         w = _Windows(table, length)
-        where = np.flatnonzero(np.isin(w.low.view(np.int64), known["key"].to_numpy()))
-        (k1, k2), low, more = w.asked(where, *w.full(where))
-        return pa.table({"block": pa.repeat(table["block"][0], len(k1)).cast(pa.int32()), "k1": k1, "k2": k2, "low": low, "more": more})
+        return answered(w, np.arange(len(w.at)), (w.smallest(levels[0]),))
+
+    def longer(short: int, twice: int | None):
+        """Ask for windows of ``twice`` words (None: full windows) where those of ``short`` words repeat."""
+
+        def ask(table: pa.Table, known: pa.Table) -> pa.Table:
+            if not (len(table) and len(known)):
+                keys = ("k1",) if twice else ("k1", "k2")
+                return pa.table({"block": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in (*keys, "low")}, "more": pa.array([], pa.bool_())})
+            w = _Windows(table, length)
+            where = np.flatnonzero(np.isin(w.smallest(short).view(np.int64), known["k1"].to_numpy()))
+            return answered(w, where, (w.smallest(twice)[where],) if twice else w.full(where))
+
+        return ask
 
     def cut(table: pa.Table, known: pa.Table) -> pa.Table:
         w = _Windows(table, length)
@@ -111,12 +135,15 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
             text = pc.if_else(pa.array(n == np.diff(ends)), w.table["text"].combine_chunks().cast(pa.string()), text)
         return pa.table({"doc_id": w.table["id"], "n_words": n, "n_removed": n - np.diff(ends), "kept_text": text, **{c: w.table[f"keep_{c}"] for c in keep}})
 
-    asked = slim.groupBy("block").applyInArrow(halves, "block int, key long, low long, more boolean")
-    by_key = Window.partitionBy("key")
-    spread = (F.min("low").over(by_key) < F.max("low").over(by_key)) | F.max("more").over(by_key)
-    repeated = asked.withColumn("spread", spread).where("spread").select("block", "key")
-    asked = slim.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(doubled, "block int, k1 long, k2 long, low long, more boolean")
+    by_block, one_key = picked.groupBy("block"), "block int, k1 long, low long, more boolean"
+    by_key = Window.partitionBy("k1")  # at most one row a block
+    asked = by_block.applyInArrow(first, one_key)
+    for short, twice in zip(levels, [*levels[1:], None], strict=True):
+        spread = (F.min("low").over(by_key) < F.max("low").over(by_key)) | F.max("more").over(by_key)
+        repeated = asked.withColumn("spread", spread).where("spread").select("block", "k1")
+        columns = one_key if twice else "block int, k1 long, k2 long, low long, more boolean"
+        asked = by_block.cogroup(repeated.groupBy("block")).applyInArrow(longer(short, twice), columns)
     asked = asked.withColumn("first", F.min("low").over(Window.partitionBy("k1", "k2")))
     known = asked.where("first < low or more").select("block", "k1", "k2", "first")
     schema = f"doc_id {kinds['id']}, n_words long, n_removed long, kept_text string" + "".join(f", `{c}` {kinds[f'keep_{c}']}" for c in keep)
-    return picked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(cut, schema)
+    return by_block.cogroup(known.groupBy("block")).applyInArrow(cut, schema)
