@@ -112,4 +112,5 @@ def _verdict(df: DataFrame, rules: Rules, host_col: str, keep_measures: bool = T
     # stored, the verdicts' size is known: they are broadcast only while they are few
     verdicts = stored(host_verdicts(df.select("host", "failed"), rules.max_host_rate).withColumnRenamed("host", "h"), "verdicts")
     df = df.join(verdicts, F.col("host").eqNullSafe(F.col("h"))).drop("h", "host")
-    return df.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    # one condition over both sides of the join: a part of it pushed below would be computed anew for each word list it needs
+    return df.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~F.col("host_rejected")))
