@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import mix, split_words, stored, text_slices
@@ -40,7 +40,9 @@ PAD, END = 0xFF, 0xFE
 #: The end of a text as a word; no word holds this byte.
 END_WORD = "\n"
 #: Text in one block of documents (fewer blocks repeat fewer pairs), and bytes looked at together in a block.
-DOC_BLOCK_BYTES, AT_ONCE = 24_000_000, 1 << 21
+DOC_BLOCK_BYTES, AT_ONCE = 24_000_000, 1 << 20
+#: Pairs gathered before they are merged into the block's.
+GATHERED = 1 << 21
 #: Text for one part of the trie, parts at least, and blocks whose pairs are merged in one call.
 PART_BYTES, LEAST_PARTS, MERGED = 4_000_000, 64, 128
 #: Grades (half powers of two) of occurrences and of followers for escape estimates, and the weight of the plain estimate.
@@ -65,6 +67,15 @@ def plain_bytes(texts: pa.Array | pa.ChunkedArray) -> bytes:
     return data[keep].tobytes()
 
 
+def block_words(plain: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of a block, the end last; code and text of each word, then of each end."""
+    texts = plain.translate(None, bytes([PAD])).split(bytes([END]))[:-1]
+    words, codes, offsets = split_words(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    said = pa.concat_arrays([words.cast(pa.string()), pa.array([END_WORD])])
+    doc = np.arange(len(texts))
+    return said, np.concatenate([codes, np.full(len(texts), len(words))]), np.concatenate([np.repeat(doc, np.diff(offsets)), doc])
+
+
 def byte_pairs(plain: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Packed (context, byte) pair of each byte that is not padding, and the text it belongs to, in pieces."""
     data, first = np.frombuffer(plain, np.uint8), 0
@@ -221,34 +232,52 @@ def merged(packed: list[bytes], times: list[bytes]) -> tuple[np.ndarray, np.ndar
     return pairs[n > 0], n[n > 0]
 
 
+def _distinct(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, and the place of each pair among them."""
+    order = np.argsort(pair)
+    pair = pair[order]
+    new = np.append(True, pair[1:] != pair[:-1]) if len(pair) else np.empty(0, bool)
+    inverse = np.empty(len(pair), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return pair[new], inverse
+
+
 class BlockPairs:
-    """Distinct pairs of a block in the order of the parts, their training counts, and the texts' positions."""
+    """Distinct pairs of a block in the order of the parts, with their training counts if the held-out texts are given."""
 
-    def __init__(self, plain: bytes, held: np.ndarray, parts: int):
-        pieces, found, counts = [], [np.empty(0, np.int64)], [np.empty(0)]
+    def __init__(self, plain: bytes, parts: int, held: np.ndarray | None = None):
+        waiting, n = [(np.empty(0, np.int64), np.empty(0))], None
         for pair, doc in byte_pairs(plain):
-            order = np.argsort(pair, kind="stable")
-            pair = pair[order]
-            new = np.append(True, pair[1:] != pair[:-1]) if len(pair) else np.empty(0, bool)
-            inverse = np.empty(len(pair), np.int32)
-            inverse[order] = np.cumsum(new) - 1
-            found.append(pair[new])
-            counts.append(np.bincount(inverse, weights=~held[doc], minlength=len(found[-1])))
-            pieces.append((inverse, doc.astype(np.int32)))
-        self.pairs, n = _by_key(np.concatenate(found), np.concatenate(counts))
-        self.pieces, self.found = pieces, found[1:]
+            pair, inverse = _distinct(pair)
+            waiting.append((pair, np.bincount(inverse, weights=~held[doc], minlength=len(pair)) if held is not None else pair))
+            if sum(len(p) for p, _ in waiting[1:]) >= GATHERED:
+                waiting = [self._merged(waiting, held is not None)]
+        self.pairs, n = self._merged(waiting, held is not None)
+        del waiting
         near = (self.pairs >> (8 * (ORDER - NEAR + 1))).astype(np.uint64)
         part = (mix(near + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
         self.order = np.argsort(part, kind="stable")  # pairs ascend inside a part
-        self.n = n[self.order].astype(np.int64)
+        self.n = n[self.order].astype(np.int64) if held is not None else None
         self.parts, self.first = np.unique(part[self.order], return_index=True)
 
-    def totals(self, score: np.ndarray, texts: int) -> np.ndarray:
+    @staticmethod
+    def _merged(found: list[tuple], counted: bool) -> tuple[np.ndarray, np.ndarray]:
+        if counted:
+            return _by_key(*map(np.concatenate, zip(*found, strict=True)))
+        pairs = np.concatenate([pair for pair, _ in found])
+        pairs.sort()
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+        return pairs, pairs
+
+    def totals(self, plain: bytes, score: np.ndarray, texts: int) -> np.ndarray:
         """Sum over each text of ``score``, which is in the order of the parts."""
         each, total = np.empty(len(score)), np.zeros(texts)
         each[self.order] = score
-        for (inverse, doc), pair in zip(self.pieces, self.found, strict=True):
-            total += np.bincount(doc, weights=each[np.searchsorted(self.pairs, pair)][inverse], minlength=texts)
+        for pair, doc in byte_pairs(plain):
+            if len(pair):
+                runs = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                pair, inverse = _distinct(pair)
+                total[doc[runs]] += np.add.reduceat(each[np.searchsorted(self.pairs, pair)][inverse], runs)
         return total
 
 
@@ -262,7 +291,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
     byte has the even probability. Repeated rows count as often as they occur.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    block_schema = f"block long, ids array<{kind}>, held array<boolean>, ends binary, codes binary, times binary, plain binary, words array<string>, trained array<long>"
+    block_schema = f"block long, ids array<{kind}>, held array<boolean>, plain binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, waiting, size = TaskContext.get().partitionId() << 32, [], 0
@@ -277,30 +306,23 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
             yield packed(block, pa.concat_tables(waiting))
 
     def packed(block: int, table: pa.Table) -> pa.RecordBatch:
-        words, codes, offsets = split_words(table["text"], lower=True)
         ids = table["id"].to_pylist()
-        held = np.array([is_held_out(i, modulus, held_out) for i in ids])
-        size = np.diff(offsets)
-        doc = np.concatenate([np.repeat(np.arange(len(size)), size), np.arange(len(size))])
-        codes = np.concatenate([codes, np.full(len(size), len(words))])
-        trained = np.bincount(codes, weights=~held[doc], minlength=len(words) + 1).astype(np.int64)
-        rank = np.empty(len(trained), np.int64)  # frequent words get small codes
-        order = np.argsort(-np.bincount(codes, minlength=len(trained)), kind="stable")
-        rank[order] = np.arange(len(order))
-        pair, times = np.unique(doc * len(trained) + rank[codes], return_counts=True)
-        ends = np.cumsum(np.bincount(pair // len(trained), minlength=len(size)))
-        said = pa.concat_arrays([words.cast(pa.string()), pa.array([END_WORD])]).take(pa.array(order))
-        code = pair % len(trained)
-        row = [[block], [ids], [held.tolist()], [_squeeze(ends, "<u4")], [_squeeze(code, "<u4")], [_squeeze(times, "<u4")], [zstandard.compress(plain_bytes(table["text"]), 3)]]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(said)], pa.int32()), x) for x in (said, pa.array(trained[order]))]
-        names = [c.split()[0] for c in block_schema.split(", ")]
-        return pa.RecordBatch.from_arrays([*map(pa.array, row[:1]), pa.array(row[1], pa.list_(table["id"].type)), *map(pa.array, row[2:]), *lists], names)
+        held = [is_held_out(i, modulus, held_out) for i in ids]
+        arrays = [pa.array([block]), pa.array([ids], pa.list_(table["id"].type)), pa.array([held]), pa.array([zstandard.compress(plain_bytes(table["text"]), 3)])]
+        return pa.RecordBatch.from_arrays(arrays, ["block", "ids", "held", "plain"])
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                said, codes, doc = block_words(zstandard.decompress(row["plain"]))
+                n = np.bincount(codes, weights=~np.array(row["held"], bool)[doc], minlength=len(said)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["block"])), pa.array(np.arange(len(n))), said, pa.array(n)], ["block", "pos", "word", "n"])
 
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     blocks = stored(picked.mapInArrow(count, block_schema), "lm-blocks")
-    asked = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.trained").alias("n"))
-    words = stored(asked.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    tokens, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    asked = blocks.select("block", "held", "plain").mapInArrow(words_of, "block long, pos long, word string, n long")
+    sums = asked.groupBy("word").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") > 0).alias("known"))
+    tokens, known_words = stored(sums, "lm-words").first()
 
     size = picked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, min(1 << 20, size // PART_BYTES))
@@ -309,7 +331,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = BlockPairs(zstandard.decompress(row["plain"]), np.array(row["held"], bool), parts)
+                own = BlockPairs(zstandard.decompress(row["plain"]), parts, np.array(row["held"], bool))
                 ends = np.append(own.first[1:], len(own.pairs))
                 pairs = [pack_pairs(own.pairs[own.order[a:b]]) for a, b in zip(own.first, ends, strict=True)]
                 times = [_squeeze(own.n[a:b], "<u8") for a, b in zip(own.first, ends, strict=True)]
@@ -362,7 +384,8 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
     each_round = each_round.join(trie, F.col("to_part") == F.col("part")).select("to_part", "to_round", "pairs", "times")
     by_pair = messages.select("block", "part", "round", "pairs").groupBy("part", "round").cogroup(each_round.groupBy("to_part", "to_round")).applyInArrow(scored, "to_block long, at long, scores binary")
     by_pair = by_pair.select("to_block", "at", F.lit(None).cast("long").alias("n"), "scores")
-    by_word = asked.select("block", "pos", "word").join(words, "word").select(F.col("block").alias("to_block"), F.col("pos").cast("long").alias("at"), "n", F.lit(None).cast("binary").alias("scores"))
+    whole = F.sum("n").over(Window.partitionBy("word"))  # at most one row a block
+    by_word = asked.select(F.col("block").alias("to_block"), F.col("pos").alias("at"), whole.alias("n"), F.lit(None).cast("binary").alias("scores"))
     back = by_pair.unionByName(by_word)
 
     def text_scores(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -375,16 +398,17 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
         score = np.frombuffer(b"".join(by_part), "<f4").astype(float)
         base = np.log10((n + 1) / (tokens + known_words + 1))
         for row in table.to_pylist():
-            ends, codes, times = (np.frombuffer(zstandard.decompress(row[c]), "<u4").astype(np.int64) for c in ("ends", "codes", "times"))
-            doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            total = lambda each: np.bincount(doc, weights=times * each, minlength=len(ends))  # noqa: B023, E731
-            whole = BlockPairs(zstandard.decompress(row["plain"]), np.array(row["held"], bool), parts).totals(score, len(ends))
-            for name, values in (("doc_id", row["ids"]), ("held_out", row["held"]), ("n_tokens", total(np.ones(len(codes))).astype(np.int64)), ("n_known", total((n > 0)[codes]).astype(np.int64)), ("base_score", total(base[codes])), ("score", whole)):
+            plain, texts = zstandard.decompress(row["plain"]), len(row["ids"])
+            _, codes, doc = block_words(plain)
+            total = lambda each: np.bincount(doc, weights=each, minlength=texts)  # noqa: B023, E731
+            sums = total(np.ones(len(codes))).astype(np.int64), total((n > 0)[codes]).astype(np.int64), total(base[codes])
+            del codes, doc
+            pa.default_memory_pool().release_unused()
+            whole = BlockPairs(plain, parts).totals(plain, score, texts)
+            for name, values in zip(out, (row["ids"], row["held"], *sums, whole), strict=True):
                 out[name].extend(values)
         types = {"doc_id": table["ids"].type.value_type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}
         return pa.table({c: pa.array(v, types.get(c, pa.float64())) for c, v in out.items()})
 
-    known_words = known
-    slim = blocks.drop("words", "trained")
-    done = slim.groupBy("block").cogroup(back.groupBy("to_block")).applyInArrow(text_scores, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    done = blocks.groupBy("block").cogroup(back.groupBy("to_block")).applyInArrow(text_scores, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))
