@@ -15,7 +15,7 @@ def _plain(x):
     if isinstance(x, bool):
         return x
     if isinstance(x, float):
-        return round(x, 5) + 0.0
+        return round(x, 6) + 0.0
     return x
 
 

@@ -13,12 +13,12 @@ obs as (select concat(l_returnflag, l_linestatus) as sequence, (date_diff('day',
                10::double + min(l_quantity) as w, 8::double + 2 * min(l_linenumber) as h, 1::double - min(l_discount) as confidence,
                min(l_linenumber % 3)::int as class_id, 1::double as visibility
         from lineitem group by 1, 2, 3),
-gt as (select * from obs where id % 5 = 0),
+gt as (select * from obs),
 pred as (select sequence, frame, (id + 1000 * floor(frame / 400))::int as id, x + ((frame * 7 + id) % 11) - 5 as x, y + ((frame * 3 + id) % 7) - 3 as y,
                 w, h, confidence, class_id, visibility from obs where (frame + id) % 13 <> 0),
-ais as (select o_custkey::varchar as mmsi, date_diff('day', date '1992-01-01', cast(o_orderdate as date))::double as ts,
+ais as (select (o_custkey // 25)::varchar as mmsi, date_diff('day', date '1992-01-01', cast(o_orderdate as date))::double as ts,
                min(floor(o_totalprice)::bigint % 1920)::double as x, min(o_orderkey % 1080)::double as y
-        from orders where o_custkey % 25 = 0 group by 1, 2)"""
+        from orders group by 1, 2)"""
 
 
 def _day(column: str):
@@ -41,7 +41,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(spark, sf_dir).where("id % 5 = 0")
+    """The true boxes: all observations."""
+    return observations(spark, sf_dir)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("sequence", "frame", new_id.alias("id"), x.alias("x"), y.alias("y"), "w", "h", "confidence", "class_id", "visibility")
 
 
-def reports(spark: SparkSession, sf_dir: str, which: str = "o_custkey % 25 = 0") -> DataFrame:
-    """Transponder reports (mmsi, ts, x, y): those of the given SQL, or with ``which`` of "true" all."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(which)
-    return o.groupBy(F.col("o_custkey").cast("string").alias("mmsi"), _day("o_orderdate").cast("double").alias("ts")).agg(F.min(F.floor("o_totalprice") % 1920).cast("double").alias("x"), F.min(F.col("o_orderkey") % 1080).cast("double").alias("y"))
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transponder reports (mmsi, ts, x, y) of all orders; 25 customers share a transponder."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    mmsi = F.floor(F.col("o_custkey") / 25).cast("long").cast("string").alias("mmsi")
+    return o.groupBy(mmsi, _day("o_orderdate").cast("double").alias("ts")).agg(F.min(F.floor("o_totalprice") % 1920).cast("double").alias("x"), F.min(F.col("o_orderkey") % 1080).cast("double").alias("y"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.operators import appearance, cameras, encounters, evaluation, occlusion, stitch, transponder
+from trackspark.operators import appearance, cameras, clear_mot, encounters, evaluation, occlusion, stitch, transponder
 from trackspark.operators import tracklets as pieces
 from trackspark.plans.observations import OBSERVED, SQL, observations, predictions, reports, truth
 from trackspark.sources import mot
@@ -28,19 +28,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-#: What the given SQL leaves out. A query named ``..._all`` does the whole job; its SQL is the given one without the cut.
-CUTS = (" where id <= 40", " where id % 2 = 0", " where a.id % 2 = 0 and b.id % 2 = 0", " where id % 5 = 0", " where o_custkey % 25 = 0", "a.label = b.label and ")
-
-
-def whole(f: Query) -> Query:
-    sql = ORACLES[f.__name__.removesuffix("_all")]
-    for cut in CUTS:
-        sql = sql.replace(cut, "")
-    sql = sql.replace("a.vec_id < b.vec_id", "a.vec_id <> b.vec_id")
-    QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-    return f
-
-
 @query("select * from obs")
 def mot_rows(spark, sf):
     return observations(spark, sf)
@@ -64,11 +51,6 @@ def gt_validate(spark, sf):
     return evaluation.validate(truth(spark, sf))
 
 
-@whole
-def gt_validate_all(spark, sf):
-    return evaluation.validate(observations(spark, sf))
-
-
 @query("select sequence, frame, 1 as id, x, y, w, h, 1.0::double as confidence, class_id, 1.0::double as visibility from obs where id in (3, 7, 9) and frame between 100 and 1500")
 def merge_ids_to_gt(spark, sf):
     return evaluation.merge_ids(observations(spark, sf), [3, 7, 9], 1, 100, 1500).select(*OBSERVED)
@@ -143,7 +125,7 @@ def stitch_decisions(spark, sf):
 
 @query()
 def stitch_remap(spark, sf):
-    return stitch.remap(predictions(spark, sf), stitch_decisions(spark, sf))
+    return stitch.remap(predictions(spark, sf), _tracklets(spark, sf), stitch_decisions(spark, sf))
 
 
 IOU = "case when {a}.w * {a}.h + {b}.w * {b}.h - i > 0 then i / ({a}.w * {a}.h + {b}.w * {b}.h - i) else 0 end"
@@ -157,11 +139,6 @@ def iou_pairs(spark, sf):
     return evaluation.iou_pairs(truth(spark, sf), predictions(spark, sf))
 
 
-@whole
-def iou_pairs_all(spark, sf):
-    return evaluation.iou_pairs(observations(spark, sf), predictions(spark, sf))
-
-
 NEAREST = """+ e as (select g.sequence, g.frame, g.id as gt_id, p.id as pred_id, round(sqrt(power(g.x + g.w / 2 - p.x - p.w / 2, 2) + power(g.y + g.h / 2 - p.y - p.h / 2, 2)), 6) as error
     from gt g left join pred p on g.sequence = p.sequence and g.frame = p.frame),
     near as (select sequence, frame, gt_id, pred_id, error from e qualify row_number() over (partition by sequence, frame, gt_id order by error nulls last, pred_id) = 1)"""
@@ -172,20 +149,15 @@ def nearest_boxes(spark, sf):
     return evaluation.nearest(truth(spark, sf), predictions(spark, sf))
 
 
-@whole
-def nearest_boxes_all(spark, sf):
-    return evaluation.nearest(observations(spark, sf), predictions(spark, sf))
-
-
 @query(NEAREST + """ select coalesce(sequence, 'OVERALL') as sequence, count(*) as num_truth, count(error) as matched, count(*) - count(error) as missing,
     round(avg(error), 6) as mean_error, round(median(error), 6) as median_error, max(error) as max_error from near group by rollup (sequence)""")
 def localization(spark, sf):
     return evaluation.localization(truth(spark, sf), predictions(spark, sf))
 
 
-@whole
-def localization_all(spark, sf):
-    return evaluation.localization(observations(spark, sf), predictions(spark, sf))
+@query()
+def mot_metrics(spark, sf):
+    return clear_mot.metrics(truth(spark, sf), predictions(spark, sf))
 
 
 @query("""+ a as (select sequence, frame, count(*) as num_truth from gt group by 1, 2), b as (select sequence, frame, count(*) as num_predicted from pred group by 1, 2)
@@ -194,25 +166,21 @@ def frame_union(spark, sf):
     return evaluation.frame_union(truth(spark, sf), predictions(spark, sf))
 
 
-@whole
-def frame_union_all(spark, sf):
-    return evaluation.frame_union(observations(spark, sf), predictions(spark, sf))
-
-
 @query("select coalesce(a.sequence, b.sequence) as sequence, case when b.sequence is null then 'missing_predicted' when a.sequence is null then 'missing_truth' else 'paired' end as status from (select distinct sequence from gt) a full join (select distinct sequence from pred where sequence <> 'AO') b on a.sequence = b.sequence")
 def pairing_report(spark, sf):
     return evaluation.pairing(truth(spark, sf), predictions(spark, sf).where("sequence <> 'AO'"))
 
 
+CLIP = "list_extract(['AF', 'AO', 'NF', 'NO', 'RF', 'RO'], (mmsi::bigint % 6 + 1)::bigint)"
 ALIGNED = """+ grid as (select k + 1 as frame, k * 7.0::double as t from range(365) r(k)),
-    iv as (select *, lag(ts) over o as lts, lag(x) over o as lx, lead(ts) over o is null as last from ais window o as (partition by mmsi order by ts)),
-    al as (select mmsi, frame::int as frame, round(lx + (x - lx) * ((t - lts) / (ts - lts)), 6) as x, 'interpolated' as reason from iv join grid on t > lts and t <= ts and least(t - lts, ts - t) <= 60
-        union all select mmsi, frame::int, round(x, 6), 'nearest_first_record' from iv join grid on lts is null and t <= ts and ts - t <= 60
-        union all select mmsi, frame::int, round(x, 6), 'nearest_last_record' from iv join grid on last and t > ts and t - ts <= 60)"""
+    iv as (select *, lag(ts) over o as lts, lag(x) over o as lx, lag(y) over o as ly, lead(ts) over o is null as last from ais window o as (partition by mmsi order by ts)),
+    al as (select mmsi, frame::int as frame, round(lx + (x - lx) * ((t - lts) / (ts - lts)), 6) as x, round(ly + (y - ly) * ((t - lts) / (ts - lts)), 6) as y, 'interpolated' as reason from iv join grid on t > lts and t <= ts and least(t - lts, ts - t) <= 60
+        union all select mmsi, frame::int, round(x, 6), round(y, 6), 'nearest_first_record' from iv join grid on lts is null and t <= ts and ts - t <= 60
+        union all select mmsi, frame::int, round(x, 6), round(y, 6), 'nearest_last_record' from iv join grid on last and t > ts and t - ts <= 60)"""
 
 
-def _aligned(spark, sf, which="o_custkey % 25 = 0"):
-    return transponder.align(reports(spark, sf, which), 365, 7.0, 60.0)
+def _aligned(spark, sf):
+    return transponder.align(reports(spark, sf), 365, 7.0, 60.0)
 
 
 @query(ALIGNED + " select * from al")
@@ -220,26 +188,18 @@ def ais_align(spark, sf):
     return _aligned(spark, sf)
 
 
-@whole
-def ais_align_all(spark, sf):
-    return _aligned(spark, sf, "true")
-
-
 def _weekly(spark, sf):
     # the grid of reports has a frame a week, the tracks one a day
     return predictions(spark, sf).withColumn("frame", (F.floor(F.col("frame") / 7) + 1).cast("int"))
 
 
-@query(ALIGNED + """, j as (select sequence, id, mmsi, count(*) as overlap, avg(least(1, greatest(0, 1 - abs(p.x + p.w / 2 - al.x) / 250.0::double))) as pos from (select * replace ((frame // 7 + 1)::int as frame) from pred) p join al using (frame) group by 1, 2, 3),
+@query(ALIGNED + f""", j as (select sequence, id, mmsi, count(*) as overlap, avg(least(1, greatest(0, 1 - sqrt(power(p.x + p.w / 2 - al.x, 2) + power(p.y + p.h / 2 - al.y, 2)) / 250.0::double))) as pos
+        from (select * replace ((frame // 7 + 1)::int as frame) from pred) p join (select *, {CLIP} as clip from al) al on p.frame = al.frame and p.sequence = al.clip group by 1, 2, 3),
     s as (select *, round((pos + least(1.0::double, overlap / 5.0::double)) / 2, 6) as score from j)
     select sequence, id, case when score >= 0.6 then mmsi end as mmsi, score, overlap from s qualify row_number() over (partition by sequence, id order by score desc, mmsi) = 1""")
 def ais_assign(spark, sf):
-    return transponder.assign(_weekly(spark, sf), _aligned(spark, sf))
-
-
-@whole
-def ais_assign_all(spark, sf):
-    return transponder.assign(_weekly(spark, sf), _aligned(spark, sf, "true"))
+    clip = F.element_at(F.array(*map(F.lit, ("AF", "AO", "NF", "NO", "RF", "RO"))), (F.col("mmsi").cast("long") % 6 + 1).cast("int"))
+    return transponder.assign(_weekly(spark, sf), _aligned(spark, sf).withColumn("sequence", clip))
 
 
 BAND = f"""+ t(turn, shift) as (values (0, 0), (1, -1), (2, 1)),
@@ -260,41 +220,28 @@ def gt_iou_match(spark, sf):
     return _matched(spark, sf).drop("exact_iou")
 
 
-@whole
-def gt_iou_match_all(spark, sf):
-    return _matched(spark, sf, observations).drop("exact_iou")
-
-
 @query(DOMINANT + " select * from dom")
 def dominant_identity(spark, sf):
     return transponder.dominant(_matched(spark, sf))
 
 
-@whole
-def dominant_identity_all(spark, sf):
-    return transponder.dominant(_matched(spark, sf, observations))
-
-
 @query(DOMINANT + " select sequence, gt_id, count(*) as num_tracks, count(*) - 1 as switches, round(avg(purity), 6) as mean_purity from dom group by 1, 2")
 def fragmentation(spark, sf):
     return transponder.fragmentation(transponder.dominant(_matched(spark, sf)))
 
 
-@whole
-def fragmentation_all(spark, sf):
-    return transponder.fragmentation(transponder.dominant(_matched(spark, sf, observations)))
-
-
 NORM = "(case when ({0}) + 180 - 360 * floor((({0}) + 180) / 360) - 180 = -180 then 180 else ({0}) + 180 - 360 * floor((({0}) + 180) / 360) - 180 end)"
-STATES = f"""+ o2 as (select *, floor(frame / 200)::int as span, x + w / 2 as cx, y + h / 2 as cy from obs where id <= 40),
+STATES = f"""+ o2 as (select *, floor(frame / 200)::int as span, x + w / 2 as cx, y + h / 2 as cy from obs),
     st0 as (select sequence, span, id, max(frame) as frame, count(*) as observations, max_by(cx, frame) as px, max_by(cy, frame) as py,
         (max_by(cx, frame) - min_by(cx, frame)) / greatest(1, max(frame) - min(frame)) as vx, (max_by(cy, frame) - min_by(cy, frame)) / greatest(1, max(frame) - min(frame)) as vy from o2 group by 1, 2, 3),
     st as (select *, sqrt(vx * vx + vy * vy) as speed, case when vx = 0 and vy = 0 then 0 else {NORM.format("degrees(atan2(vy, vx))")} end as heading from st0)"""
 SPAN = ["sequence", "span"]
+#: Vessels further apart are no pair: twice the distance of a candidate.
+REACH = 500.0
 
 
-def _states(spark, sf, which="id <= 40"):
-    return encounters.vessel_states(observations(spark, sf).where(which).withColumn("span", F.floor(F.col("frame") / 200).cast("int")), SPAN)
+def _states(spark, sf):
+    return encounters.vessel_states(observations(spark, sf).withColumn("span", F.floor(F.col("frame") / 200).cast("int")), SPAN)
 
 
 def _rounded(df, *columns):
@@ -306,21 +253,16 @@ def vessel_state(spark, sf):
     return _rounded(_states(spark, sf), "px", "py", "vx", "vy", "speed", "heading")
 
 
-@whole
-def vessel_state_all(spark, sf):
-    return _rounded(_states(spark, sf, "true"), "px", "py", "vx", "vy", "speed", "heading")
-
-
 RISK = STATES + """, r0 as (select a.sequence, a.span, a.id as own_id, b.id as other_id, b.px - a.px as rx, b.py - a.py as ry, b.vx - a.vx as rvx, b.vy - a.vy as rvy from st a join st b on a.sequence = b.sequence and a.span = b.span and a.id < b.id),
     r1 as (select *, sqrt(rx * rx + ry * ry) as d, sqrt(rvx * rvx + rvy * rvy) as rs from r0),
-    r2 as (select *, greatest(0, least(30, case when rs <= 1e-9 then 0 else -(rx * rvx + ry * rvy) / greatest(rs * rs, 1e-9) end)) as t from r1),
+    r2 as (select *, greatest(0, least(30, case when rs <= 1e-9 then 0 else -(rx * rvx + ry * rvy) / greatest(rs * rs, 1e-9) end)) as t from r1 where d <= 500),
     r3 as (select *, round(sqrt((rx + rvx * t) * (rx + rvx * t) + (ry + rvy * t) * (ry + rvy * t)), 6) as closest_distance, round(t, 6) as frames_to_closest, round(rs, 6) as relative_speed from r2),
     r4 as (select *, round(least(1, greatest(0, 0.45::double * least(1, greatest(0, 1 - d / 250)) + 0.4::double * least(1, greatest(0, 1 - closest_distance / 250)) + 0.15::double * least(1, greatest(0, relative_speed / 0.5::double))
-        + case when frames_to_closest > 0 then 0.15::double * least(1, greatest(0, 1 - closest_distance / 250)) else 0 end)), 6) as risk from r3)"""
+        + case when frames_to_closest > 0 then 0.15::double * least(1, greatest(0, 1 - closest_distance / 250)) else 0 end)) + 1e-9::double, 6) as risk from r3)"""
 
 
 def _risks(states):
-    df = encounters.risks(encounters.pairs(states, SPAN, both_ways=False))
+    df = encounters.risks(encounters.pairs(states, SPAN, both_ways=False, reach=REACH))
     return df.select(*SPAN, "own_id", "other_id", "distance", "closest_distance", "frames_to_closest", "relative_speed", "risk", "candidate")
 
 
@@ -330,16 +272,11 @@ def closest_approach_risk(spark, sf):
     return _risks(_states(spark, sf))
 
 
-@whole
-def closest_approach_risk_all(spark, sf):
-    return _risks(_states(spark, sf, "true"))
-
-
 ENCOUNTER = STATES + f""", c0 as (select a.sequence, a.span, a.id as own_id, b.id as other_id, least(a.observations, b.observations) as obs_n, least(a.speed, b.speed) as slow, a.speed as own_speed, b.speed as other_speed,
         {NORM.format("degrees(atan2(b.py - a.py, b.px - a.px)) - a.heading")} as bearing, {NORM.format("degrees(atan2(a.py - b.py, a.px - b.px)) - b.heading")} as back, abs({NORM.format("a.heading - b.heading")}) as turn,
         (b.px - a.px) * (b.vx - a.vx) + (b.py - a.py) * (b.vy - a.vy) < 0 as closing, sqrt((b.px - a.px) * (b.px - a.px) + (b.py - a.py) * (b.py - a.py)) as d
         from st a join st b on a.sequence = b.sequence and a.span = b.span and a.id <> b.id),
-    c1 as (select *, abs(180 - turn) as err from c0),
+    c1 as (select *, abs(180 - turn) as err from c0 where d <= 500),
     c2 as (select *, case when obs_n < 3 or slow <= 1e-6 then 'UNKNOWN' when err <= 20 and abs(bearing) <= 20 and abs(back) <= 20 and closing then 'HEAD_ON'
         when turn <= 45 and abs(back) >= 112.5 and own_speed > other_speed then 'OVERTAKING' when turn > 25 and err > 20 and bearing between 15 and 112.5 then 'CROSSING_GIVE_WAY'
         when turn > 25 and err > 20 and bearing between -112.5 and -15 then 'CROSSING_STAND_ON' else 'NO_INTERACTION' end as kind from c1),
@@ -350,7 +287,7 @@ ENCOUNTER = STATES + f""", c0 as (select a.sequence, a.span, a.id as own_id, b.i
 
 
 def _encounters(states):
-    df = encounters.classify(encounters.pairs(states, SPAN))
+    df = encounters.classify(encounters.pairs(states, SPAN, reach=REACH))
     return df.select(*SPAN, "own_id", "other_id", "bearing", "turn", "encounter", "confidence")
 
 
@@ -359,11 +296,6 @@ def classify_encounter(spark, sf):
     return _encounters(_states(spark, sf))
 
 
-@whole
-def classify_encounter_all(spark, sf):
-    return _encounters(_states(spark, sf, "true"))
-
-
 HIDDEN = """+ h0 as (select sequence, id, frame, w, h, x + w / 2 as cx, y + h / 2 as cy from pred),
     h1 as (select *, coalesce((cx - lag(cx) over o) / greatest(1, frame - lag(frame) over o), 0) as vx, coalesce((cy - lag(cy) over o) / greatest(1, frame - lag(frame) over o), 0) as vy, lead(frame) over o as nxt from h0 window o as (partition by sequence, id order by frame)),
     hid as (select sequence, id, (frame + g)::int as frame, g::int as gap, round(cx + vx * g, 6) as predicted_x, round(cy + vy * g, 6) as predicted_y, round(12 + 3.5::double * g, 6) as uncertainty, round((12 + 3.5::double * g) * sqrt(2.0::double), 6) as radius,
@@ -386,46 +318,38 @@ def reappearances(spark, sf):
     return occlusion.reappearances(predictions(spark, sf))
 
 
-@query(HIDDEN + """, oc as (select hid.sequence, hid.id, hid.frame, s.id as occluder_id, predicted_x - 10 as x, predicted_y - 10 as y, 20 as w, 20 as h, s.x as sx, s.y as sy, s.w as sw, s.h as sh,
-        greatest(0, 1 - sqrt(power(predicted_x - s.x - s.w / 2, 2) + power(predicted_y - s.y - s.h / 2, 2)) / 100) as near from hid join pred s on s.sequence = hid.sequence and s.frame = hid.frame and s.id <> hid.id),
-    oi as (select *, greatest(0, least(x + w, sx + sw) - greatest(x, sx)) * greatest(0, least(y + h, sy + sh) - greatest(y, sy)) as i from oc),
-    of as (select *, round((0.45::double * case when w * h + sw * sh - i > 0 then i / (w * h + sw * sh - i) else 0 end + 0.4::double * near) / 0.85::double, 6) as confidence from oi)
+@query(HIDDEN + """, fast as (select h1.sequence, h1.id, h1.frame + g as frame, g, h1.w, h1.h, vx, vy, round(cx + vx * g, 6) as px, round(cy + vy * g, 6) as py from h1 join range(1, 31) r(g) on g < nxt - h1.frame),
+    oc as (select f.sequence, f.id, f.frame::int as frame, s.id as occluder_id, px - f.w / 2 as x, py - f.h / 2 as y, f.w, f.h, s.cx - s.w / 2 as sx, s.cy - s.h / 2 as sy, s.w as sw, s.h as sh,
+        greatest(0, 1 - sqrt((px - s.cx) * (px - s.cx) + (py - s.cy) * (py - s.cy)) / (greatest(f.w, f.h, s.w, s.h, 1) * 1.75::double)) as near,
+        least(1, sqrt((f.vx - s.vx) * (f.vx - s.vx) + (f.vy - s.vy) * (f.vy - s.vy)) / greatest(sqrt(f.vx * f.vx + f.vy * f.vy) + sqrt(s.vx * s.vx + s.vy * s.vy), 1)) as motion
+        from fast f join h1 s on s.sequence = f.sequence and s.frame = f.frame and s.id <> f.id),
+    oi as (select *, greatest(0, least(x + w, sx + sw) - greatest(x, sx)) * greatest(0, least(y + h, sy + sh) - greatest(y, sy)) as i from oc where near > 0),
+    of as (select *, round(0.45::double * case when w * h + sw * sh - i > 0 then i / (w * h + sw * sh - i) else 0 end + 0.4::double * near + 0.15::double * motion + 1e-9::double, 6) as confidence from oi)
     select sequence, id, frame, occluder_id, confidence from of where confidence >= 0.2 qualify row_number() over (partition by sequence, id, frame order by confidence desc, occluder_id) = 1""")
 def occluder_pairs(spark, sf):
-    hidden = occlusion.gap_predictions(predictions(spark, sf)).withColumns({"w": F.lit(20.0), "h": F.lit(20.0)})
-    return occlusion.occluders(hidden, predictions(spark, sf))
+    return occlusion.occluders(predictions(spark, sf))
 
 
-def _cameras(spark, sf, which="id % 2 = 0"):
-    return observations(spark, sf).where(which), predictions(spark, sf).where(which)
+def _cameras(spark, sf):
+    return observations(spark, sf), predictions(spark, sf)
 
 
-@query("""+ a as (select sequence, frame, id as a_id, row_number() over (partition by sequence, frame order by x + w / 2, id) as rank, count(*) over (partition by sequence, frame) as n from obs where id % 2 = 0),
-    b as (select sequence, frame, id as b_id, row_number() over (partition by sequence, frame order by x + w / 2, id) as rank, count(*) over (partition by sequence, frame) as n from pred where id % 2 = 0)
+@query("""+ a as (select sequence, frame, id as a_id, row_number() over (partition by sequence, frame order by x + w / 2, id) as rank, count(*) over (partition by sequence, frame) as n from obs),
+    b as (select sequence, frame, id as b_id, row_number() over (partition by sequence, frame order by x + w / 2, id) as rank, count(*) over (partition by sequence, frame) as n from pred)
     select sequence, frame, rank, a_id, b_id from a join b using (sequence, frame, rank, n)""")
 def rank_x_pairs(spark, sf):
     return cameras.ranked_pairs(*_cameras(spark, sf))
 
 
-@whole
-def rank_x_pairs_all(spark, sf):
-    return cameras.ranked_pairs(*_cameras(spark, sf, "true"))
-
-
 @query("""+ j as (select a.sequence, a.frame, a.id as a_id, b.id as b_id, round(sqrt(power((a.x + a.w / 2) / 1920 - (b.x + b.w / 2) / 1920, 2) + power((a.y + a.h / 2) / 1080 - (b.y + b.h / 2) / 1080, 2)), 6) as distance
-    from obs a join pred b on a.sequence = b.sequence and a.frame = b.frame where a.id % 2 = 0 and b.id % 2 = 0) select * from j where distance <= 0.1""")
+    from obs a join pred b on a.sequence = b.sequence and a.frame = b.frame) select * from j where distance <= 0.1""")
 def center_distance_candidates(spark, sf):
     return cameras.near_pairs(*_cameras(spark, sf))
 
 
-@whole
-def center_distance_candidates_all(spark, sf):
-    return cameras.near_pairs(*_cameras(spark, sf, "true"))
-
-
 @query()
 def fuse_cameras(spark, sf):
-    a, b = _cameras(spark, sf, "true")
+    a, b = _cameras(spark, sf)
     return cameras.fuse(a, b, cameras.greedy_pairs(cameras.near_pairs(a, b)))
 
 
@@ -439,15 +363,8 @@ def live_reid(spark, sf):
     return live_batch(predictions(spark, sf))
 
 
-@query("select a.vec_id as a_id, b.vec_id as b_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id % 20 = 0")
+@query("select a.vec_id as a_id, b.vec_id as b_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0")
 def cosine_similarity(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    a, b = (e.select("label", F.col("vec_id").alias(f"{s}_id"), F.col("embedding").alias(f"{s}_vector")) for s in "ab")
-    return a.where("a_id % 20 = 0").join(b, "label").where("a_id < b_id").select("a_id", "b_id", appearance.cosine("a_vector", "b_vector").alias("similarity"))
-
-
-@whole
-def cosine_similarity_all(spark, sf):
     # every query vector with every other one; the cross join goes by pairs of partitions, or sends the query vectors round where they are few
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     a, b = (e.select(F.col("vec_id").alias(f"{s}_id"), F.col("embedding").alias(f"{s}_vector")) for s in "ab")

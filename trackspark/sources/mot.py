@@ -6,31 +6,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def parse(lines: DataFrame, line: str = "value", sequence: Column | None = None, strict: bool = True) -> DataFrame:
+def parse(lines: DataFrame, line: str = "value", sequence: Column | None = None, strict: bool = True, where: Column | None = None, frame_offset: int = 0) -> DataFrame:
     """Rows of text lines; blank lines and ``#`` comments are skipped.
 
-    Cells are split on commas, or on white space if there is no comma. Fewer than six cells raise an
-    error, or are skipped unless ``strict``. Numbers are truncated to integers where columns are integers.
+    Cells are split on commas, or on white space if there is no comma. Fewer than six cells, or a cell that is no
+    number, raise an error with ``where`` (such as the file) and the line, or are skipped unless ``strict``. Numbers are
+    truncated to integers where columns are integers; ``frame_offset`` is added to frames.
     """
-    df = lines.select(F.trim(line).alias("line"), (sequence if sequence is not None else F.lit(None).cast("string")).alias("sequence"))
+    df = lines.select(F.regexp_replace(line, r"^\s+|\s+$", "").alias("line"), (sequence if sequence is not None else F.lit(None).cast("string")).alias("sequence"), (where if where is not None else F.lit("")).alias("where"))
     df = df.where((F.col("line") != "") & ~F.col("line").startswith("#"))
     cells = F.when(F.col("line").contains(","), F.split("line", r"\s*,\s*")).otherwise(F.split("line", r"\s+"))
-    df = df.withColumn("c", cells)
-    number = lambda i: F.expr(f"try_cast(get(c, {i}) as double)")
-    bad = F.size("c") < 6
+    df = df.withColumn("c", F.slice(cells, 1, 9))
+    good = (F.size("c") >= 6) & F.forall("c", lambda x: x.try_cast("double").isNotNull())
     if strict:
-        df = df.withColumn("c", F.when(bad, F.raise_error(F.concat(F.lit("a track row needs 6 columns: "), F.col("line"))).cast("array<string>")).otherwise(F.col("c")))
+        error = F.raise_error(F.concat(F.lit("not a track row: "), "where", F.lit(" "), "line")).cast("array<string>")
+        df = df.withColumn("c", F.when(good, F.col("c")).otherwise(error))
     else:
-        df = df.where(~bad & F.forall(F.slice("c", 1, 6), lambda x: x.try_cast("double").isNotNull()))
+        df = df.where(good)
+    number = lambda i: F.expr(f"try_cast(get(c, {i}) as double)")
     box = [number(i + 2).alias(n) for i, n in enumerate("xywh")]
     rest = [F.coalesce(number(6), F.lit(1.0)).alias("confidence"), F.coalesce(number(7), F.lit(0.0)).cast("int").alias("class_id"), F.coalesce(number(8), F.lit(1.0)).alias("visibility")]
-    return df.select("sequence", number(0).cast("int").alias("frame"), number(1).cast("int").alias("id"), *box, *rest)
+    return df.select("sequence", (number(0).cast("int") + frame_offset).alias("frame"), number(1).cast("int").alias("id"), *box, *rest)
 
 
-def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, strict: bool = True, frame_offset: int = 0) -> DataFrame:
     """Track files under ``path``; the sequence is the file's stem."""
-    lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("stem"))
-    return parse(lines, sequence=F.col("stem"), strict=strict)
+    lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("stem"), F.col("_metadata.file_path").alias("file"))
+    return parse(lines, sequence=F.col("stem"), strict=strict, where=F.col("file"), frame_offset=frame_offset)
 
 
 def lines(tracks: DataFrame) -> DataFrame:
