@@ -80,9 +80,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     low, high, inner = docs.agg(F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()
     cuts = sorted({low or 0, *((inner or []) if parts > 1 else [])})
     each = -(-rows // (RANGE_ROWS * parts))  # ranges of equal width between two cuts; one while the cuts suffice
-    widths = [(b - a) // each + 1 for a, b in zip(cuts, [*cuts[1:], (high or 0) + 1], strict=True)]
+    # in doubles: ids may lie at both ends of the longs; rounding keeps the order
+    widths = [float((b - a) // each + 1) for a, b in zip(cuts, [*cuts[1:], (high or 0) + 1], strict=True)]
     at = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id")))
-    offset = F.floor((F.col("doc_id") - F.element_at(F.lit(cuts), at)) / F.element_at(F.lit(widths), at))
+    start = F.element_at(F.lit([float(c) for c in cuts]), at)
+    offset = F.floor((F.col("doc_id").cast("double") - start) / F.element_at(F.lit(widths), at))
+    offset = F.least(F.lit(each), F.greatest(F.lit(0), offset))
     bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(at * (each + 1) + offset).cast("long")
     df = docs.select("doc_id", "text", bucket.alias("bucket"))
     # one row per bucket: a small table, about a thousandth of the rows
