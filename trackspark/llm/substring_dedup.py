@@ -7,7 +7,7 @@ full windows have equal smallest short ones, and a short one stands for many ful
 asks for the full windows themselves, each made of two overlapping shorter ones. Where no candidate
 survives, nothing is asked any more.
 
-A level is one exchange: a block of documents (a few MB of text) asks about each distinct window once,
+A level is one exchange: a block of documents (8 MB of text) asks about each distinct window once,
 with the smallest and largest id that it has for it, so that a window in a third of all documents is a
 row per block and not per document. What repeats goes back to the blocks. The texts are exchanged once.
 """
@@ -80,7 +80,7 @@ class _Windows:
         return [k[first].view(np.int64) for k in keys], ids[first], ids[first] < ids[last]
 
 
-def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), untouched_as_is: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), untouched_as_is: bool = False, block_bytes: int = 2 * BLOCK_BYTES) -> DataFrame:
     """Remove each word covered by a window of ``length`` words that also starts in a row of smaller id.
 
     One row per row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words joined by one space, or
