@@ -19,6 +19,7 @@ same order. Words are counted beside for the add-one base score.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -40,9 +41,9 @@ PAD, END = 0xFF, 0xFE
 #: The end of a text as a word; no word holds this byte.
 END_WORD = "\n"
 #: Text in one block of documents (fewer blocks repeat fewer pairs), and bytes looked at together in a block.
-DOC_BLOCK_BYTES, AT_ONCE = 24_000_000, 1 << 20
+DOC_BLOCK_BYTES, AT_ONCE = 16_000_000, 1 << 20
 #: Pairs gathered before they are merged into the block's.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 #: Text for one part of the trie, parts at least, and blocks whose pairs are merged in one call.
 PART_BYTES, LEAST_PARTS, MERGED = 4_000_000, 64, 128
 #: Grades (half powers of two) of occurrences and of followers for escape estimates, and the weight of the plain estimate.
@@ -67,13 +68,29 @@ def plain_bytes(texts: pa.Array | pa.ChunkedArray) -> bytes:
     return data[keep].tobytes()
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on, and what its allocators keep adds to the next block's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def block_words(plain: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of a block, the end last; code and text of each word, then of each end."""
     texts = plain.translate(None, bytes([PAD])).split(bytes([END]))[:-1]
-    words, codes, offsets = split_words(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
-    said = pa.concat_arrays([words.cast(pa.string()), pa.array([END_WORD])])
-    doc = np.arange(len(texts))
-    return said, np.concatenate([codes, np.full(len(texts), len(words))]), np.concatenate([np.repeat(doc, np.diff(offsets)), doc])
+    size = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(size // AT_ONCE)) + 1), len(texts)]  # split about AT_ONCE bytes at a time
+    coded, counts = [], []
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        words, codes, offsets = split_words(pa.array(texts[start:end], pa.large_binary()).cast(pa.large_string()))
+        coded.append(pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int32)), words.cast(pa.string())))
+        counts.append(np.diff(offsets))
+    coded = pa.chunked_array(coded).unify_dictionaries()
+    words, codes = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+    doc = np.arange(len(texts), dtype=np.int32)
+    said = pa.concat_arrays([words, pa.array([END_WORD])])
+    return said, np.concatenate([codes, np.full(len(texts), len(words), codes.dtype)]), np.concatenate([np.repeat(doc, np.concatenate(counts)), doc])
 
 
 def byte_pairs(plain: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -246,28 +263,36 @@ class BlockPairs:
     """Distinct pairs of a block in the order of the parts, with their training counts if the held-out texts are given."""
 
     def __init__(self, plain: bytes, parts: int, held: np.ndarray | None = None):
-        waiting, n = [(np.empty(0, np.int64), np.empty(0))], None
+        self.pairs, self.n = np.empty(0, np.int64), np.empty(0, np.int32)
+        waiting = []
         for pair, doc in byte_pairs(plain):
             pair, inverse = _distinct(pair)
-            waiting.append((pair, np.bincount(inverse, weights=~held[doc], minlength=len(pair)) if held is not None else pair))
-            if sum(len(p) for p, _ in waiting[1:]) >= GATHERED:
-                waiting = [self._merged(waiting, held is not None)]
-        self.pairs, n = self._merged(waiting, held is not None)
-        del waiting
-        near = (self.pairs >> (8 * (ORDER - NEAR + 1))).astype(np.uint64)
-        part = (mix(near + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+            waiting.append((pair, np.bincount(inverse, weights=~held[doc], minlength=len(pair)) if held is not None else np.zeros(len(pair))))
+            if sum(len(p) for p, _ in waiting) >= GATHERED:
+                self._add(*_by_key(*map(np.concatenate, zip(*waiting, strict=True))))
+                waiting = []
+        if waiting:
+            self._add(*_by_key(*map(np.concatenate, zip(*waiting, strict=True))))
+        near = self.pairs >> (8 * (ORDER - NEAR + 1))
+        first = np.flatnonzero(np.append(True, near[1:] != near[:-1])) if len(near) else np.empty(0, np.int64)
+        part = (mix(near[first].astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int32)
+        part = np.repeat(part, np.diff(np.append(first, len(near))))
+        del near
         self.order = np.argsort(part, kind="stable")  # pairs ascend inside a part
-        self.n = n[self.order].astype(np.int64) if held is not None else None
-        self.parts, self.first = np.unique(part[self.order], return_index=True)
-
-    @staticmethod
-    def _merged(found: list[tuple], counted: bool) -> tuple[np.ndarray, np.ndarray]:
-        if counted:
-            return _by_key(*map(np.concatenate, zip(*found, strict=True)))
-        pairs = np.concatenate([pair for pair, _ in found])
-        pairs.sort()
-        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
-        return pairs, pairs
+        self.n = self.n[self.order] if held is not None else None
+        part = part[self.order]
+        self.first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+        self.parts = part[self.first].astype(np.int64)
+
+    def _add(self, pairs: np.ndarray, n: np.ndarray) -> None:
+        """Merge distinct ascending pairs into those held; only the new ones move the others."""
+        n, place = n.astype(np.int32), np.searchsorted(self.pairs, pairs)
+        known = place < len(self.pairs)
+        known[known] = self.pairs[place[known]] == pairs[known]
+        self.n[place[known]] += n[known]
+        new = ~known
+        self.pairs = np.insert(self.pairs, place[new], pairs[new])
+        self.n = np.insert(self.n, place[new], n[new])
 
     def totals(self, plain: bytes, score: np.ndarray, texts: int) -> np.ndarray:
         """Sum over each text of ``score``, which is in the order of the parts."""
@@ -309,6 +334,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
         ids = table["id"].to_pylist()
         held = [is_held_out(i, modulus, held_out) for i in ids]
         arrays = [pa.array([block]), pa.array([ids], pa.list_(table["id"].type)), pa.array([held]), pa.array([zstandard.compress(plain_bytes(table["text"]), 3)])]
+        give_back()
         return pa.RecordBatch.from_arrays(arrays, ["block", "ids", "held", "plain"])
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,6 +342,8 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
             for row in batch.to_pylist():
                 said, codes, doc = block_words(zstandard.decompress(row["plain"]))
                 n = np.bincount(codes, weights=~np.array(row["held"], bool)[doc], minlength=len(said)).astype(np.int64)
+                del codes, doc
+                give_back()
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["block"])), pa.array(np.arange(len(n))), said, pa.array(n)], ["block", "pos", "word", "n"])
 
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -336,6 +364,8 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
                 pairs = [pack_pairs(own.pairs[own.order[a:b]]) for a, b in zip(own.first, ends, strict=True)]
                 times = [_squeeze(own.n[a:b], "<u8") for a, b in zip(own.first, ends, strict=True)]
                 arrays = [pa.array(np.full(len(pairs), row["block"])), pa.array(own.parts), pa.array(pairs, pa.binary()), pa.array(times, pa.binary())]
+                del own, pairs, times
+                give_back()
                 yield pa.RecordBatch.from_arrays(arrays, ["block", "part", "pairs", "times"])
 
     messages = blocks.select("block", "held", "plain").mapInArrow(sent, "block long, part long, pairs binary, times binary")
@@ -403,8 +433,9 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str
             total = lambda each: np.bincount(doc, weights=each, minlength=texts)  # noqa: B023, E731
             sums = total(np.ones(len(codes))).astype(np.int64), total((n > 0)[codes]).astype(np.int64), total(base[codes])
             del codes, doc
-            pa.default_memory_pool().release_unused()
+            give_back()
             whole = BlockPairs(plain, parts).totals(plain, score, texts)
+            give_back()
             for name, values in zip(out, (row["ids"], row["held"], *sums, whole), strict=True):
                 out[name].extend(values)
         types = {"doc_id": table["ids"].type.value_type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64()}
