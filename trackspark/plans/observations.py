@@ -17,7 +17,7 @@ gt as (select * from obs),
 pred as (select sequence, frame, (id + 1000 * floor(frame / 400))::int as id, x + ((frame * 7 + id) % 11) - 5 as x, y + ((frame * 3 + id) % 7) - 3 as y,
                 w, h, confidence, class_id, visibility from obs where (frame + id) % 13 <> 0),
 ais as (select (o_custkey // 25)::varchar as mmsi, date_diff('day', date '1992-01-01', cast(o_orderdate as date))::double as ts,
-               min(floor(o_totalprice)::bigint % 1920)::double as x, min(o_orderkey % 1080)::double as y
+               min(floor(o_totalprice)::bigint % 1920)::double as x, min(o_orderkey % 1080)::double as y, min(o_orderkey % 360)::double as angle
         from orders group by 1, 2)"""
 
 
@@ -54,7 +54,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transponder reports (mmsi, ts, x, y) of all orders; 25 customers share a transponder."""
+    """Transponder reports (mmsi, ts, x, y, angle) of all orders; 25 customers share a transponder."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     mmsi = F.floor(F.col("o_custkey") / 25).cast("long").cast("string").alias("mmsi")
-    return o.groupBy(mmsi, _day("o_orderdate").cast("double").alias("ts")).agg(F.min(F.floor("o_totalprice") % 1920).cast("double").alias("x"), F.min(F.col("o_orderkey") % 1080).cast("double").alias("y"))
+    at = {"x": F.floor("o_totalprice") % 1920, "y": F.col("o_orderkey") % 1080, "angle": F.col("o_orderkey") % 360}
+    return o.groupBy(mmsi, _day("o_orderdate").cast("double").alias("ts")).agg(*[F.min(v).cast("double").alias(k) for k, v in at.items()])

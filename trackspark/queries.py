@@ -173,19 +173,19 @@ def pairing_report(spark, sf):
 
 CLIP = "list_extract(['AF', 'AO', 'NF', 'NO', 'RF', 'RO'], (mmsi::bigint % 6 + 1)::bigint)"
 ALIGNED = """+ grid as (select k + 1 as frame, k * 7.0::double as t from range(365) r(k)),
-    iv as (select *, lag(ts) over o as lts, lag(x) over o as lx, lag(y) over o as ly, lead(ts) over o is null as last from ais window o as (partition by mmsi order by ts)),
-    al as (select mmsi, frame::int as frame, round(lx + (x - lx) * ((t - lts) / (ts - lts)), 6) as x, round(ly + (y - ly) * ((t - lts) / (ts - lts)), 6) as y, 'interpolated' as reason from iv join grid on t > lts and t <= ts and least(t - lts, ts - t) <= 60
-        union all select mmsi, frame::int, round(x, 6), round(y, 6), 'nearest_first_record' from iv join grid on lts is null and t <= ts and ts - t <= 60
-        union all select mmsi, frame::int, round(x, 6), round(y, 6), 'nearest_last_record' from iv join grid on last and t > ts and t - ts <= 60)"""
+    iv as (select *, lag(ts) over o as lts, lag(x) over o as lx, lag(y) over o as ly, lag(angle) over o as la, lead(ts) over o is null as last from ais window o as (partition by mmsi order by ts)),
+    al as (select mmsi, frame::int as frame, round(lx + (x - lx) * ((t - lts) / (ts - lts)), 6) as x, round(ly + (y - ly) * ((t - lts) / (ts - lts)), 6) as y, round(la + (angle - la) * ((t - lts) / (ts - lts)), 6) as angle, 'interpolated' as reason from iv join grid on t > lts and t <= ts and least(t - lts, ts - t) <= 60
+        union all select mmsi, frame::int, round(x, 6), round(y, 6), round(angle, 6), 'nearest_first_record' from iv join grid on lts is null and t <= ts and ts - t <= 60
+        union all select mmsi, frame::int, round(x, 6), round(y, 6), round(angle, 6), 'nearest_last_record' from iv join grid on last and t > ts and t - ts <= 60)"""
 
 
-def _aligned(spark, sf):
-    return transponder.align(reports(spark, sf), 365, 7.0, 60.0)
+def _aligned(spark, sf, axes=("x", "y")):
+    return transponder.align(reports(spark, sf), 365, 7.0, 60.0, axes)
 
 
 @query(ALIGNED + " select * from al")
 def ais_align(spark, sf):
-    return _aligned(spark, sf)
+    return _aligned(spark, sf, ("x", "y", "angle"))
 
 
 def _weekly(spark, sf):
@@ -202,6 +202,42 @@ def ais_assign(spark, sf):
     return transponder.assign(_weekly(spark, sf), _aligned(spark, sf).withColumn("sequence", clip))
 
 
+SCORED = ALIGNED + f""", wk as (select sequence, id, (frame // 7 + 1)::int as frame, max_by(x + w / 2, frame) as cx, max_by(y + h / 2, frame) as cy from pred group by 1, 2, 3),
+    clips as (select *, {CLIP} as clip from al),
+    sg as (select sequence, id, mmsi, count(*) as overlap, avg(least(1.0::double, greatest(0.0::double, 1 - sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)) / 250.0::double))) as near, avg(angle) as angle, greatest(max(wk.frame) - min(wk.frame), 1) as span,
+        max_by(cx, wk.frame) - min_by(cx, wk.frame) as dx, max_by(cy, wk.frame) - min_by(cy, wk.frame) as dy, max_by(x, wk.frame) - min_by(x, wk.frame) as ex, max_by(y, wk.frame) - min_by(y, wk.frame) as ey
+        from wk join clips on wk.frame = clips.frame and sequence = clip group by 1, 2, 3),
+    sv as (select *, case when overlap >= 2 then sqrt(dx / span * (dx / span) + dy / span * (dy / span)) end as own, sqrt(ex / span * (ex / span) + ey / span * (ey / span)) as other, degrees(atan2(dy / span, dx / span)) - angle + 180 as t from sg),
+    ss as (select sequence, id, mmsi, overlap, round(near, 6) as position, coalesce(case when own >= 1e-9 then 1 - abs(t - 360 * floor(t / 360) - 180) / 180 end, 0.5::double) as heading,
+        coalesce(case when own is not null then greatest(0.0::double, 1 - abs(own - other) / greatest(own, other, 1e-9::double)) end, 0.5::double) as speed from sv),
+    sc as (select sequence, id, mmsi, overlap, position, round(heading, 6) as heading, round(speed, 6) as speed, round((position + heading + speed + least(1.0::double, overlap / 5.0::double)) / 4 + 1e-9::double, 6) as score from ss)"""
+
+
+def _clips(spark, sf):
+    clip = F.element_at(F.array(*map(F.lit, ("AF", "AO", "NF", "NO", "RF", "RO"))), (F.col("mmsi").cast("long") % 6 + 1).cast("int"))
+    return _aligned(spark, sf, ("x", "y", "angle")).withColumn("sequence", clip)
+
+
+def _last_of_week(spark, sf):
+    week = (F.floor(F.col("frame") / 7) + 1).cast("int")
+    df = predictions(spark, sf).groupBy("sequence", "id", week.alias("week")).agg(F.max_by(F.struct(*"xywh"), "frame").alias("box"))
+    return df.select("sequence", "id", F.col("week").alias("frame"), "box.*")
+
+
+@query(SCORED + " select sequence, id, mmsi, overlap, position, heading, speed, score, '' as reason from sc")
+def ais_scores(spark, sf):
+    return transponder.pair_scores(_last_of_week(spark, sf), _clips(spark, sf))
+
+
+@query(SCORED + """, met as (select sequence, id, count(*) as met from sc group by 1, 2), present as (select clip as sequence, count(distinct mmsi) as present from clips group by 1),
+    top as (select * from sc qualify row_number() over (partition by sequence, id order by score desc, mmsi) = 1),
+    every as (select *, top.score is null or (coalesce(present, 0) > coalesce(met, 0) and top.score < 0.5) as without from (select distinct sequence, id from wk) left join top using (sequence, id) left join met using (sequence, id) left join present using (sequence))
+    select sequence, id, case when not without and score >= 0.6 then mmsi end as mmsi, case when without then 0 else overlap end as overlap, case when without then 0.5 else position end as position, case when without then 0.5 else heading end as heading,
+        case when without then 0.5 else speed end as speed, case when without then 0.5 else score end as score, case when present is null then 'no_ais_coverage' when without then 'no_temporal_overlap' else '' end as reason from every""")
+def ais_assign_by_scores(spark, sf):
+    return transponder.assign_by_scores(_last_of_week(spark, sf), _clips(spark, sf))
+
+
 BAND = f"""+ t(turn, shift) as (values (0, 0), (1, -1), (2, 1)),
     bj as (select p.sequence, p.frame, p.id, g.id as gt_id, shift, turn, {INTER.format(a="p", b="g")} as i, p.w * p.h + g.w * g.h as s from pred p cross join t join gt g on g.sequence = p.sequence and g.frame = p.frame + shift),
     bm as (select sequence, frame, id, gt_id, shift, round(i / (s - i), 6) as iou, i / (s - i) as exact_iou from bj where s - i > 0 and round(i / (s - i), 6) >= 0.1
