@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.operators import appearance, cameras, clear_mot, encounters, evaluation, occlusion, stitch, transponder
+from trackspark.operators import appearance, cameras, clear_mot, encounters, evaluation, occlusion, priors, stitch, transponder
 from trackspark.operators import tracklets as pieces
 from trackspark.plans.observations import OBSERVED, SQL, observations, predictions, reports, truth
 from trackspark.sources import mot
@@ -332,6 +332,36 @@ def classify_encounter(spark, sf):
     return _encounters(_states(spark, sf))
 
 
+PRIORS = ENCOUNTER + f""", k0 as (select sequence, span, own_id, other_id, case when kind not in ('UNKNOWN', 'NO_INTERACTION') and confidence < 0.6 then 'UNKNOWN' else kind end as encounter from c3),
+    k1 as (select k0.*, s.* exclude (sequence, span, id), case when encounter in ('HEAD_ON', 'CROSSING_GIVE_WAY') then 5 else 0 end as yaw, case when encounter = 'CROSSING_GIVE_WAY' then 0.85::double else 1 end as slow, case when encounter = 'OVERTAKING' then 20 else 0 end as side,
+        case encounter when 'HEAD_ON' then 12 when 'CROSSING_GIVE_WAY' then 15 when 'CROSSING_STAND_ON' then 8 when 'OVERTAKING' then 14 else 20 end::double as sh from k0 join st s on s.sequence = k0.sequence and s.span = k0.span and s.id = k0.own_id),
+    k2 as (select *, {NORM.format("heading + yaw")} as ph, speed * slow as ps, cos(radians(heading + 90)) as ax, sin(radians(heading + 90)) as ay, round(greatest(5, speed * 2), 6) as sigma from k1)"""
+
+
+def _met(spark, sf):
+    return encounters.classify(encounters.pairs(_states(spark, sf), SPAN, reach=REACH))
+
+
+@query(PRIORS + """ select sequence, span, own_id, other_id, encounter, round(px + cos(radians(ph)) * ps * 10 + ax * side, 6) as prior_px, round(py + sin(radians(ph)) * ps * 10 + ay * side, 6) as prior_py,
+    round(ps, 6) as prior_speed, round(ph, 6) as prior_heading, sigma as prior_sigma, sh as prior_sigma_heading from k2""")
+def motion_priors(spark, sf):
+    numbers = ["prior_px", "prior_py", "prior_speed", "prior_heading", "prior_sigma", "prior_sigma_heading"]
+    df = priors.predict(_met(spark, sf), F.lit(10))
+    return _rounded(df.select(*SPAN, "own_id", "other_id", "encounter", *numbers), *numbers)
+
+
+@query(PRIORS + f""", k3 as (select k2.*, n.px as sx, n.py as sy, n.speed as ss, n.heading as sg, greatest(1, n.frame - k2.frame) as dt, {NORM.format("n.heading - k2.heading")} as turned, {NORM.format("n.heading - ph")} as off
+        from k2 join st n on n.sequence = k2.sequence and n.span = k2.span + 1 and n.id = k2.own_id),
+    k4 as (select *, greatest(0.0::double, 1 - sqrt(power(sx - (px + cos(radians(ph)) * ps * dt + ax * side), 2) + power(sy - (py + sin(radians(ph)) * ps * dt + ay * side), 2)) / (sigma * 3)) as pos, greatest(0.0::double, 1 - abs(off) / (sh * 3)) as hd,
+        case when ps <= 1e-9 then (ss <= 1e-9)::int::double else greatest(0.0::double, 1 - abs(ss / ps - 1) / 0.35::double) end as sp, least(1.0::double, greatest(0.0::double, (turned + 5) / 10)) as star, case when ss <= speed * 0.9::double then 1 else 0.5::double end as slowed,
+        least(1.0::double, abs((sx - px - vx * dt) * ax + (sy - py - vy * dt) * ay) / 20) as aside, greatest(0.0::double, 1 - abs(turned) / 10) as kh, case when speed <= 1e-9 then (ss <= 1e-9)::int::double else greatest(0.0::double, 1 - abs(ss / speed - 1) / 0.2::double) end as ks from k3)
+    select sequence, span, own_id, other_id, encounter, coalesce(round(case encounter when 'HEAD_ON' then pos + hd + star when 'CROSSING_GIVE_WAY' then pos + greatest(star, slowed) + sp when 'CROSSING_STAND_ON' then kh + ks + pos when 'OVERTAKING' then pos + aside + sp end / 3 + 1e-9::double, 6), 0.5::double) as consistency from k4""")
+def motion_consistency(spark, sf):
+    later = _states(spark, sf).select("sequence", (F.col("span") - 1).alias("span"), F.col("id").alias("own_id"), *[F.col(k).alias(f"seen_{k}") for k in ("frame", "px", "py", "speed", "heading")])
+    df = priors.consistency(_met(spark, sf).join(later, [*SPAN, "own_id"]))
+    return df.select(*SPAN, "own_id", "other_id", "encounter", "consistency")
+
+
 HIDDEN = """+ h0 as (select sequence, id, frame, w, h, x + w / 2 as cx, y + h / 2 as cy from pred),
     h1 as (select *, coalesce((cx - lag(cx) over o) / greatest(1, frame - lag(frame) over o), 0) as vx, coalesce((cy - lag(cy) over o) / greatest(1, frame - lag(frame) over o), 0) as vy, lead(frame) over o as nxt from h0 window o as (partition by sequence, id order by frame)),
     hid as (select sequence, id, (frame + g)::int as frame, g::int as gap, round(cx + vx * g, 6) as predicted_x, round(cy + vy * g, 6) as predicted_y, round(12 + 3.5::double * g, 6) as uncertainty, round((12 + 3.5::double * g) * sqrt(2.0::double), 6) as radius,
