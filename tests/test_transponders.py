@@ -69,3 +69,11 @@ def test_nearest_fix_and_identity_pairs(spark):
     pairs = spark.createDataFrame([("1", "1"), ("1", "2"), (None, "2")], "a string, b string")
     said = pairs.select(*[c.alias(k) for c, k in zip(transponder.identity_pair(F.col("a"), F.col("b"), hard=True), ("score", "gate", "note"), strict=True)]).collect()
     assert [tuple(r) for r in said] == [(1.0, True, "mmsi_match"), (0.0, False, "mmsi_hard_mismatch"), (0.5, True, "ais_missing")]
+
+
+def test_support_of_remaps(spark):
+    remaps = spark.createDataFrame([("a", "6->2"), ("a", " 7 -> 3"), ("a", "8->2"), ("a", "9->"), ("a", "none"), ("a", None)], "sequence string, remap string")
+    raw = spark.createDataFrame([("a", 6, "11"), ("a", 7, "12"), ("a", 8, "")], "sequence string, id int, mmsi string")
+    canonical = spark.createDataFrame([("a", 2, "11"), ("a", 3, "13")], "sequence string, id int, mmsi string")
+    said = {r.source: (r.target, r.verdict) for r in transponder.remap_support(remaps, raw, canonical).collect()}
+    assert said == {6: (2, "supported"), 7: (3, "penalized"), 8: (2, "unavailable")}
