@@ -77,6 +77,8 @@ class _Windows:
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(ids)) - 1 if len(first) else first
+        turn = np.argsort(ids[first], kind="stable")  # rows of one id together: the exchange compresses its runs
+        first, last = first[turn], last[turn]
         return [k[first].view(np.int64) for k in keys], ids[first], ids[first] < ids[last]
 
 
