@@ -384,14 +384,17 @@ def reappearances(spark, sf):
     return occlusion.reappearances(predictions(spark, sf))
 
 
-@query(HIDDEN + """, fast as (select h1.sequence, h1.id, h1.frame + g as frame, g, h1.w, h1.h, vx, vy, round(cx + vx * g, 6) as px, round(cy + vy * g, 6) as py from h1 join range(1, 31) r(g) on g < nxt - h1.frame),
-    oc as (select f.sequence, f.id, f.frame::int as frame, s.id as occluder_id, px - f.w / 2 as x, py - f.h / 2 as y, f.w, f.h, s.cx - s.w / 2 as sx, s.cy - s.h / 2 as sy, s.w as sw, s.h as sh,
+OCCLUDERS = HIDDEN + """, fast as (select h1.sequence, h1.id, h1.frame + g as frame, g, h1.w, h1.h, vx, vy, round(cx + vx * g, 6) as px, round(cy + vy * g, 6) as py from h1 join range(1, 31) r(g) on g < nxt - h1.frame),
+    oc as (select f.sequence, f.id, f.frame::int as frame, s.id as occluder_id, px - f.w / 2 as x, py - f.h / 2 as y, f.w, f.h, s.vx as svx, s.vy as svy, s.cx - s.w / 2 as sx, s.cy - s.h / 2 as sy, s.w as sw, s.h as sh,
         greatest(0, 1 - sqrt((px - s.cx) * (px - s.cx) + (py - s.cy) * (py - s.cy)) / (greatest(f.w, f.h, s.w, s.h, 1) * 1.75::double)) as near,
         least(1, sqrt((f.vx - s.vx) * (f.vx - s.vx) + (f.vy - s.vy) * (f.vy - s.vy)) / greatest(sqrt(f.vx * f.vx + f.vy * f.vy) + sqrt(s.vx * s.vx + s.vy * s.vy), 1)) as motion
         from fast f join h1 s on s.sequence = f.sequence and s.frame = f.frame and s.id <> f.id),
     oi as (select *, greatest(0, least(x + w, sx + sw) - greatest(x, sx)) * greatest(0, least(y + h, sy + sh) - greatest(y, sy)) as i from oc where near > 0),
-    of as (select *, round(0.45::double * case when w * h + sw * sh - i > 0 then i / (w * h + sw * sh - i) else 0 end + 0.4::double * near + 0.15::double * motion + 1e-9::double, 6) as confidence from oi)
-    select sequence, id, frame, occluder_id, confidence from of where confidence >= 0.2 qualify row_number() over (partition by sequence, id, frame order by confidence desc, occluder_id) = 1""")
+    of as (select *, round(0.45::double * case when w * h + sw * sh - i > 0 then i / (w * h + sw * sh - i) else 0 end + 0.4::double * near + 0.15::double * motion + 1e-9::double, 6) as confidence from oi)"""
+BEST = "select {out} from of where confidence >= 0.2 qualify row_number() over (partition by sequence, id, frame order by confidence desc, occluder_id) = 1"
+
+
+@query(f"{OCCLUDERS} {BEST.format(out='sequence, id, frame, occluder_id, confidence')}")
 def occluder_pairs(spark, sf):
     return occlusion.occluders(predictions(spark, sf))
 
@@ -440,3 +443,6 @@ def cosine_similarity(spark, sf):
 @query("select label, (dim - 1)::int as dim, round(avg(v), 6) as mean from (select label, unnest(range(1, len(embedding) + 1)) as dim, unnest(embedding)::double as v from embeddings) group by 1, 2")
 def appearance_prototypes(spark, sf):
     return appearance.prototypes(spark.read.parquet(f"{sf}/embeddings.parquet"), "label", "embedding")
+
+
+from trackspark import queries_motion  # noqa: E402, F401  adds its queries
