@@ -57,8 +57,8 @@ LIVE = live_pairs.LiveConfig(max_frame_gap=60, max_center_distance=400.0, base_r
         a.lx + a.tvx * (b.f0 - a.f1) - b.hx as ex, a.ly + a.tvy * (b.f0 - a.f1) - b.hy as ey, greatest(a.tw * a.th, b.hw * b.hh) / greatest(least(a.tw * a.th, b.hw * b.hh), 1e-9) as ar,
         abs(a.tw / greatest(a.th, 1e-9) - b.hw / greatest(b.hh, 1e-9)) as ad, a.c1 = b.c0 as cls from e a join e b on a.sequence = b.sequence and b.f0 - a.f1 - 1 between 0 and 60),
     q as (select *, sqrt(ex * ex + ey * ey) as md, 200 + 1.25::double * gap as rad from p)
-    select sequence, lost_id, lost_segment, new_id, new_segment, gap, round(dd, 6) as direct_distance, round(md, 6) as motion_distance, round(ar, 6) as area_ratio, round(ad, 6) as aspect_delta,
-        round((greatest(0, 1 - gap / 60.0::double) + greatest(0, 1 - least(dd, md) / greatest(400, rad)) + greatest(0, least(1, 1 - (ar - 1) / 1.5::double)) + greatest(0, 1 - ad / 0.5::double)) / 4, 6) as score,
+    select sequence, lost_id, lost_segment, new_id, new_segment, gap, round(dd + 1e-9::double, 6) as direct_distance, round(md + 1e-9::double, 6) as motion_distance, round(ar + 1e-9::double, 6) as area_ratio, round(ad + 1e-9::double, 6) as aspect_delta,
+        round((greatest(0, 1 - gap / 60.0::double) + greatest(0, 1 - least(dd, md) / greatest(400, rad)) + greatest(0, least(1, 1 - (ar - 1) / 1.5::double)) + greatest(0, 1 - ad / 0.5::double)) / 4 + 1e-9::double, 6) as score,
         coalesce('gate_failed:' || nullif(concat_ws(',', case when not cls then 'class_consistency' end, case when not (md <= rad or dd <= 400) then 'center_distance' end, case when ar > 2.5::double then 'area_ratio' end,
             case when ad > 0.5::double then 'aspect_ratio' end), ''), 'eligible') as reason from q""")
 def live_candidates(spark, sf):
