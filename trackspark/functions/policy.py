@@ -47,6 +47,16 @@ class GapPolicy:
         pick = lambda own: max(self.min_margin, next((v for v in (own, self.winner_margin) if v is not None), self.min_margin))
         return self._choose(gap, pick(self.short_margin), pick(self.long_margin), pick(None))
 
+    def margin_at(self, gap: int) -> float:
+        """``margin`` of one gap as a number."""
+        own = None
+        if self.by_gap() and self.short_gap is not None and gap <= self.short_gap:
+            own = self.short_margin
+        elif self.by_gap() and self.long_gap is not None and gap > self.long_gap:
+            own = self.long_margin
+        configured = self.winner_margin if own is None else own
+        return self.min_margin if configured is None else max(self.min_margin, configured)
+
     def appearance(self, gap: Column) -> tuple[Column, Column]:
         """Least appearance similarity (null: none) and whether a match must reach it."""
         base = self.min_appearance

@@ -11,7 +11,6 @@ from trackspark.operators import appearance, cameras, clear_mot, encounters, eva
 from trackspark.operators import tracklets as pieces
 from trackspark.plans.observations import OBSERVED, SQL, observations, predictions, reports, truth
 from trackspark.sources import mot
-from trackspark.streaming.live import live_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -427,11 +426,6 @@ def union_nms(spark, sf):
     return cameras.union_nms(observations(spark, sf).unionByName(predictions(spark, sf).withColumn("id", F.col("id") + 100000)))
 
 
-@query()
-def live_reid(spark, sf):
-    return live_batch(predictions(spark, sf))
-
-
 @query("select a.vec_id as a_id, b.vec_id as b_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0")
 def cosine_similarity(spark, sf):
     # every query vector with every other one; the cross join goes by pairs of partitions, or sends the query vectors round where they are few
@@ -445,4 +439,4 @@ def appearance_prototypes(spark, sf):
     return appearance.prototypes(spark.read.parquet(f"{sf}/embeddings.parquet"), "label", "embedding")
 
 
-from trackspark import queries_motion  # noqa: E402, F401  adds its queries
+from trackspark import queries_live, queries_motion  # noqa: E402, F401  add their queries
