@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackspark.operators import ledger
+from trackspark.operators import ledger, replay
 from trackspark.plans.observations import predictions
-from trackspark.queries import query
+from trackspark.queries import ORACLES, query
 
 LIVE = ledger.LedgerConfig()
 
@@ -13,7 +13,7 @@ def _live(spark, sf):
     return ledger.live_identities(predictions(spark, sf), LIVE)
 
 
-#: Runs of existing frames, decisions and lost runs; the limits are those of ``LIVE``.
+#: Runs of existing frames, decisions and lost runs; ``confirm``, ``tail`` and ``box`` are numbers of rows.
 RUNS = """+ frames as (select sequence, frame, row_number() over s as k, lead(frame) over s as next_frame, max(frame) over (partition by sequence) as final_frame
                from (select distinct sequence, frame from pred) window s as (partition by sequence order by frame)),
     rows_of as (select p.*, x + w / 2 as cx, y + h / 2 as cy, k, next_frame, final_frame, coalesce(k - lag(k) over t > 1, true)::int as starts
@@ -22,21 +22,19 @@ RUNS = """+ frames as (select sequence, frame, row_number() over s as k, lead(fr
     seen as (select *, row_number() over (partition by sequence, id, run order by k, x, y) as place, count(*) over (partition by sequence, id, run) as n from numbered),
     due as (select *, case when confirmed is not null then 2 when absent is not null then 0 else 3 end as phase, coalesce(confirmed, absent, final_frame) as decision_frame,
                    coalesce(confirmed, case when absent is not null then last_seen end, final_frame) as checked
-            from (select sequence, id, min(frame) as first_frame, max(frame) as last_seen, max_by(next_frame, place) as absent, max(final_frame) as final_frame, max(frame) filter (place = 10) as confirmed,
-                         min_by(class_id, place) as class_id, round(avg(w) filter (place <= 10), 6) as hw, round(avg(h) filter (place <= 10), 6) as hh,
-                         round(avg(cx) filter (place <= 10), 6) as hx, round(avg(cy) filter (place <= 10), 6) as hy
+            from (select sequence, id, min(frame) as first_frame, max(frame) as last_seen, max_by(next_frame, place) as absent, max(final_frame) as final_frame, max(frame) filter (place = {confirm}) as confirmed,
+                         min_by(class_id, place) as class_id, round(avg(w) filter (place <= {confirm}), 6) as hw, round(avg(h) filter (place <= {confirm}), 6) as hh,
+                         round(avg(cx) filter (place <= {confirm}), 6) as hx, round(avg(cy) filter (place <= {confirm}), 6) as hy
                   from seen where run = 1 group by 1, 2)),
     lost as (select *, lead(run_start) over (partition by sequence, id order by run) as returns
              from (select sequence, id, run, min(frame) as run_start, max(frame) as last_frame, max_by(next_frame, place) as lost_at, max_by(class_id, place) as class_id, max_by(cx, place) as lx, max_by(cy, place) as ly,
-                          round(avg(w) filter (n - place < 10), 6) as tw, round(avg(h) filter (n - place < 10), 6) as th,
-                          round((max_by(cx, place) - min_by(cx, place) filter (n - place < 10)) / greatest(1, max(frame) - min(frame) filter (n - place < 10)), 6) as vx,
-                          round((max_by(cy, place) - min_by(cy, place) filter (n - place < 10)) / greatest(1, max(frame) - min(frame) filter (n - place < 10)), 6) as vy
+                          round(avg(w) filter (n - place < {box}), 6) as tw, round(avg(h) filter (n - place < {box}), 6) as th,
+                          round((max_by(cx, place) - min_by(cx, place) filter (n - place < {tail})) / greatest(1, max(frame) - min(frame) filter (n - place < {tail})), 6) as vx,
+                          round((max_by(cy, place) - min_by(cy, place) filter (n - place < {tail})) / greatest(1, max(frame) - min(frame) filter (n - place < {tail})), 6) as vy
                    from seen group by 1, 2, 3))"""
 
 
-@query(
-    RUNS
-    + """,
+PAIRS = """,
     pairs as (select d.sequence, d.id as new_id, l.id as lost_id, l.run::int as lost_run, d.first_frame, d.decision_frame, d.phase, case d.phase when 2 then 0 else d.first_frame end as turn, hx, hy, hw, hh, lx, ly, vx, vy, tw, th,
                      greatest(0, d.first_frame - l.last_frame - 1) as gap, greatest(1, d.first_frame - l.last_frame) as elapsed
               from due d join lost l on l.sequence = d.sequence and l.class_id = d.class_id and l.id <> d.id and l.lost_at <= d.checked and d.checked <= l.last_frame + 901
@@ -47,7 +45,9 @@ RUNS = """+ frames as (select sequence, frame, row_number() over s as k, lead(fr
            round(ar + 1e-9::double, 6) as area_ratio, round(ad + 1e-9::double, 6) as aspect_delta,
            round((greatest(0, 1 - gap / 900.0::double) + greatest(0, 1 - least(dd, md) / greatest(300, radius)) + greatest(0, least(1, 1 - (ar - 1) / 1.5::double)) + greatest(0, 1 - ad / 0.5::double)) / 4 + 1e-9::double, 6) as score
     from measured where gap <= 900 and (md <= radius or dd <= 300) and ar <= 2.5::double and ad <= 0.5::double"""
-)
+
+
+@query(RUNS.format(confirm=10, tail=10, box=10) + PAIRS)
 def live_eligible(spark, sf):
     """Decisions and the lost runs that they may continue, before earlier choices use any up."""
     seen = ledger.sightings(predictions(spark, sf))
@@ -76,3 +76,37 @@ def live_rows(spark, sf):
 def live_summary(spark, sf):
     """Counts by sequence."""
     return ledger.summary(*_live(spark, sf))
+
+
+@query(RUNS.format(confirm=1, tail=2, box=1) + PAIRS)
+def replay_eligible(spark, sf):
+    """New ids and the lost runs that they may continue at their first row."""
+    return replay.replay_pairs(ledger.sightings(predictions(spark, sf)), LIVE)
+
+
+@query(
+    RUNS.format(confirm=1, tail=2, box=1)
+    + """, cells as (select sequence, id, run, place, n, w * h as area, case when h > 0 then w / h else 0 end as aspect from seen),
+    kept as (select *, round(area, 6) as mean_area, round(aspect, 6) as mean_aspect from cells where place = 1
+             union all select c.*, round((k.mean_area * k.place + c.area) / c.place + 1e-9::double, 6), round((k.mean_aspect * k.place + c.aspect) / c.place + 1e-9::double, 6)
+             from kept k join cells c on c.sequence = k.sequence and c.id = k.id and c.run = k.run and c.place = k.place + 1)
+    select sequence, id, run::int as run, n as rows, mean_area, mean_aspect as mean_aspect_ratio from kept where place = n"""
+)
+def replay_states(spark, sf):
+    """Running means of each run, rounded row by row."""
+    return replay.track_states(ledger.sightings(predictions(spark, sf))).select("sequence", "id", "run", "rows", "mean_area", "mean_aspect_ratio")
+
+
+ORACLES["replay_states"] = ORACLES["replay_states"].replace("with", "with recursive", 1)
+
+
+@query()
+def replay_reid(spark, sf):
+    """Identity of each id by replay."""
+    return replay.replay(predictions(spark, sf), LIVE)[0]
+
+
+@query()
+def replay_decisions(spark, sf):
+    """Every eligible candidate of the replay with what became of it."""
+    return replay.replay(predictions(spark, sf), LIVE)[1]
