@@ -33,6 +33,48 @@ def test_cheapest_pairs():
         assert abs(sum(costs[p] for p in pairs) - cheapest(costs, 0.0)) < 1e-9
 
 
+def test_cheapest_pairs_of_ties():
+    dice = random.Random(6)
+    hard = {(0, 0): -2, (0, 2): -3, (1, 0): -2, (1, 1): -1, (1, 2): -3, (2, 0): -2, (2, 1): -1, (2, 2): -3}
+    for k in range(1000):
+        costs = {(a, b): float(dice.choice([0, -1, -2, -3] if k % 2 else [0, 0.5, 1])) for a in range(dice.randrange(1, 5)) for b in range(4) if dice.random() < 0.7} if k else hard
+        if not costs:
+            continue
+        pairs = clear_mot.cheapest_pairs(costs)
+        want = cheapest(costs)
+        assert (-len(pairs), sum(costs[p] for p in pairs)) == want
+        assert sum(costs[p] for p in clear_mot.cheapest_pairs(costs, below=0.0)) == cheapest(costs, 0.0)
+
+
+def test_contested_frames_by_a_loop_and_identities_by_hand(spark):
+    dice = random.Random(7)
+    rows = sorted({(s, f, a, b): round(dice.uniform(0, 0.5), 1) for s in "pq" for f in range(50) for a in range(6) for b in range(6) if dice.random() < (0.35 if a < 3 else 0.03)}.items())
+    near = spark.createDataFrame([(*k, d) for k, d in rows], "sequence string, frame int, gt_id int, pred_id int, distance double").repartition(3)
+    want = {}
+    for s in "pq":
+        last = {}
+        for f in range(50):
+            costs = {k[2:]: d for k, d in rows if k[:2] == (s, f)}
+            kept = {}
+            for a, b in sorted(costs):
+                if last.get(a) == b and b not in kept.values():
+                    kept[a] = b
+            rest = cheapest({(a, b): d for (a, b), d in costs.items() if a not in kept and b not in kept.values()})
+            want[s, f] = kept, rest, costs
+            found = clear_mot.cheapest_pairs({(a, b): d for (a, b), d in costs.items() if a not in kept and b not in kept.values()})
+            last |= kept | dict(found)
+    got = {}
+    for r in clear_mot.frame_matches(near).collect():
+        got.setdefault((r.sequence, r.frame), {})[r.gt_id] = r.pred_id
+    for key, (kept, rest, costs) in want.items():
+        pairs = got.get(key, {})
+        assert kept.items() <= pairs.items() and len(set(pairs.values())) == len(pairs)
+        assert len(pairs) - len(kept) == -rest[0] and abs(sum(costs[p] for p in pairs.items() if p[0] not in kept) - rest[1]) < 1e-9
+    counts = [("s", 1, 7, 5), ("s", 1, 8, 4), ("s", 2, 7, 4), ("s", 3, 9, 2)]  # 1-8 and 2-7 are 8 boxes, 1-7 alone 5
+    boxes = spark.createDataFrame([(s, f, a, b, 0.0) for s, a, b, n in counts for f in range(n)], near.schema)
+    assert clear_mot.identity_hits(boxes).first().idtp == 10
+
+
 def test_switch_miss_false_positive_and_fragment(spark):
     at = lambda f, i, x, c=0: ("s", f, i, x, 0.0, 10.0, 10.0, c)
     truth = [at(f, 1, 0.0) for f in range(1, 7)] + [at(f, 2, 100.0) for f in range(1, 7)]

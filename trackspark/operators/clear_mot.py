@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,41 +11,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import iou
+from trackspark.operators.components import components
+from trackspark.plans.storage import checkpoint
 
 
 def cheapest_pairs(costs: dict[tuple, float], below: float | None = None) -> list[tuple]:
     """One-to-one pairs of least total cost, as many as possible, or with ``below`` only while one more costs less than that.
 
-    Shortest augmenting paths; the given pairs are the only ones allowed.
+    The given pairs are the only ones allowed. One left end after the other takes its shortest augmenting path by reduced
+    costs, where staying alone is an end too, at the price ``below`` or at one that no sum of costs reaches. A right end
+    is settled once in each search, so that ties end like anything else.
     """
+    alone = 1.0 + 2 * sum(map(abs, costs.values())) if below is None else below
+    ends: dict = {}
+    for a, b in sorted(costs):
+        ends.setdefault(a, []).append(b)
     partner: dict = {}  # right -> left
-    left_done: set = set()
-    edges = sorted(costs)
-    while True:
-        far, came = {a: 0.0 for a, _ in edges if a not in left_done}, {}
-        changed = True
-        while changed:  # distances to left ends, by way of a right end and its present partner
-            changed, best = False, {}
-            for a, b in edges:
-                if a in far and partner.get(b) != a and far[a] + costs[a, b] < best.get(b, (float("inf"),))[0] - 1e-12:
-                    best[b] = (far[a] + costs[a, b], a)
-            for b, (d, a) in best.items():
-                came[b] = (d, a)
-                if b in partner and d - costs[partner[b], b] < far.get(partner[b], float("inf")) - 1e-12:
-                    far[partner[b]] = d - costs[partner[b], b]
-                    changed = True
-        free = [(d, b) for b, (d, _) in came.items() if b not in partner]
-        if not free or (below is not None and min(free)[0] >= below):
-            return sorted((a, b) for b, a in partner.items())
-        b = min(free)[1]
-        while b is not None:  # turn the path round
-            a = came[b][1]
-            before = next((x for x, y in partner.items() if y == a), None)
-            partner[b] = a
-            if before is not None:
-                del partner[before]
-            left_done.add(a)
-            b = before
+    price: dict = {}
+    for start in ends:
+        settled, came, queue, turn = {}, {}, [], itertools.count()
+
+        def reach(a, far: float, own: float) -> None:
+            for b in ends[a]:  # noqa: B023
+                if b not in settled:  # noqa: B023
+                    heapq.heappush(queue, (far + costs[a, b] - price.get(b, 0.0) - own, next(turn), a, b))  # noqa: B023
+            heapq.heappush(queue, (far + alone - own, next(turn), a, None))  # noqa: B023
+
+        reach(start, 0.0, 0.0)
+        while True:
+            far, _, a, b = heapq.heappop(queue)
+            if b is None or b not in settled:
+                if b is not None:
+                    came[b] = a
+                if b is None or b not in partner:
+                    break
+                settled[b] = far
+                reach(partner[b], far, costs[partner[b], b] - price.get(b, 0.0))
+        for x, d in settled.items():
+            price[x] = price.get(x, 0.0) + min(0.0, d - far)
+        while True:  # turn the path round: a takes b and gives up what it had
+            had = next((x for x in ends[a] if partner.get(x) == a), None)
+            if b is not None:
+                partner[b] = a
+            if had is None or a == start:
+                break
+            b, a = had, came[had]
+    return sorted((a, b) for b, a in partner.items())
 
 
 def overlapping(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
@@ -54,54 +67,63 @@ def overlapping(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> D
     return df.select("sequence", "frame", "gt_id", "pred_id", (1 - F.col("iou")).alias("distance"))
 
 
+def _linked(pairs: DataFrame) -> DataFrame:
+    """(sequence, gt_id, pred_id) -> sequence, gt_id, component, where a component holds all tracks that pairs link."""
+    ends = pairs.select("sequence", (2 * F.col("gt_id").cast("long")).alias("a"), (2 * F.col("pred_id").cast("long") + 1).alias("b"))
+    found = components(ends).where("id % 2 = 0")
+    return found.select("sequence", F.shiftright("id", 1).cast("int").alias("gt_id"), "component")
+
+
 def frame_matches(near: DataFrame) -> DataFrame:
     """Matched boxes: a true track keeps its partner while they overlap; the others are paired at least distance.
 
-    Each sequence is read once in order of frames, as partners carry over; a task holds one frame and the last partner
-    of each true track. ``switched`` marks a track whose partner is another one than before.
+    A box that overlaps one box only, which overlaps no other, is matched as it is. Where boxes are contested, the choice
+    depends on the partners before: the true tracks that such frames link are read together in order of frames, and a
+    task holds one frame of them and the last partner of each. ``switched`` marks a track whose partner is another one than before.
     """
-    columns = "sequence string, frame int, gt_id int, pred_id int, distance double, switched boolean"
+    columns = "sequence string, frame int, gt_id int, pred_id int, distance double"
     names = [x.split()[0] for x in columns.split(", ")]
 
-    def decide(rows: pd.DataFrame, last: dict) -> list[tuple]:
-        (sequence, frame), out = rows.iloc[0][["sequence", "frame"]], []
-        costs = dict(zip(zip(rows.gt_id, rows.pred_id, strict=True), rows.distance, strict=True))
-        kept = {a: b for a, b in sorted(costs) if last.get(a) == b}
-        taken: dict = {}
-        for a, b in kept.items():
-            taken.setdefault(b, a)
+    def decide(rows: list, last: dict) -> list[tuple]:
+        costs = {(r.gt_id, r.pred_id): r.distance for r in rows}
+        taken = {b: a for a, b in sorted(costs, reverse=True) if last.get(a) == b}
+        used = set(taken.values())
         pairs = [(a, b) for b, a in taken.items()]
-        used = {a for a, _ in pairs}
         pairs += cheapest_pairs({(a, b): d for (a, b), d in costs.items() if a not in used and b not in taken})
-        for a, b in sorted(pairs):
-            out.append((sequence, int(frame), int(a), int(b), costs[a, b], a in last and last[a] != b))
-            last[a] = b
-        return out
+        last.update(pairs)
+        return [(rows[0].sequence, rows[0].frame, a, b, costs[a, b]) for a, b in pairs]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last, rest = None, {}, None
+        now, last, rows = None, {}, []
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch])
-            if not len(rows):
-                continue
-            found, groups = [], [part for _, part in rows.groupby(["sequence", "frame"], sort=False)]
-            for part in groups[:-1]:
-                if part.sequence.iloc[0] != now:
-                    now, last = part.sequence.iloc[0], {}
-                found += decide(part, last)
-            rest = groups[-1]  # may go on in the next batch
+            found = []
+            for r in batch.itertuples(index=False):
+                key = (r.sequence, r.component)
+                if rows and (key != now or rows[0].frame != r.frame):
+                    found += decide(rows, last)
+                    rows = []
+                if key != now:
+                    now, last = key, {}
+                rows.append(r)
             yield pd.DataFrame(found, columns=names)
-        if rest is not None:
-            yield pd.DataFrame(decide(rest, last if rest.sequence.iloc[0] == now else {}), columns=names)
+        if rows:
+            yield pd.DataFrame(decide(rows, last), columns=names)
 
-    rows = near.repartition("sequence").sortWithinPartitions("sequence", "frame", "gt_id", "pred_id")
-    return rows.mapInPandas(run, columns)
+    count = lambda side: F.count("*").over(Window.partitionBy("sequence", "frame", side))
+    df = checkpoint(near.withColumn("contested", (count("gt_id") > 1) | (count("pred_id") > 1)))
+    linked = checkpoint(_linked(df.where("contested").select("sequence", "gt_id", "pred_id").distinct()))
+    df = df.join(linked, ["sequence", "gt_id"], "left")
+    together = df.where("component is not null").repartition("sequence", "component").sortWithinPartitions("sequence", "component", "frame", "gt_id", "pred_id")
+    matched = df.where("component is null").select(*names).unionByName(together.mapInPandas(run, columns))
+    before = F.lag("pred_id").over(Window.partitionBy("sequence", "gt_id").orderBy("frame"))
+    return matched.withColumn("switched", F.coalesce(before != F.col("pred_id"), F.lit(False)))
 
 
 def identity_hits(near: DataFrame) -> DataFrame:
     """Boxes whose track is the one assigned to their true track over the whole sequence (IDTP).
 
-    Frames are counted by Spark first; a call gets a sequence's pairs of tracks, not its boxes.
+    Frames are counted by Spark first. Two tracks that overlap no other count as they are; a call gets the pairs of
+    tracks that are linked, not a sequence's, and not boxes.
     """
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
@@ -109,8 +131,13 @@ def identity_hits(near: DataFrame) -> DataFrame:
         hits = -sum(costs[p] for p in cheapest_pairs(costs, below=0.0))
         return pd.DataFrame({"sequence": rows.sequence[:1], "idtp": [int(hits)]})
 
-    counts = near.groupBy("sequence", "gt_id", "pred_id").agg(F.count("*").alias("n"))
-    return counts.groupBy("sequence").applyInPandas(best, "sequence string, idtp long")
+    counts = checkpoint(near.groupBy("sequence", "gt_id", "pred_id").agg(F.count("*").alias("n")))
+    rivals = lambda side: F.count("*").over(Window.partitionBy("sequence", side))
+    counts = counts.withColumn("linked", (rivals("gt_id") > 1) | (rivals("pred_id") > 1))
+    several = counts.where("linked")
+    found = several.join(_linked(several), ["sequence", "gt_id"]).groupBy("sequence", "component").applyInPandas(best, "sequence string, idtp long")
+    alone = counts.where("not linked").select("sequence", F.col("n").alias("idtp"))
+    return alone.unionByName(found).groupBy("sequence").agg(F.sum("idtp").alias("idtp"))
 
 
 def fragments(truth: DataFrame, matches: DataFrame) -> DataFrame:
@@ -129,8 +156,8 @@ def metrics(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataF
     Ratios without a denominator are null. Without a common sequence there are no rows.
     """
     c = F.col
-    near = overlapping(truth, predicted, least)
-    matches = frame_matches(near)
+    near = checkpoint(overlapping(truth, predicted, least))
+    matches = checkpoint(frame_matches(near))
     count = lambda df, name: df.groupBy("sequence").agg(F.count("*").alias(name))
     frames = truth.select("sequence", "frame").unionByName(predicted.select("sequence", "frame")).distinct()
     found = matches.groupBy("sequence").agg(F.count("*").alias("matches"), F.count_if("switched").alias("num_switches"), F.sum("distance").alias("far"))
