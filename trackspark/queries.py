@@ -271,8 +271,6 @@ STATES = f"""+ o2 as (select *, floor(frame / 200)::int as span, x + w / 2 as cx
         (max_by(cx, frame) - min_by(cx, frame)) / greatest(1, max(frame) - min(frame)) as vx, (max_by(cy, frame) - min_by(cy, frame)) / greatest(1, max(frame) - min(frame)) as vy from o2 group by 1, 2, 3),
     st as (select *, sqrt(vx * vx + vy * vy) as speed, case when vx = 0 and vy = 0 then 0 else {NORM.format("degrees(atan2(vy, vx))")} end as heading from st0)"""
 SPAN = ["sequence", "span"]
-#: Vessels further apart are no pair: twice the distance of a candidate.
-REACH = 500.0
 
 
 def _states(spark, sf):
@@ -290,28 +288,26 @@ def vessel_state(spark, sf):
 
 RISK = STATES + """, r0 as (select a.sequence, a.span, a.id as own_id, b.id as other_id, b.px - a.px as rx, b.py - a.py as ry, b.vx - a.vx as rvx, b.vy - a.vy as rvy from st a join st b on a.sequence = b.sequence and a.span = b.span and a.id < b.id),
     r1 as (select *, sqrt(rx * rx + ry * ry) as d, sqrt(rvx * rvx + rvy * rvy) as rs from r0),
-    r2 as (select *, greatest(0, least(30, case when rs <= 1e-9 then 0 else -(rx * rvx + ry * rvy) / greatest(rs * rs, 1e-9) end)) as t from r1 where d <= 500),
+    r2 as (select *, greatest(0, least(30, case when rs <= 1e-9 then 0 else -(rx * rvx + ry * rvy) / greatest(rs * rs, 1e-9) end)) as t from r1),
     r3 as (select *, round(sqrt((rx + rvx * t) * (rx + rvx * t) + (ry + rvy * t) * (ry + rvy * t)), 6) as closest_distance, round(t, 6) as frames_to_closest, round(rs, 6) as relative_speed from r2),
     r4 as (select *, round(least(1, greatest(0, 0.45::double * least(1, greatest(0, 1 - d / 250)) + 0.4::double * least(1, greatest(0, 1 - closest_distance / 250)) + 0.15::double * least(1, greatest(0, relative_speed / 0.5::double))
-        + case when frames_to_closest > 0 then 0.15::double * least(1, greatest(0, 1 - closest_distance / 250)) else 0 end)) + 1e-9::double, 6) as risk from r3)"""
+        + case when frames_to_closest > 0 then 0.15::double * least(1, greatest(0, 1 - closest_distance / 250)) else 0 end)) + 1e-9::double, 6) as risk from r3),
+    near as (select * from r4 where d <= 250 or (closest_distance <= 250 and relative_speed >= 0.5) or risk >= 0.2)"""
 
 
-def _risks(states):
-    df = encounters.risks(encounters.pairs(states, SPAN, both_ways=False, reach=REACH))
-    return df.select(*SPAN, "own_id", "other_id", "distance", "closest_distance", "frames_to_closest", "relative_speed", "risk", "candidate")
-
-
-@query(RISK + """ select sequence, span, own_id, other_id, round(d, 6) as distance, closest_distance, frames_to_closest, relative_speed, risk,
-    d <= 250 or (closest_distance <= 250 and relative_speed >= 0.5) or risk >= 0.2 as candidate from r4""")
+@query(RISK + " select sequence, span, own_id, other_id, round(d, 6) as distance, closest_distance, frames_to_closest, relative_speed, risk, true as candidate from near")
 def closest_approach_risk(spark, sf):
-    return _risks(_states(spark, sf))
+    """All candidate pairs."""
+    df = encounters.candidate_pairs(_states(spark, sf), SPAN)
+    return df.select(*SPAN, "own_id", "other_id", "distance", "closest_distance", "frames_to_closest", "relative_speed", "risk", "candidate")
 
 
-ENCOUNTER = STATES + f""", c0 as (select a.sequence, a.span, a.id as own_id, b.id as other_id, least(a.observations, b.observations) as obs_n, least(a.speed, b.speed) as slow, a.speed as own_speed, b.speed as other_speed,
+ENCOUNTER = RISK + f""", c0 as (select a.sequence, a.span, a.id as own_id, b.id as other_id, least(a.observations, b.observations) as obs_n, least(a.speed, b.speed) as slow, a.speed as own_speed, b.speed as other_speed,
         {NORM.format("degrees(atan2(b.py - a.py, b.px - a.px)) - a.heading")} as bearing, {NORM.format("degrees(atan2(a.py - b.py, a.px - b.px)) - b.heading")} as back, abs({NORM.format("a.heading - b.heading")}) as turn,
         (b.px - a.px) * (b.vx - a.vx) + (b.py - a.py) * (b.vy - a.vy) < 0 as closing, sqrt((b.px - a.px) * (b.px - a.px) + (b.py - a.py) * (b.py - a.py)) as d
-        from st a join st b on a.sequence = b.sequence and a.span = b.span and a.id <> b.id),
-    c1 as (select *, abs(180 - turn) as err from c0 where d <= 500),
+        from (select sequence, span, own_id, other_id from near union all select sequence, span, other_id, own_id from near) n
+        join st a on a.sequence = n.sequence and a.span = n.span and a.id = own_id join st b on b.sequence = n.sequence and b.span = n.span and b.id = other_id),
+    c1 as (select *, abs(180 - turn) as err from c0),
     c2 as (select *, case when obs_n < 3 or slow <= 1e-6 then 'UNKNOWN' when err <= 20 and abs(bearing) <= 20 and abs(back) <= 20 and closing then 'HEAD_ON'
         when turn <= 45 and abs(back) >= 112.5 and own_speed > other_speed then 'OVERTAKING' when turn > 25 and err > 20 and bearing between 15 and 112.5 then 'CROSSING_GIVE_WAY'
         when turn > 25 and err > 20 and bearing between -112.5 and -15 then 'CROSSING_STAND_ON' else 'NO_INTERACTION' end as kind from c1),
@@ -321,14 +317,15 @@ ENCOUNTER = STATES + f""", c0 as (select a.sequence, a.span, a.id as own_id, b.i
         else greatest(0.1, least(0.45, 1 - d / 250)) end)), 6) as confidence from c2)"""
 
 
-def _encounters(states):
-    df = encounters.classify(encounters.pairs(states, SPAN, reach=REACH))
-    return df.select(*SPAN, "own_id", "other_id", "bearing", "turn", "encounter", "confidence")
+def _met(spark, sf):
+    pairs = encounters.candidate_pairs(_states(spark, sf), SPAN).drop("distance", "closest_distance", "frames_to_closest", "relative_speed", "risk", "candidate")
+    return encounters.classify(encounters.both_ways(pairs))
 
 
 @query(ENCOUNTER + " select sequence, span, own_id, other_id, round(bearing, 6) as bearing, round(turn, 6) as turn, case when kind not in ('UNKNOWN', 'NO_INTERACTION') and confidence < 0.6 then 'UNKNOWN' else kind end as encounter, confidence from c3")
 def classify_encounter(spark, sf):
-    return _encounters(_states(spark, sf))
+    """Encounters of all candidate pairs, as seen from either vessel."""
+    return _met(spark, sf).select(*SPAN, "own_id", "other_id", "bearing", "turn", "encounter", "confidence")
 
 
 PRIORS = ENCOUNTER + f""", k0 as (select sequence, span, own_id, other_id, case when kind not in ('UNKNOWN', 'NO_INTERACTION') and confidence < 0.6 then 'UNKNOWN' else kind end as encounter from c3),
@@ -337,10 +334,6 @@ PRIORS = ENCOUNTER + f""", k0 as (select sequence, span, own_id, other_id, case
     k2 as (select *, {NORM.format("heading + yaw")} as ph, speed * slow as ps, cos(radians(heading + 90)) as ax, sin(radians(heading + 90)) as ay, round(greatest(5, speed * 2), 6) as sigma from k1)"""
 
 
-def _met(spark, sf):
-    return encounters.classify(encounters.pairs(_states(spark, sf), SPAN, reach=REACH))
-
-
 @query(PRIORS + """ select sequence, span, own_id, other_id, encounter, round(px + cos(radians(ph)) * ps * 10 + ax * side, 6) as prior_px, round(py + sin(radians(ph)) * ps * 10 + ay * side, 6) as prior_py,
     round(ps, 6) as prior_speed, round(ph, 6) as prior_heading, sigma as prior_sigma, sh as prior_sigma_heading from k2""")
 def motion_priors(spark, sf):
