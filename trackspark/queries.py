@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackspark.operators import appearance, cameras, clear_mot, encounters, evaluation, occlusion, priors, stitch, transponder
 from trackspark.operators import tracklets as pieces
+from trackspark.plans.storage import checkpoint
 from trackspark.plans.observations import OBSERVED, SQL, observations, predictions, reports, truth
 from trackspark.sources import mot
 
@@ -319,7 +320,7 @@ ENCOUNTER = RISK + f""", c0 as (select a.sequence, a.span, a.id as own_id, b.id
 
 def _met(spark, sf):
     pairs = encounters.candidate_pairs(_states(spark, sf), SPAN).drop("distance", "closest_distance", "frames_to_closest", "relative_speed", "risk", "candidate")
-    return encounters.classify(encounters.both_ways(pairs))
+    return encounters.classify(encounters.both_ways(checkpoint(pairs)))
 
 
 @query(ENCOUNTER + " select sequence, span, own_id, other_id, round(bearing, 6) as bearing, round(turn, 6) as turn, case when kind not in ('UNKNOWN', 'NO_INTERACTION') and confidence < 0.6 then 'UNKNOWN' else kind end as encounter, confidence from c3")
