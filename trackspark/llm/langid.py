@@ -30,10 +30,10 @@ CACHE_WORDS = 500_000
 
 @dataclass(frozen=True)
 class Training:
-    """The bounded sample and the training run: rows and code points of each row per language, steps."""
+    """The bounded sample and the training run: rows per language, whose whole texts count, distinct words kept of these, steps."""
 
     rows_per_language: int = 300
-    code_points: int = 4000
+    words_per_language: int = 50_000
     hidden: int = 16
     embedding: int = 8
     steps: int = 500
@@ -141,8 +141,8 @@ class Network:
         """Sum of the positions' log probabilities of each word."""
         pieces, owner = [], []
         for i, w in enumerate(words):
-            for at in range(0, len(w), PIECE):
-                pieces.append(w[at : at + PIECE])
+            for piece in pieces_of(w):
+                pieces.append(piece)
                 owner.append(i)
         total = np.zeros((len(words), len(self.labels)))
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -163,20 +163,37 @@ def padded(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, (np.arange(long)[:, None] < size).astype(np.float32)
 
 
-def train(rows: list[tuple[str, str]], training: Training = Training()) -> Network | None:
-    """Train on (text, label) rows, labels in equal parts; None without a word to learn from."""
+def pieces_of(word: bytes) -> list[bytes]:
+    """A word in pieces of at most ``PIECE`` bytes, cut between code points."""
+    out, at = [], 0
+    while len(word) - at > PIECE:
+        end = at + PIECE
+        while word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return [*out, word[at:]]
+
+
+def train(rows: list[tuple[str, str] | tuple[str, str, int]], training: Training = Training()) -> Network | None:
+    """Train on (text, label) or (text, label, times) rows, labels in equal parts, words as often as they occur; None without a word to learn from."""
     words: dict[str, list[bytes]] = {}
-    for text, label in rows:
-        words.setdefault(label, []).extend(w[at : at + PIECE] for w in (x.encode() for x in text.lower().split()) for at in range(0, len(w), PIECE))
+    times: dict[str, list[int]] = {}
+    for text, label, *n in rows:
+        own = [p for w in text.lower().split() for p in pieces_of(w.encode())]
+        words.setdefault(label, []).extend(own)
+        times.setdefault(label, []).extend([n[0] if n else 1] * len(own))
     words = {k: v for k, v in sorted(words.items()) if v}
     if not words:
         return None
+    ends = {k: np.cumsum(times[k]) for k in words}
     network, rng = Network(list(words), training), np.random.default_rng(training.seed)
     params = network.parameters()
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, training.steps + 1):
         target = rng.integers(0, len(network.labels), training.batch)
-        data, mask = padded([(own := words[network.labels[k]])[rng.integers(len(own))] for k in target])
+        drawn = [(words[(name := network.labels[k])], int(np.searchsorted(ends[name], rng.integers(ends[name][-1]), side="right"))) for k in target]
+        data, mask = padded([own[at] for own, at in drawn])
         _, grads = network.gradient(data, mask, target)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = training.rate * (1 - step / (training.steps + 1))
@@ -193,13 +210,25 @@ def held_out(doc_id: Column, modulus: int = 3, rest: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def training_rows(docs: DataFrame, training: Training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str]]:
-    """The bounded sample: for each label the rows of smallest hash among those not held out, and an excerpt of each."""
+def training_rows(docs: DataFrame, training: Training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str, int]]:
+    """(word, label, occurrences) of the bounded sample: for each label the whole texts of the rows of smallest hash among those not held out.
+
+    Rows are ranked in parts first, so that a label that most rows have is no one task. Words are counted by Spark; of a
+    label's distinct words those of smallest hash come here, up to the bound. Rows equal in id and text count each.
+    """
     df = docs.where(~held_out(docs[id_col]) & docs[label_col].isNotNull() & docs[text_col].isNotNull())
-    df = df.select(df[label_col].cast("string").alias("label"), F.substring(df[text_col], 1, training.code_points).alias("text"), F.xxhash64(df[id_col]).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
-    rows = df.withColumn("n", rank).where(F.col("n") <= training.rows_per_language).select("text", "label").collect()
-    return sorted((r.text, r.label) for r in rows)
+    df = df.select(df[label_col].cast("string").alias("label"), df[text_col].alias("text"), F.xxhash64(df[id_col], df[text_col]).alias("h"))
+
+    def least(df: DataFrame, most: int) -> DataFrame:
+        for part in (["label", F.pmod("h", F.lit(64))], ["label"]):
+            df = df.withColumn("n", F.row_number().over(Window.partitionBy(*part).orderBy("h"))).where(F.col("n") <= most).drop("n")
+        return df
+
+    limits = least(df.select("label", "h"), training.rows_per_language).groupBy("label").agg(F.max("h").alias("most"))
+    sample = df.join(limits, "label").where("h <= most")
+    words = sample.select("label", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    counts = words.groupBy("label", "word").agg(F.count("*").alias("times")).withColumn("h", F.xxhash64("word"))
+    return sorted((r.word, r.label, r.times) for r in least(counts, training.words_per_language).collect())
 
 
 class Labelled:
