@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from trackspark import queries
 from trackspark.operators import cameras
 
@@ -55,3 +57,31 @@ def test_query_keeps_every_box(spark):
     df = queries.QUERIES["fuse_cameras"](spark, sf)
     boxes = queries.observations(spark, sf).count() + queries.predictions(spark, sf).count()
     assert df.count() == boxes and df.where("global_id is null").isEmpty() and df.where("partner_id is null").count()
+
+
+def test_modes_of_pairing(spark):
+    box = "sequence string, frame int, id int, x double, y double, w double, h double"
+    dice = random.Random(12)
+    rows = lambda: [("s", f, i, dice.uniform(0, 1900), dice.uniform(0, 1000), 10.0, 10.0) for f in range(40) for i in dice.sample(range(6), dice.randrange(4))]
+    left, right = rows(), rows()
+    a, b = (spark.createDataFrame(r, box) for r in (left, right))
+    for mode in ("auto", "rank_x", "normalized_center"):
+        want = set()
+        for f in range(40):
+            mine, other = ([r for r in side if r[1] == f] for side in (left, right))
+            if mode != "normalized_center" and len(mine) == len(other):
+                by_x = lambda r: (r[3], r[2])
+                want |= {(f, m[2], o[2]) for m, o in zip(sorted(mine, key=by_x), sorted(other, key=by_x))}
+                continue
+            near = sorted((round((((m[3] - o[3]) / 1920) ** 2 + ((m[4] - o[4]) / 1080) ** 2) ** 0.5, 6), m[2], o[2]) for m in mine for o in other)
+            used_m, used_o = set(), set()
+            for d, m, o in near:
+                if d <= 0.55 and m not in used_m and o not in used_o:
+                    want.add((f, m, o))
+                    used_m.add(m)
+                    used_o.add(o)
+        assert {(r.frame, r.a_id, r.b_id) for r in cameras.paired(a, b, mode).collect()} == want, mode
+    fused = cameras.fuse_tracks(a, b)
+    assert fused.count() == len(left) + len(right) and fused.where("global_id is null").isEmpty()
+    with pytest.raises(ValueError):
+        cameras.paired(a, b, "nearest")

@@ -404,7 +404,7 @@ def rank_x_pairs(spark, sf):
 
 
 @query("""+ j as (select a.sequence, a.frame, a.id as a_id, b.id as b_id, round(sqrt(power((a.x + a.w / 2) / 1920 - (b.x + b.w / 2) / 1920, 2) + power((a.y + a.h / 2) / 1080 - (b.y + b.h / 2) / 1080, 2)), 6) as distance
-    from obs a join pred b on a.sequence = b.sequence and a.frame = b.frame) select * from j where distance <= 0.1""")
+    from obs a join pred b on a.sequence = b.sequence and a.frame = b.frame) select * from j where distance <= 0.55""")
 def center_distance_candidates(spark, sf):
     return cameras.near_pairs(*_cameras(spark, sf))
 
@@ -412,7 +412,7 @@ def center_distance_candidates(spark, sf):
 @query()
 def fuse_cameras(spark, sf):
     a, b = _cameras(spark, sf)
-    return cameras.fuse(a, b, cameras.greedy_pairs(cameras.near_pairs(a, b)))
+    return cameras.fuse(a, b, cameras.paired(a, b))
 
 
 @query()
