@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from trackspark.operators import ledger, replay
+from dataclasses import replace
+
+from trackspark.operators import annotate, ledger, occlusion, replay
+from trackspark.operators.encounters import EncounterConfig
 from trackspark.plans.observations import predictions
-from trackspark.queries import ORACLES, query
+from trackspark.plans.storage import checkpoint
+from trackspark.queries import HIDDEN, ORACLES, QUERIES, query
 
 LIVE = ledger.LedgerConfig()
 
@@ -110,3 +114,51 @@ def replay_reid(spark, sf):
 def replay_decisions(spark, sf):
     """Every eligible candidate of the replay with what became of it."""
     return replay.replay(predictions(spark, sf), LIVE)[1]
+
+
+def _annotated(spark, sf):
+    tracks = predictions(spark, sf)
+    seen = checkpoint(ledger.sightings(tracks))
+    pairs = ledger.eligible_pairs(ledger.decisions_due(seen, LIVE), ledger.lost_runs(seen, LIVE), LIVE)
+    return annotate.annotated(pairs, seen, LIVE, rules=EncounterConfig(min_observations=2)), seen
+
+
+@query()
+def live_annotated(spark, sf):
+    """Eligible candidates with the encounter of both ends."""
+    return _annotated(spark, sf)[0]
+
+
+@query()
+def live_tie_breaks(spark, sf):
+    """Decisions where the bonus of a candidate may break ties."""
+    return ledger.ledger(_annotated(spark, sf)[0], replace(LIVE, tie_break_margin=0.05))
+
+
+@query()
+def live_transponders(spark, sf):
+    """Eligible candidates with what transponders say of both ids."""
+    seen = ledger.sightings(predictions(spark, sf))
+    pairs = ledger.eligible_pairs(ledger.decisions_due(seen, LIVE), ledger.lost_runs(seen, LIVE), LIVE)
+    return annotate.with_transponders(pairs, QUERIES["ais_assign_by_scores"](spark, sf))
+
+
+@query(
+    HIDDEN
+    + """ select p.sequence, p.id, p.frame, case when back >= p.frame then back end as reappearance_frame from hid p left join
+       (select sequence, id, max(frame) as back from (select *, frame - lag(frame) over (partition by sequence, id order by frame) as step from pred) where step > 1 group by 1, 2) using (sequence, id)"""
+)
+def occlusion_returns(spark, sf):
+    """Predictions of hidden tracks with the frame in which their id is seen again."""
+    tracks = predictions(spark, sf)
+    gone = occlusion.gap_predictions(tracks)
+    return occlusion.returned(gone.select("sequence", "id", "frame"), occlusion.reappearances(tracks))
+
+
+@query()
+def occlusion_recovery(spark, sf):
+    """Predictions of hidden tracks with what became of them."""
+    tracks = predictions(spark, sf)
+    found, decided = _live(spark, sf)
+    gone = occlusion.gap_predictions(tracks).select("sequence", "id", "frame", "gap")
+    return occlusion.recovered(gone, occlusion.reappearances(tracks), found, decided)
