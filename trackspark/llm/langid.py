@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import split_words, text_slices
+from ._common import discard, give_back, split_words, stored, text_slices
 
 #: Bytes of a word read at once.
 PIECE = 24
@@ -224,11 +224,14 @@ def training_rows(docs: DataFrame, training: Training, id_col: str = "doc_id", t
             df = df.withColumn("n", F.row_number().over(Window.partitionBy(*part).orderBy("h"))).where(F.col("n") <= most).drop("n")
         return df
 
-    limits = least(df.select("label", "h"), training.rows_per_language).groupBy("label").agg(F.max("h").alias("most"))
+    # stored, the limits' size is known: they are broadcast while labels are few, and the texts stay where they are
+    limits = stored(least(df.select("label", "h"), training.rows_per_language).groupBy("label").agg(F.max("h").alias("most")), "limits")
     sample = df.join(limits, "label").where("h <= most")
     words = sample.select("label", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
     counts = words.groupBy("label", "word").agg(F.count("*").alias("times")).withColumn("h", F.xxhash64("word"))
-    return sorted((r.word, r.label, r.times) for r in least(counts, training.words_per_language).collect())
+    found = sorted((r.word, r.label, r.times) for r in least(counts, training.words_per_language).collect())
+    discard(limits)
+    return found
 
 
 class Labelled:
@@ -287,5 +290,7 @@ def identify(docs: DataFrame, network: Network | None, text_col: str = "text") -
             for part in text_slices(batch):
                 labels, score = labelled.predict(part["text"]) if labelled else ([UNKNOWN] * len(part), np.zeros(len(part)))
                 yield pa.RecordBatch.from_arrays([part["row"].combine_chunks(), pa.array(labels, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+        labelled = None
+        give_back()
 
     return packed.mapInArrow(run, schema)

@@ -19,7 +19,6 @@ same order. Words are counted beside for the add-one base score.
 
 from __future__ import annotations
 
-import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import mix, split_words, stored, text_slices
+from ._common import give_back, mix, split_words, stored, text_slices
 
 #: Bytes of context; a pair of context and byte is packed in ORDER + 1 bytes of a long, the nearest context byte first.
 ORDER = 6
@@ -68,14 +67,6 @@ def plain_bytes(texts: pa.Array | pa.ChunkedArray) -> bytes:
     return data[keep].tobytes()
 
 
-def give_back() -> None:
-    """Hand freed memory back to the system: a worker lives on, and what its allocators keep adds to the next block's."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim is not None:
-        trim(0)
-
-
 def block_words(plain: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of a block, the end last; code and text of each word, then of each end."""
     texts = plain.translate(None, bytes([PAD])).split(bytes([END]))[:-1]
