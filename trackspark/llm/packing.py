@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import text_slices
+from ._common import give_back, text_slices
 from .token_counts import WordCache
 
 #: Sequences of one task; a task has its own range of ids.
@@ -135,6 +135,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
                 yield rows
         if held is not None and len(held[1]):
             yield place(None, held, sequence, False)[0]
+        held = cache = None
+        give_back()
 
     def place(pool, held, sequence, keep_open):
         if held is not None and pool is not None:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BLOCK_BYTES, block_of, gram_hashes, mix, split_words, word_hashes
+from ._common import BLOCK_BYTES, block_of, give_back, gram_hashes, mix, split_words, word_hashes
 
 #: Words of the first level's windows.
 FIRST = 4
@@ -100,6 +100,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
         return pa.table({"block": pa.repeat(w.table["block"][0], len(low)).cast(pa.int32()), **{f"k{i}": k for i, k in enumerate(keys, 1)}, "low": low, "more": more})
 
     def first(table: pa.Table) -> pa.Table:
+        give_back()
         w = _Windows(table, length)
         return answered(w, np.arange(len(w.at)), (w.smallest(levels[0]),))
 
@@ -110,6 +111,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
             if not (len(table) and len(known)):
                 keys = ("k1",) if twice else ("k1", "k2")
                 return pa.table({"block": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in (*keys, "low")}, "more": pa.array([], pa.bool_())})
+            give_back()
             w = _Windows(table, length)
             where = np.flatnonzero(np.isin(w.smallest(short).view(np.int64), known["k1"].to_numpy()))
             return answered(w, where, (w.smallest(twice)[where],) if twice else w.full(where))
@@ -117,6 +119,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
         return ask
 
     def cut(table: pa.Table, known: pa.Table) -> pa.Table:
+        give_back()
         w = _Windows(table, length)
         gone = np.zeros(len(w.codes) + 1, np.int64)
         if len(known) and len(w.at):
