@@ -415,9 +415,43 @@ def fuse_cameras(spark, sf):
     return cameras.fuse(a, b, cameras.paired(a, b))
 
 
-@query()
+def _detectors(spark, sf):
+    first, second = observations(spark, sf), predictions(spark, sf)
+    return first.withColumn("source", F.lit("primary")).unionByName(second.withColumns({"id": F.col("id") + 100000, "source": F.lit("secondary")}))
+
+
+NMS = """+ bx as (select *, row_number() over (partition by sequence, frame order by confidence desc, id) as k
+           from (select *, 'primary' as source from obs union all select * replace (id + 100000 as id), 'secondary' as source from pred)),
+    walk as (select sequence, frame, k, [{'k': k, 'x': x, 'y': y, 'w': w, 'h': h}] as kept, null::bigint as by_k from bx where k = 1
+        union all select b.sequence, b.frame, b.k, case when o is null then list_append(kept, {'k': b.k, 'x': x, 'y': y, 'w': w, 'h': h}) else kept end, o
+        from (select b.*, kept, list_filter(kept, lambda a: greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))
+                  / (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) >= 0.55::double)[1].k as o
+              from walk join bx b on b.sequence = walk.sequence and b.frame = walk.frame and b.k = walk.k + 1) b),
+    stands as (select sequence, frame, coalesce(by_k, k) as k, count(*) - 1 as absorbed, string_agg(distinct source, ',' order by source) as sources from walk join bx using (sequence, frame, k) group by 1, 2, 3),
+    fused as (select bx.* exclude (k), absorbed, sources from bx join stands using (sequence, frame, k))"""
+
+
+@query(NMS + " select * from fused")
 def union_nms(spark, sf):
-    return cameras.union_nms(observations(spark, sf).unionByName(predictions(spark, sf).withColumn("id", F.col("id") + 100000)))
+    """Boxes of two detectors as one set."""
+    return cameras.union_nms(_detectors(spark, sf)).withColumn("sources", F.array_join("sources", ","))
+
+
+@query(
+    NMS
+    + """, n as (select sequence, count(*) as boxes, round(avg(confidence), 6) as mean_confidence from bx group by 1)
+    select sequence, boxes, mean_confidence, count(*) as fused, sum(absorbed)::bigint as duplicates_removed, count(*) filter (sources like '%,%') as mixed, round(avg(confidence), 6) as mean_fused_confidence,
+           count(*) filter (sources = 'primary') as only_primary, count(*) filter (sources = 'secondary') as only_secondary from fused join n using (sequence) group by 1, 2, 3"""
+)
+def fusion_stats(spark, sf):
+    """What the fusion of two detectors removed."""
+    boxes = _detectors(spark, sf)
+    df = cameras.fusion_stats(boxes, cameras.union_nms(boxes))
+    return df.withColumns({f"only_{s}": F.coalesce(F.col("alone")[s], F.lit(0)) for s in ("primary", "secondary")}).drop("alone")
+
+
+for _name in ("union_nms", "fusion_stats"):
+    ORACLES[_name] = ORACLES[_name].replace("with", "with recursive", 1)
 
 
 @query("select a.vec_id as a_id, b.vec_id as b_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0")
