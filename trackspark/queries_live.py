@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from trackspark.operators import annotate, ledger, occlusion, replay
+from pyspark.sql import functions as F
+
+from trackspark.operators import annotate, ledger, occlusion, replay, zoom
 from trackspark.operators.encounters import EncounterConfig
 from trackspark.plans.observations import predictions
 from trackspark.plans.storage import checkpoint
@@ -162,3 +164,41 @@ def occlusion_recovery(spark, sf):
     found, decided = _live(spark, sf)
     gone = occlusion.gap_predictions(tracks).select("sequence", "id", "frame", "gap")
     return occlusion.recovered(gone, occlusion.reappearances(tracks), found, decided)
+
+
+ROI = (
+    HIDDEN
+    + """, un as (select sequence, frame, min(predicted_x - radius) as x1, min(predicted_y - radius) as y1, max(predicted_x + radius) as x2, max(predicted_y + radius) as y2 from hid group by 1, 2),
+    pad as (select *, (x1 + x2) / 2 as mx, (y1 + y2) / 2 as my, least(greatest((x2 - x1) * 1.6::double, 160), 1920) as pw, least(greatest((y2 - y1) * 1.6::double, 160), 1080) as ph from un),
+    lo as (select *, greatest(0, least(round_even(mx - pw / 2, 0)::int, 1918)) as a, greatest(0, least(round_even(my - ph / 2, 0)::int, 1078)) as b from pad),
+    roi as (select sequence, frame, a as x1, b as y1, greatest(a + 1, least(round_even(mx + pw / 2, 0)::int, greatest(1920, a + 1))) as x2, greatest(b + 1, least(round_even(my + ph / 2, 0)::int, greatest(1080, b + 1))) as y2 from lo)"""
+)
+
+
+def _regions(spark, sf):
+    gone = occlusion.gap_predictions(predictions(spark, sf))
+    around = {f"{k}{i}": F.col(f"predicted_{k}") + sign * F.col("radius") for i, sign in ((1, -1), (2, 1)) for k in "xy"}
+    return zoom.regions(gone.select("sequence", "frame", *[v.alias(k) for k, v in around.items()]))
+
+
+@query(ROI + " select * from roi")
+def zoom_regions(spark, sf):
+    """The region around the hidden tracks of each frame."""
+    return _regions(spark, sf)
+
+
+@query(
+    ROI
+    + """, turned as (select *, row_number() over (partition by sequence order by frame) as k from roi),
+    walk as (select * from turned where k = 1 union all
+        select t.sequence, t.frame, round_even(w.x1 * 0.75::double + t.x1 * 0.25::double, 0)::int, round_even(w.y1 * 0.75::double + t.y1 * 0.25::double, 0)::int,
+               round_even(w.x2 * 0.75::double + t.x2 * 0.25::double, 0)::int, round_even(w.y2 * 0.75::double + t.y2 * 0.25::double, 0)::int, t.k
+        from walk w join turned t on t.sequence = w.sequence and t.k = w.k + 1)
+    select * exclude (k) from walk"""
+)
+def zoom_smoothed(spark, sf):
+    """The same, smoothed along each sequence."""
+    return zoom.smoothed(_regions(spark, sf))
+
+
+ORACLES["zoom_smoothed"] = ORACLES["zoom_smoothed"].replace("with", "with recursive", 1)
