@@ -145,6 +145,15 @@ def live_transponders(spark, sf):
     return annotate.with_transponders(pairs, QUERIES["ais_assign_by_scores"](spark, sf))
 
 
+_MEANS = ", ".join(f"coalesce(round((n.{p} + l.{p}) / 2 + 1e-9::double, 6), n.{p}, l.{p}, 0.5::double) as ais_{p}" for p in ("position", "heading", "speed"))
+ORACLES["live_transponders"] = f"""
+    with assigned as ({ORACLES["ais_assign_by_scores"]}), pairs as ({ORACLES["live_eligible"]})
+    select p.*, n.mmsi as new_mmsi, l.mmsi as lost_mmsi, coalesce(n.score, 0.5::double) as new_mmsi_score, coalesce(l.score, 0.5::double) as lost_mmsi_score, {_MEANS},
+           case when n.mmsi = l.mmsi then 1.0::double when n.mmsi <> l.mmsi then 0.0::double else 0.5::double end as identity_score,
+           case when n.mmsi = l.mmsi then 'mmsi_match' when n.mmsi <> l.mmsi then 'mmsi_mismatch_reporting_only' else 'missing_ais_assignment_neutral' end as identity_note
+    from pairs p left join assigned n on n.sequence = p.sequence and n.id = p.new_id left join assigned l on l.sequence = p.sequence and l.id = p.lost_id"""
+
+
 @query(
     HIDDEN
     + """ select p.sequence, p.id, p.frame, case when back >= p.frame then back end as reappearance_frame from hid p left join
