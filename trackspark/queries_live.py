@@ -10,7 +10,7 @@ from trackspark.operators import annotate, ledger, occlusion, replay, zoom
 from trackspark.operators.encounters import EncounterConfig
 from trackspark.plans.observations import predictions
 from trackspark.plans.storage import checkpoint
-from trackspark.queries import HIDDEN, ORACLES, QUERIES, query
+from trackspark.queries import HIDDEN, NORM, ORACLES, QUERIES, query
 
 LIVE = ledger.LedgerConfig()
 
@@ -211,3 +211,48 @@ def zoom_smoothed(spark, sf):
 
 
 ORACLES["zoom_smoothed"] = ORACLES["zoom_smoothed"].replace("with", "with recursive", 1)
+
+
+#: Encounters of the lost vessel's last rows and the new one's first, by the rules of ``queries.RISK``, ``ENCOUNTER`` and ``PRIORS``.
+ENDS = """, own as (select sequence, id as lost_id, run::int as lost_run, max_by(frame, place) as frame, count(*) as n, max_by(cx, place) as px, max_by(cy, place) as py,
+            (max_by(cx, place) - min_by(cx, place)) / greatest(1, max_by(frame, place) - min_by(frame, place)) as vx, (max_by(cy, place) - min_by(cy, place)) / greatest(1, max_by(frame, place) - min_by(frame, place)) as vy
+            from seen s where s.n - place < 10 group by 1, 2, 3 having count(*) >= 2),
+    oth as (select sequence, id as new_id, max_by(frame, place) as frame, count(*) as n, max_by(cx, place) as px, max_by(cy, place) as py,
+            (max_by(cx, place) - min_by(cx, place)) / greatest(1, max_by(frame, place) - min_by(frame, place)) as vx, (max_by(cy, place) - min_by(cy, place)) / greatest(1, max_by(frame, place) - min_by(frame, place)) as vy
+            from seen where run = 1 and place <= 10 group by 1, 2 having count(*) >= 2),
+    b0 as (select sequence, new_id, lost_id, lost_run, a.frame as fa, b.frame as fb, a.px as ax, a.py as ay, a.vx as avx, a.vy as avy, b.px as bx, b.py as by_, b.vx as bvx, b.vy as bvy, least(a.n, b.n) as obs_n,
+                  sqrt(a.vx * a.vx + a.vy * a.vy) as sa, sqrt(b.vx * b.vx + b.vy * b.vy) as sb, case when a.vx = 0 and a.vy = 0 then 0 else {norm_a} end as ha, case when b.vx = 0 and b.vy = 0 then 0 else {norm_b} end as hb
+           from cands join own a using (sequence, lost_id, lost_run) join oth b using (sequence, new_id)),
+    b1 as (select *, bx - ax as rx, by_ - ay as ry, bvx - avx as rvx, bvy - avy as rvy, {bearing} as bearing, {back} as back, abs({turn}) as turn from b0),
+    b2 as (select *, sqrt(rx * rx + ry * ry) as d, sqrt(rvx * rvx + rvy * rvy) as rs, abs(180 - turn) as err, rx * rvx + ry * rvy < 0 as closing from b1),
+    b3 as (select *, greatest(0, least(30, case when rs <= 1e-9 then 0 else -(rx * rvx + ry * rvy) / greatest(rs * rs, 1e-9) end)) as t from b2),
+    b4 as (select *, round(sqrt((rx + rvx * t) * (rx + rvx * t) + (ry + rvy * t) * (ry + rvy * t)), 6) as closest_distance, round(t, 6) as frames_to_closest, round(rs, 6) as relative_speed,
+        case when obs_n < 2 or least(sa, sb) <= 1e-6 then 'UNKNOWN' when err <= 20 and abs(bearing) <= 20 and abs(back) <= 20 and closing then 'HEAD_ON' when turn <= 45 and abs(back) >= 112.5 and sa > sb then 'OVERTAKING'
+        when turn > 25 and err > 20 and bearing between 15 and 112.5 then 'CROSSING_GIVE_WAY' when turn > 25 and err > 20 and bearing between -112.5 and -15 then 'CROSSING_STAND_ON' else 'NO_INTERACTION' end as kind from b3),
+    b5 as (select *, round(least(1, greatest(0, 0.45::double * least(1, greatest(0, 1 - d / 250)) + 0.4::double * least(1, greatest(0, 1 - closest_distance / 250)) + 0.15::double * least(1, greatest(0, relative_speed / 0.5::double))
+        + case when frames_to_closest > 0 then 0.15::double * least(1, greatest(0, 1 - closest_distance / 250)) else 0 end)) + 1e-9::double, 6) as risk,
+        round(least(1, greatest(0, case when kind = 'UNKNOWN' then 0 when kind = 'HEAD_ON' then 0.65::double + 0.35::double * (1 - (err + abs(bearing) + abs(back)) / 60)
+        when kind = 'OVERTAKING' then 0.65::double + 0.2::double * least((abs(back) - 112.5) / 67.5::double, 1) + 0.15::double * least((sa - sb) / greatest(sb, 1e-9), 1)
+        when kind like 'CROSSING%' then least(1, 1 - least(abs(abs(bearing) - 63.75) / 48.75::double, 1) * 0.25::double + case when closing then 0.05::double else 0 end)
+        else greatest(0.1, least(0.45, 1 - d / 250)) end)), 6) as confidence from b4),
+    b6 as (select *, case when kind not in ('UNKNOWN', 'NO_INTERACTION') and confidence < 0.6 then 'UNKNOWN' else kind end as encounter, d <= 250 or (closest_distance <= 250 and relative_speed >= 0.5) or risk >= 0.2 as near from b5),
+    b7 as (select *, case when encounter in ('HEAD_ON', 'CROSSING_GIVE_WAY') then 5 else 0 end as yaw, sa * case when encounter = 'CROSSING_GIVE_WAY' then 0.85::double else 1 end as ps, case when encounter = 'OVERTAKING' then 20 else 0 end as side,
+        case encounter when 'HEAD_ON' then 12 when 'CROSSING_GIVE_WAY' then 15 when 'CROSSING_STAND_ON' then 8 when 'OVERTAKING' then 14 else 20 end::double as sh, cos(radians(ha + 90)) as ux, sin(radians(ha + 90)) as uy, round(greatest(5, sa * 2), 6) as sigma, greatest(1, fb - fa) as dt from b6),
+    b8 as (select *, {ahead} as ph, {turned} as turned from b7),
+    b9 as (select *, {off} as off from b8),
+    c0 as (select *, greatest(0.0::double, 1 - sqrt(power(bx - (ax + cos(radians(ph)) * ps * dt + ux * side), 2) + power(by_ - (ay + sin(radians(ph)) * ps * dt + uy * side), 2)) / (sigma * 3)) as pos, greatest(0.0::double, 1 - abs(off) / (sh * 3)) as hd,
+        case when ps <= 1e-9 then (sb <= 1e-9)::int::double else greatest(0.0::double, 1 - abs(sb / ps - 1) / 0.35::double) end as sp, least(1.0::double, greatest(0.0::double, (turned + 5) / 10)) as star, case when sb <= sa * 0.9::double then 1 else 0.5::double end as slowed,
+        least(1.0::double, abs((bx - ax - avx * dt) * ux + (by_ - ay - avy * dt) * uy) / 20) as aside, greatest(0.0::double, 1 - abs(turned) / 10) as kh, case when sa <= 1e-9 then (sb <= 1e-9)::int::double else greatest(0.0::double, 1 - abs(sb / sa - 1) / 0.2::double) end as ks from b9),
+    said as (select sequence, new_id, lost_id, lost_run, encounter, confidence, round(bearing, 6) as bearing, round(turn, 6) as heading_difference, round(d, 6) as distance, closest_distance, frames_to_closest, relative_speed, risk, near,
+        coalesce(round(case encounter when 'HEAD_ON' then pos + hd + star when 'CROSSING_GIVE_WAY' then pos + greatest(star, slowed) + sp when 'CROSSING_STAND_ON' then kh + ks + pos when 'OVERTAKING' then pos + aside + sp end / 3 + 1e-9::double, 6), 0.5::double) as fit from c0),
+    noted as (select *, concat_ws(';', case when encounter = 'UNKNOWN' then 'unknown_encounter' end, case when not near then 'outside_proximity_filter' end,
+        case when encounter = 'OVERTAKING' and confidence >= 0.85 and fit < 0.35 then 'high_confidence_overtaking_low_motion_score' end) as suspicious from said)
+    select c.*, coalesce(encounter, 'UNKNOWN') as encounter, coalesce(confidence, 0) as confidence, bearing, heading_difference, distance, closest_distance, frames_to_closest, relative_speed, risk, coalesce(near, false) as near, fit,
+        coalesce(suspicious, 'insufficient_colreg_history') as suspicious, case when near and encounter not in ('UNKNOWN', 'NO_INTERACTION') and confidence >= 0.85 and fit >= 0.65 and suspicious = '' then greatest(0, round(0.02::double * (fit - 0.5), 6)) else 0 end as bonus
+    from cands c left join noted using (sequence, new_id, lost_id, lost_run)"""
+_ANGLES = {
+    "norm_a": NORM.format("degrees(atan2(a.vy, a.vx))"), "norm_b": NORM.format("degrees(atan2(b.vy, b.vx))"), "bearing": NORM.format("degrees(atan2(by_ - ay, bx - ax)) - ha"),
+    "back": NORM.format("degrees(atan2(ay - by_, ax - bx)) - hb"), "turn": NORM.format("ha - hb"), "ahead": NORM.format("ha + yaw"), "turned": NORM.format("hb - ha"), "off": NORM.format("hb - ph"),
+}
+_PAIRS, _, _LAST = ORACLES["live_eligible"].rpartition("select sequence, new_id")
+ORACLES["live_annotated"] = f"{_PAIRS.rstrip()}, cands as (select sequence, new_id{_LAST}){ENDS.format(**_ANGLES)}"
