@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions.geometry import iou
 from trackspark.operators.components import components
+from trackspark.operators.overlap import meeting
 from trackspark.plans.storage import checkpoint
 
 
@@ -63,7 +64,7 @@ def overlapping(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> D
     """Boxes of one frame and class that overlap by at least ``least``, with their distance 1 - overlap."""
     keys = ["sequence", "frame", "class_id"]
     side = lambda df, s: df.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("id", "x", "y", "w", "h")])
-    df = side(truth, "gt").join(side(predicted, "pred"), keys).withColumn("iou", iou("gt_", "pred_")).where(F.col("iou") >= least)
+    df = meeting(side(truth, "gt"), side(predicted, "pred"), keys, "gt_", "pred_").withColumn("iou", iou("gt_", "pred_")).where(F.col("iou") >= least)
     return df.select("sequence", "frame", "gt_id", "pred_id", (1 - F.col("iou")).alias("distance"))
 
 
