@@ -77,7 +77,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are packed as the end id alone; repeated rows and null ids like any other row.
     """
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 STAGES = [

@@ -24,6 +24,10 @@ from .token_counts import WordCache
 
 #: Sequences of one task; a task has its own range of ids.
 IDS_PER_TASK = 1 << 40
+#: Text tokenised at once; a pool is tokenised piece by piece, as the words of a piece take many times its size.
+ENCODED_BYTES = 1 << 20
+#: Distinct words kept from piece to piece, about 200 bytes each.
+KEPT_WORDS = 300_000
 
 
 @dataclass(frozen=True)
@@ -113,31 +117,44 @@ def _groups(index: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[np.
     return length[np.concatenate([[0], at])], np.split(index, at)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1, pool_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), end_id: int = 1, pool_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Tokenise each text, append ``end_id`` and pack all texts; one row per piece.
 
     Columns: doc_id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit), doc_tokens,
-    sequence_id, offset, loss_tokens, and ids (the piece itself). Null and empty texts are packed as the
-    end id alone. Repeated rows and null ids are packed like any other row; further columns are ignored.
+    sequence_id, offset, loss_tokens, and ids (the piece itself; not ``with_ids``: none). Null and empty texts are packed
+    as the end id alone. Repeated rows and null ids are packed like any other row; further columns are ignored.
     """
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<int>" * with_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer_path)
+        cache = WordCache(tokenizer_path, KEPT_WORDS)
         sequence = TaskContext.get().partitionId() * IDS_PER_TASK
         held = None  # ids, offsets, doc ids, sizes and places that the pools before have left
         for batch in batches:
             for part in text_slices(batch, limit=pool_bytes):
-                ids, offsets = cache.encode(part["text"])
-                ids = np.insert(ids, offsets[1:], end_id)
-                offsets = offsets + np.arange(len(offsets))
-                pool = (ids, offsets[:-1], np.diff(offsets), np.zeros(len(part), np.int64), part["id"].combine_chunks())
+                ids, size = encoded(cache, part)
+                pool = (ids, np.cumsum(size) - size, size, np.zeros(len(part), np.int64), part["id"].combine_chunks())
+                del ids
                 rows, held, sequence = place(pool, held, sequence, True)
+                del pool
+                give_back()
                 yield rows
         if held is not None and len(held[1]):
             yield place(None, held, sequence, False)[0]
         held = cache = None
         give_back()
 
+    def encoded(cache, part):
+        """Ids of all texts one after another, each with its end, and the number of each text's ids."""
+        found, sizes = [], []
+        for piece in text_slices(part, limit=ENCODED_BYTES):
+            ids, offsets = cache.encode(piece["text"])
+            found.append(np.insert(ids, offsets[1:], end_id))
+            sizes.append(np.diff(offsets) + 1)
+        return np.concatenate(found), np.concatenate(sizes)
+
     def place(pool, held, sequence, keep_open):
         if held is not None and pool is not None:
             pool = (np.concatenate([held[0], pool[0]]), np.concatenate([held[1], pool[1] + len(held[0])]), np.concatenate([held[2], pool[2]]), np.concatenate([held[3], pool[3]]), pa.concat_arrays([held[4], pool[4]]))
@@ -145,16 +162,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
         pieces, left, sequence = pack(size - done, limits, sequence, keep_open)
         first = done[pieces.example] + pieces.start
         at = begin[pieces.example] + first
-        raw = ids.astype("<u4")
+        raw = ids.astype("<i4", copy=False).view("<u4")
         crc = np.fromiter((zlib.crc32(raw[a : a + n]) for a, n in zip(at, pieces.length, strict=True)), np.int64, len(at))
-        flat = np.concatenate([ids[a : a + n] for a, n in zip(at, pieces.length, strict=True)]) if len(at) else ids[:0]
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(pieces.length)]).astype(np.int32), flat.astype(np.int32))
-        rows = pa.RecordBatch.from_arrays([doc.take(pa.array(pieces.example)), *map(pa.array, (first, pieces.length, crc, size[pieces.example], pieces.sequence, pieces.offset, pieces.length - 1)), lists], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "ids"])
+        columns = [doc.take(pa.array(pieces.example)), *map(pa.array, (first, pieces.length, crc, size[pieces.example], pieces.sequence, pieces.offset, pieces.length - 1))]
+        if with_ids:
+            flat = np.concatenate([ids[a : a + n] for a, n in zip(at, pieces.length, strict=True)]) if len(at) else ids[:0]
+            columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(pieces.length)]).astype(np.int32), flat.astype(np.int32)))
+        rows = pa.RecordBatch.from_arrays(columns, names)
         keep = np.flatnonzero(left >= 0)
         flat = np.concatenate([ids[begin[i] : begin[i] + size[i]] for i in keep]) if len(keep) else ids[:0]
         held = (flat, np.cumsum(size[keep]) - size[keep], size[keep], done[keep] + left[keep], doc.take(pa.array(keep)))
         return rows, held, sequence
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids array<int>")
+    return picked.mapInArrow(run, schema)
