@@ -88,12 +88,15 @@ def byte_pairs(plain: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Packed (context, byte) pair of each byte that is not padding, and the text it belongs to, in pieces."""
     data, first = np.frombuffer(plain, np.uint8), 0
     for start in range(0, len(data), AT_ONCE):
-        at = start + np.flatnonzero(data[start : start + AT_ONCE] != PAD)
-        packed = np.zeros(len(at), np.int64)
+        piece = data[start : start + AT_ONCE]
+        packed = np.zeros(len(piece), np.int64)
         for back in [*range(1, ORDER + 1), 0]:
-            packed = (packed << 8) | data[at - back]
-        end = data[at] == END
-        yield packed, first + np.cumsum(end) - end
+            shifted = data[max(0, start - back) : start + len(piece) - back]  # shorter only where the first padding is
+            packed <<= 8
+            packed[len(piece) - len(shifted) :] |= shifted
+        keep = piece != PAD
+        end = piece[keep] == END
+        yield packed[keep], first + np.cumsum(end) - end
         first += int(end.sum())
 
 
@@ -250,6 +253,20 @@ def _distinct(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair[new], inverse
 
 
+def _ascending(pair: np.ndarray) -> np.ndarray:
+    """Distinct pairs in ascending order."""
+    pair = np.sort(pair)
+    return pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+
+
+def _counted(pair: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in ascending order, and how often each was ``learned``; the mark is sorted along below the pair's seven bytes."""
+    both = np.sort((pair << 1) | learned)
+    pair = both >> 1
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
+    return pair[first], np.add.reduceat(both & 1, first) if len(first) else np.empty(0, np.int64)
+
+
 class BlockPairs:
     """Distinct pairs of a block in the order of the parts, with their training counts if the held-out texts are given."""
 
@@ -257,13 +274,12 @@ class BlockPairs:
         self.pairs, self.n = np.empty(0, np.int64), np.empty(0, np.int32)
         waiting = []
         for pair, doc in byte_pairs(plain):
-            pair, inverse = _distinct(pair)
-            waiting.append((pair, np.bincount(inverse, weights=~held[doc], minlength=len(pair)) if held is not None else np.zeros(len(pair))))
+            waiting.append((_ascending(pair), None) if held is None else _counted(pair, ~held[doc]))
             if sum(len(p) for p, _ in waiting) >= GATHERED:
-                self._add(*_by_key(*map(np.concatenate, zip(*waiting, strict=True))))
+                self._add(waiting)
                 waiting = []
         if waiting:
-            self._add(*_by_key(*map(np.concatenate, zip(*waiting, strict=True))))
+            self._add(waiting)
         near = self.pairs >> (8 * (ORDER - NEAR + 1))
         first = np.flatnonzero(np.append(True, near[1:] != near[:-1])) if len(near) else np.empty(0, np.int64)
         part = (mix(near[first].astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int32)
@@ -275,8 +291,12 @@ class BlockPairs:
         self.first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
         self.parts = part[self.first].astype(np.int64)
 
-    def _add(self, pairs: np.ndarray, n: np.ndarray) -> None:
+    def _add(self, gathered: list[tuple]) -> None:
         """Merge distinct ascending pairs into those held; only the new ones move the others."""
+        if gathered[0][1] is None:
+            self.pairs = _ascending(np.concatenate([self.pairs, *[p for p, _ in gathered]]))
+            return
+        pairs, n = _by_key(*map(np.concatenate, zip(*gathered, strict=True)))
         n, place = n.astype(np.int32), np.searchsorted(self.pairs, pairs)
         known = place < len(self.pairs)
         known[known] = self.pairs[place[known]] == pairs[known]
