@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.functions.scores import round_six
 from trackspark.operators.occlusion import best_occluders, hidden, moving
 
 #: Slower than this, in pixels a frame, is still.
@@ -30,7 +31,7 @@ def corridors(tracks: DataFrame, max_gap: int = 30, base: float = 12.0, along: f
     of return follows from the motion relative to it. The track is expected back between this frame and as many frames
     later as it needs for half its outline, 3 to 60.
     """
-    c, r6 = F.col, lambda x: F.round(x, 6)
+    c, r6 = F.col, round_six
     occluder = best_occluders(tracks, max_gap).select("sequence", "id", "frame", "occluder_id", c("vx").alias("occluder_vx"), c("vy").alias("occluder_vy"), c("confidence").alias("pair_confidence"))
     df = hidden(moving(tracks), max_gap).withColumn("frame", c("at")).drop("at").join(occluder, ["sequence", "id", "frame"], "left")
     own, alone = speed(c("vx"), c("vy")), c("occluder_id").isNull()
@@ -54,6 +55,15 @@ def corridors(tracks: DataFrame, max_gap: int = 30, base: float = 12.0, along: f
     )
 
 
+def ways(tracks: DataFrame, max_gap: int = 30) -> DataFrame:
+    """The ends and the direction of ``corridors`` alone, which no occluder changes."""
+    c = F.col
+    df = hidden(moving(tracks), max_gap)
+    start = [round_six(c(f"c{k}")).alias(f"start_{k}") for k in "xy"]
+    predicted = [round_six(c(f"c{k}") + c(f"v{k}") * c("gap")).alias(f"predicted_{k}") for k in "xy"]
+    return df.select("sequence", "id", c("at").alias("frame"), *start, *predicted, F.when(speed(c("vx"), c("vy")) <= STILL, "unknown").otherwise("valid").alias("direction"))
+
+
 def direction(vx: Column, vy: Column, mx: Column, my: Column) -> tuple[Column, Column]:
     """Whether a match displaced by (mx, my) lies where the velocity points, and their dot product.
 
