@@ -13,17 +13,24 @@ def parse(lines: DataFrame, line: str = "value", sequence: Column | None = None,
     number, raise an error with ``where`` (such as the file) and the line, or are skipped unless ``strict``. Numbers are
     truncated to integers where columns are integers; ``frame_offset`` is added to frames.
     """
-    df = lines.select(F.regexp_replace(line, r"^\s+|\s+$", "").alias("line"), (sequence if sequence is not None else F.lit(None).cast("string")).alias("sequence"), (where if where is not None else F.lit("")).alias("where"))
+    text = F.when(F.col(line).rlike(r"^\s|\s$"), F.regexp_replace(line, r"^\s+|\s+$", "")).otherwise(F.col(line))
+    df = lines.select(text.alias("line"), (sequence if sequence is not None else F.lit(None).cast("string")).alias("sequence"), (where if where is not None else F.lit("")).alias("where"))
     df = df.where((F.col("line") != "") & ~F.col("line").startswith("#"))
-    cells = F.when(F.col("line").contains(","), F.split("line", r"\s*,\s*")).otherwise(F.split("line", r"\s+"))
+    commas = F.col("line").contains(",")
+    cells = F.when(commas & ~F.col("line").rlike(r"\s"), F.split("line", ",")).when(commas, F.split("line", r"\s*,\s*")).otherwise(F.split("line", r"\s+"))
     df = df.withColumn("c", F.slice(cells, 1, 9))
-    good = (F.size("c") >= 6) & F.forall("c", lambda x: x.try_cast("double").isNotNull())
+    # each cell is read once
+    df = df.select("line", "sequence", "where", F.size("c").alias("cells"), *[F.expr(f"try_cast(get(c, {i}) as double)").alias(f"n{i}") for i in range(9)])
+    good = F.col("cells") >= 6
+    for i in range(9):
+        good &= (F.col("cells") <= i) | F.col(f"n{i}").isNotNull()
     if strict:
-        error = F.raise_error(F.concat(F.lit("not a track row: "), "where", F.lit(" "), "line")).cast("array<string>")
-        df = df.withColumn("c", F.when(good, F.col("c")).otherwise(error))
+        error = F.raise_error(F.concat(F.lit("not a track row: "), "where", F.lit(" "), "line")).cast("double")
+        df = df.select("sequence", good.alias("good"), "where", "line", *[F.col(f"n{i}") for i in range(9)])
+        number = lambda i: F.when(F.col("good"), F.col(f"n{i}")).otherwise(error)
     else:
         df = df.where(good)
-    number = lambda i: F.expr(f"try_cast(get(c, {i}) as double)")
+        number = lambda i: F.col(f"n{i}")
     box = [number(i + 2).alias(n) for i, n in enumerate("xywh")]
     rest = [F.coalesce(number(6), F.lit(1.0)).alias("confidence"), F.coalesce(number(7), F.lit(0.0)).cast("int").alias("class_id"), F.coalesce(number(8), F.lit(1.0)).alias("visibility")]
     return df.select("sequence", (number(0).cast("int") + frame_offset).alias("frame"), number(1).cast("int").alias("id"), *box, *rest)
