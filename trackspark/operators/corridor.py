@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.scores import round_six
-from trackspark.operators.occlusion import best_occluders, hidden, moving
+from trackspark.operators.occlusion import hidden, hidden_behind, moving
 
 #: Slower than this, in pixels a frame, is still.
 STILL = 1e-6
@@ -31,27 +31,27 @@ def corridors(tracks: DataFrame, max_gap: int = 30, base: float = 12.0, along: f
     of return follows from the motion relative to it. The track is expected back between this frame and as many frames
     later as it needs for half its outline, 3 to 60.
     """
-    c, r6 = F.col, round_six
-    occluder = best_occluders(tracks, max_gap).select("sequence", "id", "frame", "occluder_id", c("vx").alias("occluder_vx"), c("vy").alias("occluder_vy"), c("confidence").alias("pair_confidence"))
-    df = hidden(moving(tracks), max_gap).withColumn("frame", c("at")).drop("at").join(occluder, ["sequence", "id", "frame"], "left")
-    own, alone = speed(c("vx"), c("vy")), c("occluder_id").isNull()
-    still = own <= STILL
+    c, r6, zero = F.col, round_six, F.lit(0.0)
+    own = speed(c("vx"), c("vy"))
+    # what is known of a sighting is computed for it and not for each hidden row
+    needed = F.bround((c("w") + c("h")) / F.greatest(c("own"), F.lit(1.0)), 0).cast("int")
+    plain = {"own_vx": r6(c("vx")), "own_vy": r6(c("vy")), "speed": r6(c("own")), "heading": r6(F.when(c("own") > STILL, F.degrees(F.atan2("vy", "vx"))).otherwise(zero))}
+    places = {"previous_x": "before_x", "previous_y": "before_y", "start_x": "cx", "start_y": "cy"}
+    sightings = moving(tracks).withColumn("own", own).withColumns(plain | {k: r6(c(v)) for k, v in places.items()} | {"needed": F.greatest(F.lit(3), F.least(F.lit(60), needed)), "still": c("own") <= STILL})
+    df = hidden_behind(sightings, max_gap, keep=("vx", "vy", *plain, *places, "needed", "still"))
+    alone = c("occluder_id").isNull()
     major = F.lit(base) + along * c("gap")
-    minor = F.when(still, major).otherwise(F.lit(base) + across * c("gap"))
-    needed = F.bround((c("w") + c("h")) / F.greatest(own, F.lit(1.0)), 0)
-    zero = F.lit(0.0)
+    minor = F.when(c("still"), major).otherwise(F.lit(base) + across * c("gap"))
     return df.select(
         "sequence", "id", "frame", "gap",
         F.when(alone, "constant_velocity").otherwise("paired_motion_corridor").alias("model"),
-        "occluder_id", *[r6(c(k)).alias(k) for k in ("vx", "vy", "occluder_vx", "occluder_vy")],
-        r6(own).alias("speed"), r6(F.when(own > STILL, F.degrees(F.atan2("vy", "vx"))).otherwise(zero)).alias("heading"),
-        r6(c("before_x")).alias("previous_x"), r6(c("before_y")).alias("previous_y"), r6(c("cx")).alias("start_x"), r6(c("cy")).alias("start_y"),
-        r6(c("cx") + c("vx") * c("gap")).alias("predicted_x"), r6(c("cy") + c("vy") * c("gap")).alias("predicted_y"),
+        "occluder_id", c("own_vx").alias("vx"), c("own_vy").alias("vy"), r6(c("occluder_vx")).alias("occluder_vx"), r6(c("occluder_vy")).alias("occluder_vy"),
+        "speed", "heading", *places, "predicted_x", "predicted_y",
         r6(F.greatest(major, minor)).alias("major"), r6(F.least(major, minor)).alias("minor"),
-        F.when(still, "unknown").otherwise("valid").alias("direction"),
+        F.when(c("still"), "unknown").otherwise("valid").alias("direction"),
         side(c("vx") - F.coalesce("occluder_vx", zero), c("vy") - F.coalesce("occluder_vy", zero)).alias("side"),
-        (c("frame") + F.greatest(F.lit(3), F.least(F.lit(60), needed.cast("int")))).alias("expected_until"),
-        F.coalesce("pair_confidence", zero).alias("pair_confidence"),
+        (c("frame") + c("needed")).alias("expected_until"),
+        F.coalesce("confidence", zero).alias("pair_confidence"),
     )
 
 
